@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from callbook.functions.stance import with_stance
 from callbook.plans.outcomes import compute_outcomes, track_record
 from callbook.plans.study import BENCHMARK
+from callbook.session import settle
 
 SITE = "Daily Ledger"
 HOST = "https://www.example.com"
@@ -140,7 +141,8 @@ class Domain:
         index = lines.groupBy(day).agg(
             (total / F.count(F.lit(1))).alias("close"), quantity.alias("volume")
         ).select(F.lit(BENCHMARK).alias("symbol"), "date", "close", "volume")
-        return stocks.unionByName(index)
+        # A stored table in real use, and read several times by most queries.
+        return settle(stocks.unionByName(index))
 
     @cached_property
     def tickers(self) -> DataFrame:

@@ -60,7 +60,7 @@ SELECT '{unit}' AS unit, g.period, coalesce(r.articles, 0) AS articles,
 
 _WEEKS = "published_day BETWEEN DATE '1997-03-03' AND DATE '1998-02-20'"
 _SHORT = "published_day BETWEEN DATE '1997-03-03' AND DATE '1997-04-10'"
-_MONDAY = "published_day + ((8 - isodow(published_day)) % 7)"
+_MONDAY = "published_day + CAST((8 - isodow(published_day)) % 7 AS INTEGER)"
 
 
 @check("volume_by_month", _periods("1 MONTH", "date_trunc('month', published_day)", "Month", "TRUE"))

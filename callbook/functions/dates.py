@@ -50,4 +50,4 @@ def week_ending_monday(day: Column) -> Column:
 
 
 def quarter_start(day: Column) -> Column:
-    return F.trunc(day, "Q")
+    return F.trunc(day, "quarter")

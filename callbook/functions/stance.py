@@ -7,7 +7,7 @@ that matches wins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------
@@ -173,9 +173,8 @@ def collapse_spaces(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def stance_label(title: Column) -> Column:
-    """The stance label of a headline."""
-    t = collapse_spaces(title)
+def label_of_clean(t: Column) -> Column:
+    """The stance label of a headline whose white space is already collapsed."""
     sell_strong, sell_question = _has(t, SELL_STRONG), _has(t, SELL_QUESTION)
     buy_strong, buy_question = _has(t, BUY_STRONG), _has(t, BUY_QUESTION)
     # Buy wording is settled in one branch, so the sell patterns further down
@@ -186,7 +185,7 @@ def stance_label(title: Column) -> Column:
         .otherwise("buy_lean")
     )
     return (
-        F.when(title.isNull() | (t == ""), "analysis")
+        F.when(t.isNull() | (t == ""), "analysis")
         .when(_has(t, INSIDER), "insider")
         .when(_has(t, COMPARISON), "comparison")
         .when(buy_strong | buy_question, with_buy_wording)
@@ -201,20 +200,25 @@ def stance_label(title: Column) -> Column:
     )
 
 
+def stance_label(title: Column) -> Column:
+    """The stance label of a headline."""
+    return label_of_clean(collapse_spaces(title))
+
+
+def _lookup(table: dict, key: Column, default) -> Column:
+    # The key occurs once, so an inlined label is not repeated per entry.
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(entries, key), F.lit(default))
+
+
 def stance_score(label: Column) -> Column:
     """Signed strength of a label, -2..+2; 0 means no direction."""
-    score = F.lit(0)
-    for name, value in SCORES.items():
-        score = F.when(label == name, F.lit(value)).otherwise(score)
-    return score
+    return _lookup(SCORES, label, 0)
 
 
 def stance_bucket(label: Column) -> Column:
     """Display bucket of a label; unknown labels make no call."""
-    bucket = F.lit(NO_CALL)
-    for name, value in BUCKETS.items():
-        bucket = F.when(label == name, F.lit(value)).otherwise(bucket)
-    return bucket
+    return _lookup(BUCKETS, label, NO_CALL)
 
 
 def order_key(value: Column, order: list[str]) -> Column:
@@ -223,7 +227,11 @@ def order_key(value: Column, order: list[str]) -> Column:
     return F.when(position > 0, position).otherwise(F.lit(len(order) + 1)).cast("int")
 
 
-def with_stance(df, title: str = "title"):
+def with_stance(df: DataFrame, title: str = "title") -> DataFrame:
     """Add ``stance`` and ``stance_score``."""
-    return df.withColumn("stance", stance_label(F.col(title))).withColumn(
-        "stance_score", stance_score(F.col("stance")))
+    return (
+        df.withColumn("_clean", collapse_spaces(F.col(title)))
+        .withColumn("stance", label_of_clean(F.col("_clean")))
+        .withColumn("stance_score", stance_score(F.col("stance")))
+        .drop("_clean")
+    )

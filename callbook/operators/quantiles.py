@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callbook.session import settle
+
 _STEPS = 512        # bins per factor e
 _ZOOM = 1e4         # values below 1/_ZOOM share the bins around zero
 
@@ -28,16 +30,21 @@ def _slug(p: float) -> str:
 
 
 def value_stats(df: DataFrame, keys: list[str], value: str = "value",
-                probs: tuple[float, ...] = (0.5,), few_keys: bool = False) -> DataFrame:
+                probs: tuple[float, ...] = (0.5,), few_keys: bool = False,
+                stored: bool = False) -> DataFrame:
     """Per key: n, total, mean, positives, and one exact quantile column per prob.
 
     NULL values are ignored; a key without values has no row. Quantiles
     interpolate linearly. The columns are called ``median`` for 0.5 and ``p1``,
     ``p99`` and so on. ``few_keys`` states that the keys come from a closed
     list, so the handful of wanted bins may be broadcast.
+
+    The rows are read twice, so keys and value are settled first unless ``df``
+    is ``stored``, a table scan or settled already.
     """
     rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("v"), _bin(F.col(value)).alias("bin"))
+        *keys, F.col(value).cast("double").alias("v"))
+    rows = (rows if stored else settle(rows)).withColumn("bin", _bin(F.col("v")))
     hist = rows.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"),
         F.count_if(F.col("v") > 0).alias("pos"), F.min("v").alias("lo"), F.max("v").alias("hi"))

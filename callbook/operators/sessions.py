@@ -18,8 +18,14 @@ from callbook.functions.stats import pct_return
 #: A price series that starts later than this after an event gives no entry.
 MAX_ENTRY_GAP_DAYS = 7
 
-_BY_SESSION = Window.partitionBy("symbol").orderBy("date")
-_WHOLE_SERIES = _BY_SESSION.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+def _by_session():
+    """One symbol's sessions in order: at most one row per calendar day."""
+    return Window.partitionBy("symbol").orderBy("date")
+
+
+def _whole_series():
+    return _by_session().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
 def price_book(prices: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
@@ -27,7 +33,7 @@ def price_book(prices: DataFrame, symbols: DataFrame | None = None) -> DataFrame
     rows = prices.filter(F.col("close").isNotNull()).select("symbol", "date", "close")
     if symbols is not None:
         rows = rows.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
-    return rows.withColumn("idx", F.row_number().over(_BY_SESSION) - 1)
+    return rows.withColumn("idx", F.row_number().over(_by_session()) - 1)
 
 
 def benchmark_calendar(prices: DataFrame, benchmark: str,
@@ -39,8 +45,8 @@ def benchmark_calendar(prices: DataFrame, benchmark: str,
     benchmark's first and last session, which bounds the broadcast.
     """
     book = price_book(prices.filter(F.col("symbol") == benchmark))
-    prev = F.lag("date").over(_BY_SESSION)
-    legs = [pct_return(F.col("close"), F.lead("close", h).over(_BY_SESSION)).alias(f"b_ret_{h}")
+    prev = F.lag("date").over(_by_session())
+    legs = [pct_return(F.col("close"), F.lead("close", h).over(_by_session())).alias(f"b_ret_{h}")
             for h in horizons]
     days = F.sequence(F.coalesce(F.date_add(F.col("prev"), 1), F.col("b_date")), F.col("b_date"))
     return (
@@ -50,27 +56,27 @@ def benchmark_calendar(prices: DataFrame, benchmark: str,
     )
 
 
+def first_session(prices: DataFrame, benchmark: str | None = None) -> Column:
+    """First day with a close, of one symbol or of all, as a scalar subquery;
+    NULL when there is none."""
+    rows = prices.filter(F.col("close").isNotNull())
+    if benchmark is not None:
+        rows = rows.filter(F.col("symbol") == benchmark)
+    return rows.agg(F.min("date")).scalar()
+
+
 def on_benchmark(df: DataFrame, calendar: DataFrame, day: Column, prices: DataFrame,
                  benchmark: str) -> DataFrame:
     """Left as-of join of ``day`` onto the benchmark's next session.
 
     Days before the series snap to its first session; days past its end get NULL.
     """
-    first = (prices.filter((F.col("symbol") == benchmark) & F.col("close").isNotNull())
-             .agg(F.min("date")).scalar())
-    keyed = df.withColumn("_cal", F.when(day.isNotNull(), F.greatest(day, first)))
+    start = first_session(prices, benchmark)
+    keyed = df.withColumn("_cal", F.when(day.isNotNull(), F.greatest(day, start)))
     cal = calendar.withColumnRenamed("cal_day", "_cal")
     return keyed.join(F.broadcast(cal), "_cal", "left").drop("_cal")
 
 
-def has_series(prices: DataFrame, benchmark: str | None = None) -> Column:
-    """Whether any close (of one symbol) is stored, as a scalar subquery."""
-    rows = prices.filter(F.col("close").isNotNull())
-    if benchmark is not None:
-        rows = rows.filter(F.col("symbol") == benchmark)
-    return rows.agg((F.count(F.lit(1)) > 0)).scalar()
-
-
 def valid_event_days(sessions: DataFrame, max_gap: int = MAX_ENTRY_GAP_DAYS) -> DataFrame:
     """One row per (symbol, day) whose guarded entry is this session.
 
@@ -78,7 +84,7 @@ def valid_event_days(sessions: DataFrame, max_gap: int = MAX_ENTRY_GAP_DAYS) ->
     previous session; cut to the last ``max_gap`` days that is at most
     ``max_gap`` + 1 rows a session. The as-of join then is an equi join.
     """
-    prev = F.lag("date").over(_BY_SESSION)
+    prev = F.lag("date").over(_by_session())
     low = F.date_sub("date", max_gap)
     return (
         sessions.withColumn("_from", F.greatest(F.date_add(prev, 1), low))
@@ -90,7 +96,7 @@ def valid_event_days(sessions: DataFrame, max_gap: int = MAX_ENTRY_GAP_DAYS) ->
 def forward_returns(book: DataFrame, horizons: Iterable[int]) -> DataFrame:
     """Add ret_{h}: the return over the next h sessions, NULL past the end."""
     return book.select("*", *[
-        pct_return(F.col("close"), F.lead("close", h).over(_BY_SESSION)).alias(f"ret_{h}")
+        pct_return(F.col("close"), F.lead("close", h).over(_by_session())).alias(f"ret_{h}")
         for h in horizons])
 
 
@@ -113,15 +119,15 @@ def dated_legs(prices: DataFrame, benchmark: str, *, forward: Iterable[int] = ()
     close, b_idx, b_close = F.col("close"), F.col("b_idx"), F.col("b_close")
     cols: list[Column] = []
     for h in forward:
-        c1, i1, bc1 = (F.lead(c, h).over(_BY_SESSION) for c in ("close", "b_idx", "b_close"))
+        c1, i1, bc1 = (F.lead(c, h).over(_by_session()) for c in ("close", "b_idx", "b_close"))
         cols += [pct_return(close, c1).alias(f"ret_{h}"),
                  _bench_leg(b_idx, b_close, i1, bc1).alias(f"bench_{h}")]
     for h in backward:
-        c0, i0, bc0 = (F.lag(c, h).over(_BY_SESSION) for c in ("close", "b_idx", "b_close"))
+        c0, i0, bc0 = (F.lag(c, h).over(_by_session()) for c in ("close", "b_idx", "b_close"))
         cols += [pct_return(c0, close).alias(f"back_{h}"),
                  _bench_leg(i0, bc0, b_idx, b_close).alias(f"bback_{h}")]
     if to_last:
-        last_idx, c1, i1, bc1 = (F.last(c).over(_WHOLE_SERIES)
+        last_idx, c1, i1, bc1 = (F.last(c).over(_whole_series())
                                  for c in ("idx", "close", "b_idx", "b_close"))
         later = last_idx > F.col("idx")
         cols += [F.when(later, pct_return(close, c1)).alias("ret_last"),

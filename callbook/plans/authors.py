@@ -11,6 +11,7 @@ from callbook.functions.stats import share_pct, wilson_high, wilson_low
 from callbook.operators.quantiles import value_stats
 from callbook.plans.filters import directional
 from callbook.plans.study import BENCHMARK, study_days, study_events
+from callbook.session import settle
 
 # Fixed value: fewer calls than this say nothing about an author.
 MIN_CALLS = 20
@@ -45,9 +46,12 @@ def base_rate(calls: DataFrame, horizon: int = 21) -> DataFrame:
 
 
 def score_authors(calls: DataFrame, min_calls: int = MIN_CALLS) -> DataFrame:
-    """Accuracy per author with its interval, ranked with enough data first."""
+    """Accuracy per author with its interval, ranked with enough data first.
+
+    ``calls`` is read several times and should be settled.
+    """
     named = calls.filter(F.col("author").isNotNull())
-    stats = value_stats(named, ["author"], "call_return")
+    stats = value_stats(named, ["author"], "call_return", stored=True)
     extra = named.groupBy("author").agg(
         F.count_if("bullish").alias("bulls"), F.count_distinct("ticker").alias("tickers"))
     base = base_rate(calls).select("hit_rate").scalar()
@@ -91,6 +95,6 @@ def author_scores(coverage: DataFrame, articles: DataFrame, tickers: DataFrame,
     days = study_days(coverage, tickers, prices, primary_only=primary_only,
                       censor_days=censor_days, min_articles=1, benchmark=benchmark)
     events = study_events(coverage, articles, days, primary_only=primary_only)
-    calls = measured_calls(events, horizon)
-    authors, base = score_authors(calls, min_calls), base_rate(calls, horizon)
+    calls = settle(measured_calls(events, horizon))
+    authors, base = settle(score_authors(calls, min_calls)), base_rate(calls, horizon)
     return AuthorScores(authors, base, author_notes(authors, base, min_calls))

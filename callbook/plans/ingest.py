@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from callbook.functions import text as X
 from callbook.functions.stance import with_stance
 from callbook.operators import merge as M
+from callbook.session import settle
 from callbook.sources import tables
 from callbook.sources.articles import HEAD_CHARS, head_of, head_tickers, parse_heads
 from callbook.sources.sitemaps import month_url_counts, sitemap_urls
@@ -77,7 +78,7 @@ def store_pages(spark: SparkSession, root: str, landed: DataFrame, site_name: st
     batch that is repeated after a failure is safe.
     """
     parsed = parse_pages(landed, tables.read_table(spark, root, "universe"), site_name, order)
-    arts, cov = tables.settle(parsed.articles), tables.settle(parsed.coverage)
+    arts, cov = settle(parsed.articles), settle(parsed.coverage)
 
     old = tables.touched(tables.read_table(spark, root, "coverage"), arts, "month")
     tables.rewrite(root, "coverage", M.replace_coverage(old, cov, arts))
@@ -116,7 +117,7 @@ def store_results(spark: SparkSession, root: str, results: DataFrame) -> None:
 
 def store_prices(spark: SparkSession, root: str, quotes: DataFrame) -> None:
     """Upsert (symbol, date, close, volume) rows."""
-    new = tables.settle(quotes.withColumn("month", F.date_format("date", "yyyy-MM")))
+    new = settle(quotes.withColumn("month", F.date_format("date", "yyyy-MM")))
     old = tables.touched(tables.read_table(spark, root, "prices"), new, "month")
     tables.rewrite(root, "prices", M.upsert_replace(old, new, ["symbol", "date"]))
 

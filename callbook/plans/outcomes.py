@@ -13,13 +13,14 @@ from callbook.operators.sessions import (
     MAX_ENTRY_GAP_DAYS,
     dated_legs,
     guarded_entries,
-    has_series,
+    first_session,
     latest_close,
     next_session,
 )
 from callbook.plans.filters import coverage_filter
 from callbook.plans.study import BENCHMARK
-from callbook.sources.tables import read_table, rewrite, settle, touched
+from callbook.session import settle
+from callbook.sources.tables import read_table, rewrite, touched
 
 # Holding periods in trading sessions.
 TRACK_HORIZONS = {"1m": 21, "3m": 63, "6m": 126, "12m": 252}
@@ -59,7 +60,7 @@ def compute_outcomes(coverage: DataFrame, tickers: DataFrame, prices: DataFrame,
     legs = dated_legs(prices, benchmark, forward=horizons).drop("idx")
     scored = calls.join(guarded_entries(days, legs), ["ticker", "published_day"])
     returns = [f"{leg}_{h}" for h in horizons for leg in ("ret", "bench")]
-    return scored.filter(has_series(prices, benchmark)).select(
+    return scored.filter(first_session(prices, benchmark).isNotNull()).select(
         "path", "ticker", "published_day", "entry_date", "entry_close", *returns)
 
 

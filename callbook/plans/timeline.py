@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from callbook.functions.stance import order_key
 from callbook.operators.ordering import day_totals
 from callbook.operators.quantiles import value_stats
-from callbook.operators.sessions import dated_legs, guarded_entries, has_series
+from callbook.operators.sessions import dated_legs, guarded_entries, first_session
 from callbook.plans.filters import coverage_filter
 from callbook.plans.study import BENCHMARK
 
@@ -48,12 +48,12 @@ def coverage_timeline(coverage: DataFrame, tickers: DataFrame, prices: DataFrame
     sessions = MONTH_WINDOWS.values()
     legs = dated_legs(prices, benchmark, forward=sessions, backward=sessions, to_last=True)
     rows = guarded_entries(firsts, legs, day="first_covered")
-    adjust = F.lit(market_adjusted) & has_series(prices, benchmark)
+    adjust = F.lit(market_adjusted) & first_session(prices, benchmark).isNotNull()
 
     def leg(stock: str, bench: str) -> Column:
         return F.when(adjust, F.col(stock) - F.col(bench)).otherwise(F.col(stock))
 
-    return rows.filter(has_series(prices)).select(
+    return rows.filter(first_session(prices).isNotNull()).select(
         "ticker", "name", "first_covered", "articles",
         (F.col("first_covered") <= F.date_add(start, censor_days)).alias("censored"),
         "articles_30d", "articles_90d", "days_to_2nd", "latest_article",
@@ -92,9 +92,12 @@ def coverage_reading(timeline: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("what") == what, F.col("median"))).alias(what)
 
     before, after = F.col("before_12m"), F.col("after_12m")
-    companies = timeline.agg(F.count(F.lit(1))).scalar()
-    return stats.agg(median("articles_30d"), median("before_12m"), median("after_12m")).select(
-        companies.alias("companies"), F.col("articles_30d").alias("median_articles_30d"),
+    # Every company has a first 30 days, so their number is that sample's size.
+    companies = F.max(F.when(F.col("what") == "articles_30d", F.col("n"))).alias("companies")
+    return stats.agg(companies, median("articles_30d"), median("before_12m"),
+                     median("after_12m")).select(
+        F.coalesce("companies", F.lit(0)).alias("companies"),
+        F.col("articles_30d").alias("median_articles_30d"),
         before.alias("median_before_12m"), after.alias("median_after_12m"),
         F.when((before > 5) & (before > after), "follows the move")
         .when(after > before, "suggestive").alias("reading"))

@@ -13,6 +13,7 @@ from callbook.operators.quantiles import value_stats
 from callbook.plans.filters import bullish, directional
 from callbook.plans.outcomes import TRACK_HORIZONS
 from callbook.plans.study import by_horizon
+from callbook.session import settle
 
 # Fixed values.
 CLOSED_GROUPS = ("stance", "bucket")
@@ -22,28 +23,35 @@ EVERY_CALL_ROWS, TOP_CALLS = 500, 15
 GROWTH_SERIES = {"follow_growth": "Buy every bullish call", "bench_growth": "Benchmark"}
 
 
+def _scores(calls: DataFrame, group: str) -> DataFrame:
+    """value_stats by (group, horizon); horizon "all" only counts the calls."""
+    columns = {h: F.col(f"call_{h}") for h in TRACK_HORIZONS}
+    long = by_horizon(calls, [group], {"all": F.lit(0.0), **columns})
+    return value_stats(long, [group, "horizon"], few_keys=group in CLOSED_GROUPS)
+
+
+def _measures() -> dict[str, Column]:
+    hits, n = F.col("positives"), F.col("n")
+    return {"n": n, "hit": share_pct(hits, n), "lo": wilson_low(hits, n),
+            "hi": wilson_high(hits, n), "median": F.col("median"), "mean": F.col("mean")}
+
+
 def scorecard_long(track: DataFrame, group: str = "stance") -> DataFrame:
     """(group, horizon): calls scored, hit %, its interval, median and mean."""
-    calls = track.filter(directional())
-    long = by_horizon(calls, [group], {h: F.col(f"call_{h}") for h in TRACK_HORIZONS})
-    stats = value_stats(long, [group, "horizon"], few_keys=group in CLOSED_GROUPS)
-    hits, n = F.col("positives"), F.col("n")
-    return stats.select(
-        group, "horizon", "n", share_pct(hits, n).alias("hit"), wilson_low(hits, n).alias("lo"),
-        wilson_high(hits, n).alias("hi"), "median", "mean")
+    scores = _scores(track.filter(directional()), group).filter(F.col("horizon") != "all")
+    return scores.select(group, "horizon", *[c.alias(m) for m, c in _measures().items()])
 
 
 def scorecard(track: DataFrame, group: str = "stance") -> DataFrame:
-    """One row per group with n, hit, lo, hi, median and mean at each horizon."""
-    groups = track.filter(directional()).groupBy(group).agg(F.count(F.lit(1)).alias("calls"))
-    measures = ("n", "hit", "lo", "hi", "median", "mean")
-    wide = scorecard_long(track, group).groupBy(group).agg(*[
-        F.max(F.when(F.col("horizon") == h, F.col(m))).alias(f"{m}_{h}")
-        for h in TRACK_HORIZONS for m in measures])
-    out = groups.join(wide, group, "left")
-    for h in TRACK_HORIZONS:
-        out = out.withColumn(f"n_{h}", F.coalesce(f"n_{h}", F.lit(0)))
-    return out
+    """One row per group: calls, and n, hit, lo, hi, median, mean at each horizon."""
+    def at(horizon: str, value: Column) -> Column:
+        return F.max(F.when(F.col("horizon") == horizon, value))
+
+    cells = [
+        (F.coalesce(at(h, c), F.lit(0)) if m == "n" else at(h, c)).alias(f"{m}_{h}")
+        for h in TRACK_HORIZONS for m, c in _measures().items()]
+    return _scores(track.filter(directional()), group).groupBy(group).agg(
+        at("all", F.col("n")).alias("calls"), *cells)
 
 
 def call_types(track: DataFrame, label: str = "3m") -> DataFrame:
@@ -79,12 +87,12 @@ def follow_the_calls(track: DataFrame, label: str = "1m") -> DataFrame:
 
 def growth_series(baskets: DataFrame) -> DataFrame:
     """Long form of the growth lines; ``is_last`` marks each line's end."""
-    long = baskets.unpivot(["month", "calls"], list(GROWTH_SERIES), "column", "growth")
+    marked = baskets.withColumn(
+        "is_last", F.col("month") == F.max("month").over(Window.partitionBy()))
+    long = marked.unpivot(["month", "calls", "is_last"], list(GROWTH_SERIES), "column", "growth")
     name = F.when(F.col("column") == "follow_growth", GROWTH_SERIES["follow_growth"]).otherwise(
         GROWTH_SERIES["bench_growth"])
-    last = baskets.agg(F.max("month")).scalar()
-    return long.select("month", "calls", name.alias("series"), "growth",
-                       (F.col("month") == last).alias("is_last"))
+    return long.select("month", "calls", name.alias("series"), "growth", "is_last")
 
 
 def basket_summary(baskets: DataFrame) -> DataFrame:
@@ -100,40 +108,49 @@ def selection_summary(calls: DataFrame, label: str = "3m") -> DataFrame:
     Scored, hit share and interval, median, mean, unpriced and maturing counts,
     and the reading of mean against median.
     """
-    col = F.col(f"call_{label}")
-    stats = value_stats(calls.select(F.lit(label).alias("horizon"), col.alias("value")),
-                        ["horizon"], few_keys=True)
-    unpriced = F.count_if(F.col("entry_date").isNull())
-    counts = calls.agg(F.struct(
-        unpriced.alias("unpriced"),
-        (F.count("entry_date") - F.count(col)).alias("maturing"))).scalar()
-    hits, n = F.col("positives"), F.col("n")
+    # The counts travel along as samples of their own.
+    samples = F.array(*[F.struct(F.lit(name).alias("sample"), value.alias("value"))
+                        for name, value in (
+        ("scored", F.col(f"call_{label}")),
+        ("entered", F.when(F.col("entry_date").isNotNull(), 0.0)),
+        ("unpriced", F.when(F.col("entry_date").isNull(), 0.0)))])
+    stats = value_stats(calls.select(F.inline(samples)), ["sample"], few_keys=True)
+
+    def of(sample: str, column: str) -> Column:
+        return F.max(F.when(F.col("sample") == sample, F.col(column)))
+
+    one = stats.agg(
+        of("scored", "n").alias("n"), of("scored", "positives").alias("hits"),
+        of("scored", "median").alias("median"), of("scored", "mean").alias("mean"),
+        F.coalesce(of("unpriced", "n"), F.lit(0)).alias("unpriced"),
+        F.coalesce(of("entered", "n"), F.lit(0)).alias("entered"))
+    hits, n = F.col("hits"), F.coalesce("n", F.lit(0))
     mean, median = F.col("mean"), F.col("median")
     reading = (
         F.when((mean > 0) & (median < 0), "typical call lost, average gained")
         .when((median > 0) & (mean > 0), "typical call and average gained")
         .when((median < 0) & (mean < 0), "typical call and average lost"))
-    return stats.select(
-        "horizon", n.alias("scored"), hits.alias("hits"), share_pct(hits, n).alias("hit_rate"),
-        wilson_low(hits, n).alias("ci_low"), wilson_high(hits, n).alias("ci_high"),
-        "median", "mean", counts["unpriced"].alias("unpriced"),
-        counts["maturing"].alias("maturing"), reading.alias("reading"))
+    return one.select(
+        F.lit(label).alias("horizon"), n.alias("scored"), F.coalesce(hits, F.lit(0)).alias("hits"),
+        share_pct(hits, n).alias("hit_rate"), wilson_low(hits, n).alias("ci_low"),
+        wilson_high(hits, n).alias("ci_high"), "median", "mean", "unpriced",
+        (F.col("entered") - n).alias("maturing"), reading.alias("reading"))
 
 
 def histogram(calls: DataFrame, label: str = "3m") -> DataFrame:
     """Distribution of call returns; the outer bins hold the extreme percent."""
     step = float(HISTOGRAM_STEP[label])
-    value = F.col(f"call_{label}")
-    stats = value_stats(calls.select(F.lit(label).alias("horizon"), value.alias("value")),
-                        ["horizon"], probs=(0.01, 0.99), few_keys=True)
+    values = settle(calls.select(F.lit(label).alias("horizon"), F.col(f"call_{label}")
+                                 .alias("value")).filter(F.col("value").isNotNull()))
+    stats = value_stats(values, ["horizon"], probs=(0.01, 0.99), few_keys=True, stored=True)
     edges = stats.agg(F.struct(
         F.max(F.floor(F.col("p1") / step) * step).alias("lo"),
         F.max(F.ceil(F.col("p99") / step) * step).alias("hi"))).scalar()
     lo, hi = edges["lo"], edges["hi"]
-    placed = F.floor((clip(value, lo, hi - 1e-9) - lo) / step)
+    placed = F.floor((clip(F.col("value"), lo, hi - 1e-9) - lo) / step)
     start = lo + F.col("bin") * step
     return (
-        calls.filter(value.isNotNull() & (hi > lo)).select(placed.alias("bin"))
+        values.filter(hi > lo).select(placed.alias("bin"))
         .groupBy("bin").agg(F.count(F.lit(1)).alias("calls"))
         .select(start.alias("start"), (start + step).alias("end"), "calls",
                 F.when(start >= 0, "Call paid").otherwise("Call did not pay").alias("side"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callbook.functions.dates import local_day
 from callbook.functions.stance import stance_label, stance_score
+from callbook.session import settle
 from callbook.sources import tables
 
 # Fixed values.
@@ -37,7 +38,7 @@ def apply_relabel(relabelled: DataFrame) -> DataFrame:
 
 def store_relabel(spark: SparkSession, root: str) -> DataFrame:
     """Relabel the stored articles; only months with a change are rewritten."""
-    diff = tables.settle(relabel(tables.read_table(spark, root, "articles")))
+    diff = settle(relabel(tables.read_table(spark, root, "articles")))
     stale = diff.filter("changed")
     tables.rewrite(root, "articles", apply_relabel(
         tables.touched(diff, stale, "month")))

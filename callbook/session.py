@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "8", app: str = "callbook", **conf) -> SparkSession:
@@ -18,6 +18,7 @@ def local_session(cores: str = "8", app: str = "callbook", **conf) -> SparkSessi
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -44,3 +45,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         wanted = tempfile.mkdtemp(prefix="callbook-ck-")
     sc.setCheckpointDir(wanted)
     return sc.getCheckpointDir()
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and go on from there.
+
+    For rows that several later steps read, so that their joins run once, and
+    before a table is overwritten with rows read from it. Runs a job; the rows
+    outlive lost executors.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from callbook.operators.merge import to_schema
 from callbook.schemas import TABLES
-from callbook.session import ensure_checkpoint_dir
+from callbook.session import settle
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -28,16 +28,6 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
-
-    Needed before overwriting a table the rows were read from, and for batches
-    that several writes use. Lost executors do not lose them.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def _write(df: DataFrame, root: str, name: str) -> None:
     _, _, part = TABLES[name]
     if part is None:
