@@ -2,7 +2,9 @@
 
 Orders stand for articles, order lines for coverage, suppliers for listed
 companies, and a supplier's line prices by ship date for its daily closes. The
-same definitions in SQL are in ``prelude.py``.
+same definitions in SQL are in ``prelude.py``. Articles, coverage and prices are
+stored tables in real use and most queries read them several times, so they are
+settled once per query.
 """
 
 from __future__ import annotations
@@ -111,8 +113,14 @@ class Domain:
 
     @cached_property
     def articles(self) -> DataFrame:
-        return with_stance(self.headlines).select(
-            "path", "title", "author", "published_day", "section", "stance", "stance_score")
+        """Labelled once, as at ingest, and stored."""
+        return settle(with_stance(self._spread(self.headlines)).select(
+            "path", "title", "author", "published_day", "section", "stance", "stance_score"))
+
+    def _spread(self, df: DataFrame) -> DataFrame:
+        """Give a small file that arrives as one split to all cores."""
+        slots = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
     @cached_property
     def coverage(self) -> DataFrame:
@@ -122,10 +130,10 @@ class Domain:
         pairs = lines.join(arts, "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(
             F.bool_or(F.col("l_linenumber") == 1).alias("is_primary"),
             F.first("path").alias("path"), F.first("published_day").alias("published_day"))
-        return pairs.select(
+        return settle(pairs.select(
             ticker_code(supp).alias("ticker"), "path", "published_day", "is_primary",
             F.when(F.col("is_primary"), "primary_meta").otherwise("meta").alias("source"),
-            (supp % 11 != 4).alias("verified"))
+            (supp % 11 != 4).alias("verified")))
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -141,7 +149,6 @@ class Domain:
         index = lines.groupBy(day).agg(
             (total / F.count(F.lit(1))).alias("close"), quantity.alias("volume")
         ).select(F.lit(BENCHMARK).alias("symbol"), "date", "close", "volume")
-        # A stored table in real use, and read several times by most queries.
         return settle(stocks.unionByName(index))
 
     @cached_property
@@ -204,7 +211,7 @@ class Domain:
         og = F.when(key % 3 != 0, F.concat(
             F.lit('<meta property="og:title" content="'), title, F.lit(f' | {SITE}"/>'))
         ).otherwise("")
-        return self.headlines.select("path", F.concat(
+        return self._spread(self.headlines).select("path", F.concat(
             F.lit("<html><head>\n<title>Page "), title, F.lit(f" | {SITE}</title>\n"),
             F.lit('<meta name="author" content="'), F.coalesce("author", F.lit("")),
             F.lit('"/>\n<META NAME="author" content="Second Hand"/>\n'),

@@ -17,6 +17,12 @@ def r6(expr: str) -> str:
     return f"(CASE WHEN round({expr}, 6) = 0 THEN 0.0 ELSE round({expr}, 6) END)"
 
 
+def significant(expr: str) -> str:
+    """Nine significant digits, for values that grow without a bound."""
+    size = f"pow(10, floor(log10({expr})))"
+    return f"(CASE WHEN {expr} > 0 THEN round({expr} / {size}, 8) * {size} ELSE {expr} END)"
+
+
 def pct(base: str, exit_: str) -> str:
     return f"(CASE WHEN {base} <> 0 THEN ({exit_} - {base}) / {base} * 100.0 END)"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from callbook.checks.domain import Domain
 from callbook.checks.prelude import PRELUDE
@@ -28,6 +29,12 @@ def check(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     """Round computed doubles to six decimals before they are compared."""
-    from pyspark.sql import functions as F
-
     return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def significant(df: DataFrame, *columns: str) -> DataFrame:
+    """Nine significant digits, for values that grow without a bound."""
+    def digits(c: str):
+        size = F.pow(F.lit(10.0), F.floor(F.log10(c)))
+        return F.when(F.col(c) > 0, F.round(F.col(c) / size, 8) * size).otherwise(F.col(c))
+    return df.withColumns({c: digits(c) for c in columns})

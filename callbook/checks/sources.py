@@ -10,7 +10,14 @@ from callbook.checks.registry import check
 from callbook.functions import stance as S
 from callbook.functions import text as X
 from callbook.operators.sessions import latest_close, next_session, price_book
-from callbook.plans.ingest import frontier_rows, new_frontier_rows, parse_pages
+from callbook.plans.ingest import (
+    article_rows,
+    coverage_rows,
+    frontier_rows,
+    new_frontier_rows,
+    read_heads,
+)
+from callbook.session import settle
 from callbook.sources.articles import head_of
 from callbook.sources.charts import parse_charts
 from callbook.sources.listings import parse_listing, union_listings
@@ -42,7 +49,7 @@ def listing_scan(d):
 
 # --- S2 -----------------------------------------------------------------------
 @check("chart_scan", """
-SELECT symbol, date, CAST(round(CAST(close AS DECIMAL(30, 12)), 4) AS DOUBLE) AS close, volume
+SELECT symbol, date, CAST(round(CAST(CAST(close AS VARCHAR) AS DECIMAL(38, 15)), 4) AS DOUBLE) AS close, volume
 FROM prices WHERE close IS NOT NULL""")
 def chart_scan(d):
     # One chart document per symbol and year, as a price API would answer.
@@ -116,7 +123,8 @@ SELECT n.path, n.t AS title, coalesce(n.author, '') AS author, n.published_day,
   coalesce(c.n, 0) AS ticker_count
 FROM named n LEFT JOIN (SELECT path, count(*) AS n FROM cov GROUP BY 1) c ON c.path = n.path""")
 def ingest_articles(d):
-    return parse_pages(d.landed, d.universe, SITE).articles.drop(
+    heads = settle(read_heads(d.landed, SITE))
+    return article_rows(heads, coverage_rows(heads, d.universe)).drop(
         "published_ts", "fetched_ts", "month")
 
 
@@ -125,7 +133,7 @@ SELECT c.ticker, c.path, h.published_day, c.is_primary,
   CASE WHEN c.is_primary THEN 'primary_meta' ELSE 'meta' END AS source, c.verified
 FROM cov c JOIN headlines h ON h.path = c.path""")
 def ingest_coverage(d):
-    return parse_pages(d.landed, d.universe, SITE).coverage.drop("month")
+    return coverage_rows(read_heads(d.landed, SITE), d.universe).drop("month")
 
 
 @check("meta_tags", """

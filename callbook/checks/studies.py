@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from callbook.checks.domain import HOST
+from callbook.checks import prelude
 from callbook.checks.prelude import pct, r6, share, wilson
-from callbook.checks.registry import check, rounded
+from callbook.checks.registry import check, rounded, significant
 from callbook.plans import authors as A
 from callbook.plans import study as E
 from callbook.plans import timeline as L
@@ -100,22 +101,23 @@ m AS (SELECT month, count(*) AS calls, avg(ret_21) AS basket, avg(bench_21) AS b
 baskets AS (SELECT *, product(1 + basket / 100) OVER w AS follow_growth,
    product(1 + bench / 100) OVER w AS bench_growth FROM m
  WINDOW w AS (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
-_GROWTH = ("basket", "bench", "follow_growth", "bench_growth")
+_GROWTH = ("follow_growth", "bench_growth")
 
 
-@check("follow_the_calls", _BASKETS + " SELECT month, calls, "
-       + ", ".join(f"{r6(c)} AS {c}" for c in _GROWTH) + " FROM baskets")
+@check("follow_the_calls", _BASKETS + f" SELECT month, calls, {r6('basket')} AS basket, "
+       f"{r6('bench')} AS bench, "
+       + ", ".join(f"{prelude.significant(c)} AS {c}" for c in _GROWTH) + " FROM baskets")
 def follow_the_calls(d):
-    return rounded(T.follow_the_calls(d.track), *_GROWTH)
+    return significant(rounded(T.follow_the_calls(d.track), "basket", "bench"), *_GROWTH)
 
 
 @check("growth_series", _BASKETS + f"""
-SELECT month, calls, 'Buy every bullish call' AS series, {r6('follow_growth')} AS growth,
+SELECT month, calls, 'Buy every bullish call' AS series, {prelude.significant('follow_growth')} AS growth,
   month = (SELECT max(month) FROM baskets) AS is_last FROM baskets
-UNION ALL SELECT month, calls, 'Benchmark', {r6('bench_growth')},
+UNION ALL SELECT month, calls, 'Benchmark', {prelude.significant('bench_growth')},
   month = (SELECT max(month) FROM baskets) FROM baskets""")
 def growth_series(d):
-    return rounded(T.growth_series(T.follow_the_calls(d.track)), "growth")
+    return significant(T.growth_series(T.follow_the_calls(d.track)), "growth")
 
 
 @check("basket_summary", _BASKETS + f"""
@@ -309,7 +311,7 @@ _RAW = {"censor_days": 0, "min_articles": 1}
 
 
 def _build(d, **options):
-    return E.build_events(d.coverage, d.articles, d.tickers, d.prices, **options)
+    return E.Study(d.coverage, d.articles, d.tickers, d.prices, **options)
 
 
 def _events_sql(censor: int, least: int) -> str:
@@ -378,7 +380,7 @@ SELECT horizon, tickers, {r6('mean_diff')} AS mean_diff, {r6('median_diff')} AS
   WHEN mean_diff > 0 THEN 'earlier_better' ELSE 'earlier_worse' END AS code
 FROM votes""")
 def study_verdict(d):
-    return rounded(E.verdict(_build(d, **_RAW).paired).drop("text"), "mean_diff", "median_diff",
+    return rounded(_build(d, **_RAW).verdict.drop("text"), "mean_diff", "median_diff",
                    "first_wins_pct")
 
 
@@ -459,13 +461,13 @@ def _timeline(adjusted: bool) -> str:
                 f"{pct(f'{b_from}.close', f'{b_to}.close')} END")
 
     for m, s in windows.items():
-        cols.append(f"{r6(leg(pct(f'a.p{s}', 'a.close'), bench(f'bp{s}', f'a.pd{s}'), 'b0'))} "
+        cols.append(f"{leg(pct(f'a.p{s}', 'a.close'), bench(f'bp{s}', f'a.pd{s}'), 'b0')} "
                     f"AS before_{m}")
-        cols.append(f"{r6(leg(pct('a.close', f'a.n{s}'), 'b0', bench(f'bn{s}', f'a.nd{s}')))} "
+        cols.append(f"{leg(pct('a.close', f'a.n{s}'), 'b0', bench(f'bn{s}', f'a.nd{s}'))} "
                     f"AS after_{m}")
     last = bench("bl", "a.last_date")
     since = leg(pct("a.close", "a.last_close"), "b0", last)
-    cols.append(f"{r6(f'CASE WHEN a.last_idx > a.idx THEN {since} END')} AS since_first")
+    cols.append(f"CASE WHEN a.last_idx > a.idx THEN {since} END AS since_first")
     return f"""
 , cov AS (SELECT ticker, published_day, path, min(published_day) OVER () AS start,
    row_number() OVER (PARTITION BY ticker ORDER BY published_day, path) AS rn,
@@ -495,12 +497,15 @@ timeline AS (SELECT a.ticker, a.name, a.first_covered, a.articles, a.censored, a
 _MOVES = [f"{p}_{m}" for m in L.MONTH_WINDOWS for p in ("before", "after")] + ["since_first"]
 
 
-@check("coverage_timeline", _timeline(True) + " SELECT * FROM timeline")
+_ROWS = (f" SELECT * REPLACE ({', '.join(f'{r6(c)} AS {c}' for c in _MOVES)}) FROM timeline")
+
+
+@check("coverage_timeline", _timeline(True) + _ROWS)
 def coverage_timeline(d):
     return rounded(L.coverage_timeline(d.coverage, d.tickers, d.prices), *_MOVES)
 
 
-@check("coverage_timeline_raw", _timeline(False) + " SELECT * FROM timeline")
+@check("coverage_timeline_raw", _timeline(False) + _ROWS)
 def coverage_timeline_raw(d):
     return rounded(L.coverage_timeline(d.coverage, d.tickers, d.prices, market_adjusted=False),
                    *_MOVES)

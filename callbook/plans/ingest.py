@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,33 +39,32 @@ def new_frontier_rows(frontier: DataFrame, urls: DataFrame, host: str,
     return M.insert_ignore(frontier, frontier_rows(urls, host, sections), ["path"])
 
 
-@dataclass
-class Parsed:
-    articles: DataFrame
-    coverage: DataFrame
-
-
-def parse_pages(landed: DataFrame, universe: DataFrame, site_name: str,
-                order: str | None = None, head_chars: int = HEAD_CHARS) -> Parsed:
-    """Article and coverage rows of landed (path, html) pages.
+def read_heads(landed: DataFrame, site_name: str, order: str | None = None,
+               head_chars: int = HEAD_CHARS) -> DataFrame:
+    """Parsed heads of landed (path, html) pages.
 
     With ``order``, a path landed several times keeps its last page.
     """
     if order is not None:
         landed = M.last_per_key(landed, ["path"], order).drop(order)
-    heads = landed.withColumn("html", head_of(F.col("html"), head_chars))
-    parsed = parse_heads(heads, site_name)
-    found = head_tickers(parsed, universe)
-    counts = found.groupBy("path").agg(F.count(F.lit(1)).alias("ticker_count"))
-    month = X.path_month(F.col("path")).alias("month")
-    articles = with_stance(parsed).join(counts, "path", "left").select(
+    return parse_heads(landed.withColumn("html", head_of(F.col("html"), head_chars)), site_name)
+
+
+def coverage_rows(heads: DataFrame, universe: DataFrame) -> DataFrame:
+    """One row per article and ticker."""
+    return head_tickers(heads, universe).select(
+        "ticker", "path", "published_day", "is_primary",
+        X.source_tag(F.col("is_primary")).alias("source"), "verified",
+        X.path_month(F.col("path")).alias("month"))
+
+
+def article_rows(heads: DataFrame, coverage: DataFrame) -> DataFrame:
+    """One labelled row per article with the number of its coverage rows."""
+    counts = coverage.groupBy("path").agg(F.count(F.lit(1)).alias("ticker_count"))
+    return with_stance(heads).join(counts, "path", "left").select(
         "path", "title", "author", "published_day", "published_ts", "section", "stance",
         "stance_score", F.coalesce("ticker_count", F.lit(0)).cast("bigint").alias("ticker_count"),
-        F.current_timestamp().alias("fetched_ts"), month)
-    coverage = found.select(
-        "ticker", "path", "published_day", "is_primary",
-        X.source_tag(F.col("is_primary")).alias("source"), "verified", month)
-    return Parsed(articles, coverage)
+        F.current_timestamp().alias("fetched_ts"), X.path_month(F.col("path")).alias("month"))
 
 
 def store_pages(spark: SparkSession, root: str, landed: DataFrame, site_name: str,
@@ -77,8 +74,9 @@ def store_pages(spark: SparkSession, root: str, landed: DataFrame, site_name: st
     Every write is keyed, so storing the same pages again changes nothing: a
     batch that is repeated after a failure is safe.
     """
-    parsed = parse_pages(landed, tables.read_table(spark, root, "universe"), site_name, order)
-    arts, cov = settle(parsed.articles), settle(parsed.coverage)
+    heads = settle(read_heads(landed, site_name, order))
+    cov = settle(coverage_rows(heads, tables.read_table(spark, root, "universe")))
+    arts = settle(article_rows(heads, cov))
 
     old = tables.touched(tables.read_table(spark, root, "coverage"), arts, "month")
     tables.rewrite(root, "coverage", M.replace_coverage(old, cov, arts))
