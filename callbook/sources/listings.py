@@ -15,13 +15,19 @@ FOOTER = "File Creation Time"
 
 
 def read_listing_file(spark: SparkSession, path: str) -> DataFrame:
-    """The raw file, all columns text, with its line order in ``_line``."""
-    # Empty fields stay '', so only fields a short row lacks are NULL.
-    raw = (spark.read.option("sep", "|").option("header", True).option("quote", "")
-           .option("nullValue", "\u0000").option("mode", "PERMISSIVE").csv(path))
-    return raw.withColumn("_line", F.struct(
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row")))
+    """The raw file, all columns text, with its line order in ``_line``.
+
+    Split here rather than by the CSV reader, which reads an empty field and a
+    field a short row lacks as the same NULL.
+    """
+    header = spark.read.option("sep", "|").option("header", True).option("quote", "").csv(
+        path).columns
+    fields = F.split("value", r"\|", -1)
+    line = F.struct(F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row"))
+    return (spark.read.text(path).withColumn("_line", line)
+            .filter(F.col("value") != "|".join(header))
+            .select(*[F.get(fields, i).alias(c) for i, c in enumerate(header)], "_line"))
 
 
 def parse_listing(raw: DataFrame, exchange: str | None = None) -> DataFrame:
