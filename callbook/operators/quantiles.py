@@ -42,9 +42,12 @@ def value_stats(df: DataFrame, keys: list[str], value: str = "value",
     The rows are read twice, so keys and value are settled first unless ``df``
     is ``stored``, a table scan or settled already.
     """
+    named = dict(zip((f"_g{i}" for i in range(len(keys))), keys))
     rows = df.filter(F.col(value).isNotNull()).select(
-        *keys, F.col(value).cast("double").alias("v"))
+        *[F.col(key).alias(g) for g, key in named.items()],
+        F.col(value).cast("double").alias("v"))
     rows = (rows if stored else settle(rows)).withColumn("bin", _bin(F.col("v")))
+    keys = list(named)
     hist = rows.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"),
         F.count_if(F.col("v") > 0).alias("pos"), F.min("v").alias("lo"), F.max("v").alias("hi"))
@@ -91,7 +94,7 @@ def value_stats(df: DataFrame, keys: list[str], value: str = "value",
         a, b = F.col(f"_q{i}.a"), F.col(f"_q{i}.b")
         place = F.lit(p) * (F.col("n") - 1)
         quantiles.append((a + (b - a) * (place - F.floor(place))).alias(_slug(p)))
-    return out.select(*keys, "n", "total", (F.col("total") / F.col("n")).alias("mean"),
+    return out.select(*[F.col(g).alias(key) for g, key in named.items()], "n", "total", (F.col("total") / F.col("n")).alias("mean"),
                       "positives", *quantiles)
 
 
