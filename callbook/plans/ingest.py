@@ -79,7 +79,7 @@ def store_pages(spark: SparkSession, root: str, landed: DataFrame, site_name: st
     arts = settle(article_rows(heads, cov))
 
     old = tables.touched(tables.read_table(spark, root, "coverage"), arts, "month")
-    tables.rewrite(root, "coverage", M.replace_coverage(old, cov, arts))
+    tables.rewrite(root, "coverage", M.replace_coverage(old, cov, arts), covering=arts)
     old = tables.touched(tables.read_table(spark, root, "articles"), arts, "month")
     tables.rewrite(root, "articles", M.upsert_replace(old, arts, ["path"]))
     tables.rewrite(root, "tickers", M.upsert_first_seen(

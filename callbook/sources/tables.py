@@ -19,9 +19,10 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     Columns that older files lack read as NULL, which is all an additive
     migration takes (K12).
     """
-    schema, _, _ = TABLES[name]
+    schema, keys, _ = TABLES[name]
     try:
-        return spark.read.schema(schema).parquet(f"{root}/{name}")
+        stored = spark.read.schema(schema).parquet(f"{root}/{name}")
+        return stored.dropna(subset=keys) if keys else stored
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
@@ -39,9 +40,20 @@ def _write(df: DataFrame, root: str, name: str) -> None:
      .option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}"))
 
 
-def rewrite(root: str, name: str, merged: DataFrame) -> None:
-    """Overwrite (the touched partitions of) a table with rows derived from it."""
-    _write(settle(to_schema(merged, TABLES[name][0])), root, name)
+def rewrite(root: str, name: str, merged: DataFrame, covering: DataFrame | None = None) -> None:
+    """Overwrite (the touched partitions of) a table with rows derived from it.
+
+    A partition is only replaced when there is a row for it. Where a merge may
+    leave a partition empty, ``covering`` names the partitions it covers: those
+    without a row left get one without a key, which reads skip.
+    """
+    schema, _, part = TABLES[name]
+    rows = settle(to_schema(merged, schema))
+    if covering is not None:
+        emptied = covering.select(part).distinct().join(
+            rows.select(part).distinct(), part, "left_anti")
+        rows = rows.unionByName(to_schema(emptied, schema))
+    _write(rows, root, name)
 
 
 def touched(table: DataFrame, new: DataFrame, part: str | None) -> DataFrame:
