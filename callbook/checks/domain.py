@@ -127,9 +127,9 @@ class Domain:
         lines = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
         supp = F.col("l_suppkey")
         arts = self.headlines.select(F.col("key").alias("l_orderkey"), "path", "published_day")
-        pairs = lines.join(arts, "l_orderkey").groupBy("l_orderkey", "l_suppkey").agg(
-            F.bool_or(F.col("l_linenumber") == 1).alias("is_primary"),
-            F.first("path").alias("path"), F.first("published_day").alias("published_day"))
+        pairs = lines.join(arts, "l_orderkey").groupBy(
+            "l_orderkey", "l_suppkey", "path", "published_day"
+        ).agg(F.bool_or(F.col("l_linenumber") == 1).alias("is_primary"))
         return settle(pairs.select(
             ticker_code(supp).alias("ticker"), "path", "published_day", "is_primary",
             F.when(F.col("is_primary"), "primary_meta").otherwise("meta").alias("source"),

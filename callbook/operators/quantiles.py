@@ -4,8 +4,10 @@
 which a group with a third of all rows would overflow. Here every value falls
 into an order-preserving bin; partial aggregation reduces the rows to bins, the
 running count over the bins locates the wanted ranks, and only the rows of the
-bins that hold a wanted rank are looked at again. The bins decide how much work
-the second look is, never the result.
+bins that hold a wanted rank are looked at again: first in thousands of equal
+slices between the bin's least and greatest value, then value by value in the one
+slice that holds the rank. Bins and slices decide how much work that is, never
+the result.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from callbook.session import settle
 
 _STEPS = 512        # bins per factor e
 _ZOOM = 1e4         # values below 1/_ZOOM share the bins around zero
+_SLICES = 4096      # parts of a bin that is looked into
 
 
 def _bin(value: Column) -> Column:
@@ -39,8 +42,8 @@ def value_stats(df: DataFrame, keys: list[str], value: str = "value",
     ``p99`` and so on. ``few_keys`` states that the keys come from a closed
     list, so the handful of wanted bins may be broadcast.
 
-    The rows are read twice, so keys and value are settled first unless ``df``
-    is ``stored``, a table scan or settled already.
+    The rows are read up to three times, so keys and value are settled first
+    unless ``df`` is ``stored``, a table scan or settled already.
     """
     named = dict(zip((f"_g{i}" for i in range(len(keys))), keys))
     rows = df.filter(F.col(value).isNotNull()).select(
@@ -48,71 +51,110 @@ def value_stats(df: DataFrame, keys: list[str], value: str = "value",
         F.col(value).cast("double").alias("v"))
     rows = (rows if stored else settle(rows)).withColumn("bin", _bin(F.col("v")))
     keys = list(named)
+
     hist = rows.groupBy(*keys, "bin").agg(
         F.count(F.lit(1)).alias("c"), F.sum("v").alias("s"),
         F.count_if(F.col("v") > 0).alias("pos"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-
     whole = Window.partitionBy(*keys)
-    before = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     placed = hist.select(
-        "*", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("before"),
+        "*", F.coalesce(F.sum("c").over(_before(keys, "bin")), F.lit(0)).alias("before"),
         F.sum("c").over(whole).alias("n"), F.sum("s").over(whole).alias("total"),
         F.sum("pos").over(whole).alias("positives"))
-
     marks = F.array(*[
         F.struct(F.lit(i).alias("prob"), F.lit(side).alias("side"),
                  rounding(F.lit(p) * (F.col("n") - 1)).cast("bigint").alias("rank"))
         for i, p in enumerate(probs)
         for side, rounding in ((0, F.floor), (1, F.ceil))])
-    inside = F.col("rank") - F.col("before")
-    wanted = (
-        placed.select("*", F.inline(marks))
-        .filter((inside >= 0) & (inside < F.col("c")))
-        .withColumn("k", inside)
-        .withColumn("known", F.when((F.col("k") == 0) | (F.col("lo") == F.col("hi")), F.col("lo"))
-                    .when(F.col("k") == F.col("c") - 1, F.col("hi")))
-    )
-
-    # Ranks strictly inside a bin: count that bin's values, in order.
-    open_bins = wanted.filter(F.col("known").isNull()).select(*keys, "bin").distinct()
-    found = _ranked_values(rows, open_bins, keys, few_keys)
-    values = wanted.join(
-        found,
-        _same(keys) & F.col("known").isNull() & (F.col("k") >= F.col("first"))
-        & (F.col("k") < F.col("first") + F.col("times")), "left",
-    ).select(*keys, "n", "total", "positives", "prob", "side",
-             F.coalesce("known", "found").alias("at"))
+    wanted = _known(placed.select("*", F.inline(marks)))
+
+    # Ranks strictly inside a bin. Narrow the bin to a slice of it, then order
+    # the distinct values of that slice.
+    open_ = wanted.filter(F.col("known").isNull())
+    sliced = _inside(rows, open_.select(*keys, "bin", "lo", "hi").distinct(), [*keys, "bin"],
+                     few_keys).withColumn("slice", _slice("v", "_lo", "_hi"))
+    slices = sliced.groupBy(*keys, "bin", "slice").agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn(
+        "before", F.coalesce(F.sum("c").over(_before([*keys, "bin"], "slice")), F.lit(0)))
+    asked = open_.select(*keys, "bin", "prob", "side", F.col("k").alias("rank"))
+    narrowed = _known(_matched(asked, slices, [*keys, "bin"]))
+
+    tight = [*keys, "bin", "slice"]
+    times = _inside(sliced.select(*tight, "v"), narrowed.filter(F.col("known").isNull())
+                    .select(*tight).distinct(), tight, few_keys).groupBy(*tight, "v").agg(
+        F.count(F.lit(1)).alias("c"))
+    ordered = times.select(
+        *tight, "c", F.col("v").alias("lo"), F.col("v").alias("hi"),
+        F.coalesce(F.sum("c").over(_before(tight, "v")), F.lit(0)).alias("before"))
+    last = _matched(narrowed.filter(F.col("known").isNull()).select(
+        *tight, "prob", "side", F.col("k").alias("rank")), ordered, tight)
+
+    cells = [*keys, "prob", "side"]
+    found = (narrowed.filter(F.col("known").isNotNull()).select(*cells, F.col("known").alias("at"))
+             .unionByName(_known(last).select(*cells, F.col("known").alias("at"))))
+    shape = [F.lit(None).cast("bigint").alias(c) for c in ("n", "positives")]
+    values = wanted.select(
+        *cells, F.col("known").alias("at"), "n", "positives", "total").unionByName(
+        found.select("*", *shape, F.lit(None).cast("double").alias("total")))
 
     def at(prob: int, side: int) -> Column:
         return F.max(F.when((F.col("prob") == prob) & (F.col("side") == side), F.col("at")))
 
-    out = values.groupBy(*keys, "n", "total", "positives").agg(*[
-        F.struct(at(i, 0).alias("a"), at(i, 1).alias("b")).alias(f"_q{i}")
-        for i in range(len(probs))])
+    out = values.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.max("total").alias("total"), F.max("positives").alias("positives"),
+        *[F.struct(at(i, 0).alias("a"), at(i, 1).alias("b")).alias(f"_q{i}")
+          for i in range(len(probs))])
     quantiles = []
     for i, p in enumerate(probs):
         a, b = F.col(f"_q{i}.a"), F.col(f"_q{i}.b")
         place = F.lit(p) * (F.col("n") - 1)
         quantiles.append((a + (b - a) * (place - F.floor(place))).alias(_slug(p)))
-    return out.select(*[F.col(g).alias(key) for g, key in named.items()], "n", "total", (F.col("total") / F.col("n")).alias("mean"),
-                      "positives", *quantiles)
+    return out.select(*[F.col(g).alias(key) for g, key in named.items()], "n", "total",
+                      (F.col("total") / F.col("n")).alias("mean"), "positives", *quantiles)
+
+
+def _before(keys: list[str], order: str):
+    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _known(df: DataFrame) -> DataFrame:
+    """Keep the ranks that fall into their bin, as ``k`` within it. The first and
+    last rank of a bin, and all ranks of a one-valued bin, are ``known``."""
+    k = F.col("rank") - F.col("before")
+    return (
+        df.withColumn("k", k).filter((F.col("k") >= 0) & (F.col("k") < F.col("c")))
+        .withColumn("known", F.when((F.col("k") == 0) | (F.col("lo") == F.col("hi")), F.col("lo"))
+                    .when(F.col("k") == F.col("c") - 1, F.col("hi")))
+    )
+
+
+def _slice(value: str, low: str, high: str) -> Column:
+    """Which of _SLICES equal parts of [low, high] a value lies in."""
+    v, lo, hi = F.col(value), F.col(low), F.col(high)
+    return F.least(F.floor((v - lo) / (hi - lo) * _SLICES), F.lit(_SLICES - 1)).cast("int")
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_{c}") for c in df.columns])
 
 
 def _same(keys: list[str]) -> Column:
-    """Join condition on the keys and the bin; the other side has them as _key."""
-    on = F.col("bin") == F.col("_bin")
+    """Equal keys, NULL included; the other side has them with an underscore."""
+    on = F.lit(True)
     for key in keys:
         on = on & F.col(key).eqNullSafe(F.col(f"_{key}"))
     return on
 
 
-def _ranked_values(rows: DataFrame, bins: DataFrame, keys: list[str],
-                   few_keys: bool) -> DataFrame:
-    """Distinct values of the given bins with their count and first rank."""
-    names = [*keys, "bin"]
-    renamed = bins.select(*[F.col(c).alias(f"_{c}") for c in names])
-    kept = rows.join(F.broadcast(renamed) if few_keys else renamed, _same(keys), "left_semi")
-    counted = kept.groupBy(*names, "v").agg(F.count(F.lit(1)).alias("times"))
-    run = Window.partitionBy(*names).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    return counted.select(*[F.col(c).alias(f"_{c}") for c in names], F.col("v").alias("found"),
-                          "times", F.coalesce(F.sum("times").over(run), F.lit(0)).alias("first"))
+def _inside(rows: DataFrame, bins: DataFrame, keys: list[str], few: bool) -> DataFrame:
+    """Rows of the given bins, with the bins' other columns."""
+    wanted = _renamed(bins)
+    joined = rows.join(F.broadcast(wanted) if few else wanted, _same(keys))
+    return joined.drop(*[f"_{k}" for k in keys])
+
+
+def _matched(asked: DataFrame, bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Each asked rank next to all bins of its key; :func:`_known` keeps its own."""
+    other = bins.select(*[F.col(k).alias(f"_{k}") for k in keys],
+                        *[c for c in bins.columns if c not in keys])
+    inside = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("c"))
+    return asked.join(other, _same(keys) & inside).drop(*[f"_{k}" for k in keys])

@@ -96,7 +96,7 @@ def store_sitemaps(spark: SparkSession, root: str, pages: DataFrame, host: str,
     """Queue the urls of landed (month, body) sitemap pages and note the months."""
     urls = sitemap_urls(pages)
     frontier = tables.read_table(spark, root, "frontier")
-    rows = frontier_rows(urls, host, sections)
+    rows = settle(frontier_rows(urls, host, sections))
     near = tables.touched(frontier, rows, "month")
     new = M.insert_ignore(near, rows, ["path"])
     tables.rewrite(root, "frontier", near.unionByName(new))
@@ -108,9 +108,9 @@ def store_sitemaps(spark: SparkSession, root: str, pages: DataFrame, host: str,
 
 def store_results(spark: SparkSession, root: str, results: DataFrame) -> None:
     """Apply (path, kind, message) fetch results to the frontier."""
-    keyed = results.withColumn("month", X.path_month(F.col("path")))
+    keyed = settle(results.withColumn("month", X.path_month(F.col("path"))))
     waiting = tables.touched(tables.read_table(spark, root, "frontier"), keyed, "month")
-    tables.rewrite(root, "frontier", M.apply_fetch_results(waiting, results))
+    tables.rewrite(root, "frontier", M.apply_fetch_results(waiting, keyed))
 
 
 def store_prices(spark: SparkSession, root: str, quotes: DataFrame) -> None:

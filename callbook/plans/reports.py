@@ -14,6 +14,7 @@ from callbook.operators.quantiles import value_stats
 from callbook.operators.sessions import benchmark_calendar, on_benchmark
 from callbook.plans.filters import coverage_filter, directional, in_days
 from callbook.plans.study import BENCHMARK
+from callbook.session import settle
 
 # Fixed values.
 TOP_ROWS, PANEL_ROWS = 200, 25
@@ -189,7 +190,7 @@ def stance_flips(coverage: DataFrame, articles: DataFrame, start=None, end=None,
     apply afterwards.
     """
     cov = coverage_filter(coverage, **toggles).select("ticker", "path", "published_day")
-    calls = _with_scores(cov, articles, "title", "author").filter(directional())
+    calls = settle(_with_scores(cov, articles, "title", "author").filter(directional()))
     linked = with_previous(calls, "ticker", "published_day", "path",
                            ["stance_score", "published_day", "title", "path"])
     up, was_up = F.col("stance_score") > 0, F.col("prev.stance_score") > 0

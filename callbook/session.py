@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,7 +19,6 @@ def local_session(cores: str = "8", app: str = "callbook", **conf) -> SparkSessi
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -48,11 +48,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+    """Write the rows as a table in the shared checkpoint folder and read that.
 
     For rows that several later steps read, so that their joins run once, and
     before a table is overwritten with rows read from it. Runs a job; the rows
-    outlive lost executors.
+    outlive lost executors, and later steps get column pruning, pushed filters
+    and real sizes to choose joins by.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

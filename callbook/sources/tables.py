@@ -56,11 +56,14 @@ def rewrite(root: str, name: str, merged: DataFrame, covering: DataFrame | None
     _write(rows, root, name)
 
 
-def touched(table: DataFrame, new: DataFrame, part: str | None) -> DataFrame:
-    """The partitions of a table that a batch falls into."""
-    if part is None:
-        return table
-    return table.join(new.select(part).distinct(), part, "left_semi")
+def touched(table: DataFrame, new: DataFrame, part: str) -> DataFrame:
+    """The partitions of a table that a settled batch falls into.
+
+    The values are looked up first, at most one per calendar month, so that the
+    scan lists and reads only their folders.
+    """
+    values = [r[0] for r in new.select(part).distinct().collect()]
+    return table.filter(F.col(part).isin(values))
 
 
 def append(df: DataFrame, root: str, name: str) -> None:
