@@ -19,8 +19,7 @@ def r6(expr: str) -> str:
 
 def significant(expr: str) -> str:
     """Nine significant digits, for values that grow without a bound."""
-    size = f"pow(10, floor(log10({expr})))"
-    return f"(CASE WHEN {expr} > 0 THEN round({expr} / {size}, 8) * {size} ELSE {expr} END)"
+    return f"CAST(printf('%.8e', {expr}) AS DOUBLE)"
 
 
 def pct(base: str, exit_: str) -> str:

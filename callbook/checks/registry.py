@@ -34,7 +34,5 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 def significant(df: DataFrame, *columns: str) -> DataFrame:
     """Nine significant digits, for values that grow without a bound."""
-    def digits(c: str):
-        size = F.pow(F.lit(10.0), F.floor(F.log10(c)))
-        return F.when(F.col(c) > 0, F.round(F.col(c) / size, 8) * size).otherwise(F.col(c))
-    return df.withColumns({c: digits(c) for c in columns})
+    return df.withColumns({
+        c: F.format_string("%.8e", F.col(c)).cast("double") for c in columns})

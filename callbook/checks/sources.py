@@ -153,9 +153,12 @@ def head_truncation(d):
         "page_id", F.length(head_of(F.col("html"))).cast("bigint").alias("head_chars"))
 
 
-@check("page_titles", f"""
-SELECT page_id, {collapsed("replace(replace(replace(replace(replace(regexp_extract(html, '(?i)<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')")} AS title
-FROM pages""")
+_TITLE = "regexp_extract(html, '(?i)<title>([^<]*)</title>', 1)"
+for _name, _char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("amp", "&")):
+    _TITLE = f"regexp_replace({_TITLE}, '&{_name};?', '{_char}', 'g')"
+
+
+@check("page_titles", f"SELECT page_id, {collapsed(_TITLE)} AS title FROM pages")
 def page_titles(d):
     raw = X.raw_title(F.col("html"))
     return d.table("pages").select(
