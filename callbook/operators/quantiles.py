@@ -43,7 +43,8 @@ def value_stats(df: DataFrame, keys: list[str], value: str = "value",
     list, so the handful of wanted bins may be broadcast.
 
     The rows are read up to three times, so keys and value are settled first
-    unless ``df`` is ``stored``, a table scan or settled already.
+    unless ``df`` is ``stored``, a table scan or settled already. The second and
+    third reading only happen when a wanted rank is still open.
     """
     named = dict(zip((f"_g{i}" for i in range(len(keys))), keys))
     rows = df.filter(F.col(value).isNotNull()).select(
@@ -65,36 +66,14 @@ def value_stats(df: DataFrame, keys: list[str], value: str = "value",
                  rounding(F.lit(p) * (F.col("n") - 1)).cast("bigint").alias("rank"))
         for i, p in enumerate(probs)
         for side, rounding in ((0, F.floor), (1, F.ceil))])
-    wanted = _known(placed.select("*", F.inline(marks)))
-
-    # Ranks strictly inside a bin. Narrow the bin to a slice of it, then order
-    # the distinct values of that slice.
-    open_ = wanted.filter(F.col("known").isNull())
-    sliced = _inside(rows, open_.select(*keys, "bin", "lo", "hi").distinct(), [*keys, "bin"],
-                     few_keys).withColumn("slice", _slice("v", "_lo", "_hi"))
-    slices = sliced.groupBy(*keys, "bin", "slice").agg(
-        F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn(
-        "before", F.coalesce(F.sum("c").over(_before([*keys, "bin"], "slice")), F.lit(0)))
-    asked = open_.select(*keys, "bin", "prob", "side", F.col("k").alias("rank"))
-    narrowed = _known(_matched(asked, slices, [*keys, "bin"]))
-
-    tight = [*keys, "bin", "slice"]
-    times = _inside(sliced.select(*tight, "v"), narrowed.filter(F.col("known").isNull())
-                    .select(*tight).distinct(), tight, few_keys).groupBy(*tight, "v").agg(
-        F.count(F.lit(1)).alias("c"))
-    ordered = times.select(
-        *tight, "c", F.col("v").alias("lo"), F.col("v").alias("hi"),
-        F.coalesce(F.sum("c").over(_before(tight, "v")), F.lit(0)).alias("before"))
-    last = _matched(narrowed.filter(F.col("known").isNull()).select(
-        *tight, "prob", "side", F.col("k").alias("rank")), ordered, tight)
-
+    # One row per wanted rank: a small table that cuts the plan here.
+    wanted = settle(_known(placed.select(*keys, "bin", "c", "lo", "hi", "before", "n", "total",
+                                         "positives", F.inline(marks))))
     cells = [*keys, "prob", "side"]
-    found = (narrowed.filter(F.col("known").isNotNull()).select(*cells, F.col("known").alias("at"))
-             .unionByName(_known(last).select(*cells, F.col("known").alias("at"))))
-    shape = [F.lit(None).cast("bigint").alias(c) for c in ("n", "positives")]
-    values = wanted.select(
-        *cells, F.col("known").alias("at"), "n", "positives", "total").unionByName(
-        found.select("*", *shape, F.lit(None).cast("double").alias("total")))
+    values = wanted.select(*cells, F.col("known").alias("at"), "n", "positives", "total")
+    for found in _look_inside(rows, wanted.filter(F.col("known").isNull()), keys, few_keys):
+        values = values.unionByName(
+            found.select(*cells, F.col("known").alias("at")), allowMissingColumns=True)
 
     def at(prob: int, side: int) -> Column:
         return F.max(F.when((F.col("prob") == prob) & (F.col("side") == side), F.col("at")))
@@ -112,6 +91,37 @@ def value_stats(df: DataFrame, keys: list[str], value: str = "value",
                       (F.col("total") / F.col("n")).alias("mean"), "positives", *quantiles)
 
 
+def _look_inside(rows: DataFrame, open_: DataFrame, keys: list[str], few: bool):
+    """Values of the ranks that lie strictly inside a bin, in up to two frames.
+
+    The bin is narrowed to a slice of it, then, if need be, the distinct values
+    of that slice are put in order.
+    """
+    if open_.isEmpty():
+        return
+    of_bin = [*keys, "bin"]
+    sliced = _inside(rows, open_.select(*of_bin, "lo", "hi").distinct(), of_bin, few).withColumn(
+        "slice", _slice("v", "_lo", "_hi"))
+    slices = sliced.groupBy(*of_bin, "slice").agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi")
+    ).withColumn("before", F.coalesce(F.sum("c").over(_before(of_bin, "slice")), F.lit(0)))
+    asked = open_.select(*of_bin, "prob", "side", F.col("k").alias("rank"))
+    narrowed = settle(_known(_matched(asked, slices, of_bin)))
+    yield narrowed.filter(F.col("known").isNotNull())
+
+    still_open = narrowed.filter(F.col("known").isNull())
+    if still_open.isEmpty():
+        return
+    of_slice = [*of_bin, "slice"]
+    times = _inside(sliced.select(*of_slice, "v"), still_open.select(*of_slice).distinct(),
+                    of_slice, few).groupBy(*of_slice, "v").agg(F.count(F.lit(1)).alias("c"))
+    ordered = times.select(
+        *of_slice, "c", F.col("v").alias("lo"), F.col("v").alias("hi"),
+        F.coalesce(F.sum("c").over(_before(of_slice, "v")), F.lit(0)).alias("before"))
+    yield _known(_matched(still_open.select(*of_slice, "prob", "side", F.col("k").alias("rank")),
+                          ordered, of_slice))
+
+
 def _before(keys: list[str], order: str):
     return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
