@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callbook.llm import bpe, packing
+from callbook.llm import bpe, chat, classlm, factorisation, hnsw, jaccard, outliers, packing, secrets, sharding
 from callbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,71 @@ def op1_packing(spark, sf_dir):
                          "doc_tokens", "sequence_id", "offset")
 
 
+@query("op2_factorisation_machine")
+def op2_factorisation_machine(spark, sf_dir):
+    return factorisation.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+CHAT_SQL = """
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+    UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized AS (
+    SELECT *, length(text) + (length(text) - length(replace(text, chr(92), '')))
+            + (length(text) - length(replace(text, '<s>', ''))) // 3
+            + (length(text) - length(replace(text, '</s>', ''))) // 4
+            + (length(text) - length(replace(text, '[INST]', ''))) // 6
+            + (length(text) - length(replace(text, '[/INST]', ''))) // 7
+            + (length(text) - length(replace(text, '[ROLE]', ''))) // 6
+            + (length(text) - length(replace(text, '[/ROLE]', ''))) // 7
+            + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE length(role) + 16 END AS size
+    FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), ''))
+           AS loss_sha256,
+       CAST(3 + sum(size) AS BIGINT) AS formatted_chars, false AS history_rewritten
+FROM sized GROUP BY conv_id
+"""
+
+
+@query("op3_incremental_chat", CHAT_SQL)
+def op3_incremental_chat(spark, sf_dir):
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.sql("""
+        SELECT -1L AS conv_id, CAST(turn AS bigint) AS turn, role, '</s>[INST] ok [/INST]' AS text
+        FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)""")
+    return chat.digest(chat.format_turns(given.unionByName(probe)))
+
+
+@query("op5_robust_outliers")
+def op5_robust_outliers(spark, sf_dir):
+    return outliers.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", *outliers.COUNTS, "base_failed", "distance", "kept")
+
+
+def joined_spans(column):
+    return F.concat_ws(",", F.transform(column, lambda x: F.concat_ws(
+        ":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+
+
+def _only(kind):
+    return lambda x: F.when(x == kind, x)
+
+
+@query("op8_secret_worklist")
+def op8_secret_worklist(spark, sf_dir):
+    found = secrets.scan_table(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [F.size(F.array_compact(F.transform(kinds, _only(kind)))).cast("long").alias(f"n_{kind}")
+              for kind in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined_spans("base"), 256).alias("base_sha256"),
+                        joined_spans("spans").alias("spans"))
+
+
 @query("op9_merge_replay")
 def op9_merge_replay(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -39,3 +104,29 @@ def op9_merge_replay(spark, sf_dir):
     return bpe.decode(coded, ranks).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_label_propagation")
+def op10_label_propagation(spark, sf_dir):
+    return sharding.place(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op4_minhash_join")
+def op4_minhash_join(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents")) \
+        .withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+@query("op6_class_lm")
+def op6_class_lm(spark, sf_dir):
+    found = classlm.score(table(spark, sf_dir, "documents"), ~classlm.held_out())
+    return found.select("doc_id", classlm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                        "base_score", "score")
+
+
+@query("op7_small_world_links")
+def op7_small_world_links(spark, sf_dir):
+    return hnsw.link(table(spark, sf_dir, "embeddings")) \
+        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
