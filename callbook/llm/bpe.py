@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from callbook.llm.common import map_batches, texts
 
 #: Words that a worker remembers; beyond it, it starts anew. Memory only, never results.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
+#: Text that is cut into pieces at once.
+SLICE = 3 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,6 +160,12 @@ def replay_of(path: str) -> MergeReplay:
     return MergeReplay(read_ranks(path))
 
 
+@lru_cache(maxsize=2)
+def memory_of(path: str, pattern: str) -> dict[str, bytes]:
+    """Pieces that the worker process has worked out, in this task or one before."""
+    return {}
+
+
 @lru_cache(maxsize=2)
 def words_of(path: str) -> list[bytes]:
     """The word of each id."""
@@ -176,7 +184,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
     def make():
         replay = replay_of(ranks_path)
         cut = regex.compile(pattern).findall
-        known: dict[str, bytes] = {}
+        known = memory_of(ranks_path, pattern)
 
         def step(batch: pa.RecordBatch):
             cuts = [cut(x) for x in texts(batch)]
@@ -192,7 +200,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         return step
 
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_batches(narrow, f"key {kind}, ids binary", "text", make) \
+    return map_batches(narrow, f"key {kind}, ids binary", "text", make, SLICE) \
         .select(F.col("key").alias(key), "ids")
 
 
@@ -210,5 +218,5 @@ def decode(coded: DataFrame, ranks_path: str, key: str = "doc_id", ids: str = "i
         return step
 
     narrow = coded.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return map_batches(narrow, f"key {kind}, ids binary, decoded binary", "ids", make) \
+    return map_batches(narrow, f"key {kind}, ids binary, decoded binary", "ids", make, SLICE) \
         .select(F.col("key").alias(key), "ids", "decoded")

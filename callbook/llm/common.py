@@ -52,18 +52,19 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str,
 
 
 def map_batches(df: DataFrame, schema: str, column: str,
-                make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]]) -> DataFrame:
+                make: Callable[[], Callable[[pa.RecordBatch], dict[str, object]]],
+                limit: int = CHUNK_BYTES) -> DataFrame:
     """Run one function per slice of rows, next to the data and without a shuffle.
 
-    `make()` runs once a task and returns the function; it gets a slice and returns
-    the columns of `schema` by name, as lists or Arrow arrays.
+    `make()` runs once a task and returns the function; it gets a slice of about `limit` bytes
+    of `column` and returns the columns of `schema` by name, as lists or Arrow arrays.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches):
         step = make()
-        for part in chunks(batches, column):
+        for part in chunks(batches, column, limit):
             out = step(part)
             yield pa.RecordBatch.from_arrays(
                 [v if isinstance(v, pa.Array) and v.type == f.type else
