@@ -35,7 +35,9 @@ from callbook.llm.common import remainder, spare_name
 BUCKETS, RANK = 1 << 16, 8
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 12_000
-EPOCHS, RATE, DECAY, BATCH = 4, 0.08, 1e-5, 128
+EPOCHS, RATE, DECAY, BATCH = 4, 0.08, 1e-5, 64
+#: Steps of the fit at least: a small sample is gone through more often.
+STEPS = 600
 #: Words whose buckets a worker remembers. Memory only, never results.
 REMEMBERED = 300_000
 
@@ -119,7 +121,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
     share = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     model.bias = math.log(share / (1 - share))
     g_linear, g_factors, g_bias = np.full(BUCKETS, 1e-2, np.float32), np.full((BUCKETS, RANK), 1e-2, np.float32), 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(rows)))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(rows), BATCH):
             pick = order[lo:lo + BATCH]
