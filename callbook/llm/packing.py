@@ -27,6 +27,7 @@ import re
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,14 @@ from callbook.llm.common import chunks, texts
 
 WINDOW = 4096
 SENTENCE_CUT, HARD_CUT, PER_SEQUENCE = 8, 64, 4
+#: Powers of two from here on are looked up; shorter sequences would be of little use.
+SHORTEST = 256
 #: Where no sentence ends for this many tokens, cuts inside it are allowed at this distance.
 HARD_STEP = 64
 #: Tokens of a block.
 BLOCK = 1 << 18
 #: Words that a worker remembers; beyond it, it starts anew. Memory only, never results.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def cut_places(ends: np.ndarray, sentences: np.ndarray, total: int,
@@ -69,7 +72,7 @@ def best_cuts(places: list[int], cost: list[int], window: int = WINDOW) -> list[
     Neighbouring places must not be more than `window` apart.
     """
     at = {p: i for i, p in enumerate(places)}
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k < window]
+    powers = [1 << k for k in range(SHORTEST.bit_length() - 1, window.bit_length()) if 1 << k < window]
     least, back = [0], [0]
     queue = deque([(places[0], 0)])     # (cost + place, index), rising from left to right
     first = 1 if len(places) < 2 else None
@@ -157,26 +160,31 @@ def pack_stream(stream: Iterator[tuple[object, np.ndarray, np.ndarray]], window:
         yield from give(lengths_of(True))
 
 
-class WordIds:
-    """Ids of texts by a tokenizer whose words never reach over white space.
+#: Letters that the tokenizer lowers and takes apart as single characters, how it cuts
+#: words of them, and the characters by which it names the bytes of a word.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+PLAIN = re.compile(f"[!-~{LETTERS}]+").fullmatch
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+").findall
+_NAMED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_NAMED)))}
 
-    Texts are cut at ASCII white space; each distinct word goes through the tokenizer
-    once and is remembered. Words of plain ASCII are lowered and cut as the tokenizer
-    does it and go to its model at once, the others through the whole tokenizer.
-    """
 
-    #: How the tokenizer cuts lower-case ASCII words.
-    ASCII_PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+class WordIds(dict):
+    """Ids of words by a tokenizer whose words never reach over white space.
+
+    Each distinct word goes through the tokenizer once and is remembered. Words of plain
+    letters are lowered and cut as the tokenizer does it and go to its model at once, all
+    others through the whole tokenizer.
+    """
 
     def __init__(self, path: str, end_id: int):
         import json
 
         from tokenizers import Tokenizer
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.parts = re.compile(self.ASCII_PARTS).findall
-        self.end = np.array([end_id], "<u4")
-        self.known: dict[bytes, bytes] = {}
-        self.known_parts: dict[str, bytes] = {}
+        self.end = np.array([end_id], "<u4").tobytes()
+        self.parts: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.closes = np.zeros(max(max(vocabulary.values()), end_id) + 1024, bool)
@@ -186,43 +194,34 @@ class WordIds:
                 self.closes[i] = True
 
     def _part(self, part: str) -> bytes:
-        if len(self.known_parts) > REMEMBERED:
-            self.known_parts.clear()
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
-        self.known_parts[part] = ids
+        if len(self.parts) >= REMEMBERED:
+            self.parts.clear()
+        named = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_NAMES)
+        ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
         return ids
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        plain = re.compile(rb"[!-~]+").fullmatch
-        cut, seen, one, known, others = self.parts, self.known_parts, self._part, self.known, []
-        for w in words:
-            if plain(w) and b"<|" not in w:
-                known[w] = b"".join([seen.get(p) or one(p) for p in cut(w.lower().decode())])
-            else:
-                others.append(w.decode())
-        for lo in range(0, len(others), 512):
-            some = others[lo:lo + 512]
-            coded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            starts = np.cumsum([0, *(len(w) + 1 for w in some[:-1])])
-            owner = np.searchsorted(starts, [a for a, _ in coded.offsets], "right") - 1
-            split = np.split(np.array(coded.ids, "<u4"), np.cumsum(np.bincount(owner, minlength=len(some)))[:-1])
-            for w, ids in zip(some, split, strict=True):
-                known[w.encode()] = ids.tobytes()
-
-    def __call__(self, batch: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids with the end id, and the places where sentences end, of every text."""
-        cut = [t.encode().split() for t in batch]
-        need = {w for ws in cut for w in ws}
-        fresh = need.difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            fresh = need
-        self.learn(fresh)
-        known = self.known
-        for words in cut:
-            ids = np.concatenate((np.frombuffer(b"".join([known[w] for w in words]), "<u4"), self.end))
-            yield ids, np.flatnonzero(self.closes[ids]) + 1
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        text = word.decode()
+        if PLAIN(text) and "<|" not in text:
+            find, work = self.parts.get, self._part
+            ids = b"".join([find(p) or work(p) for p in PARTS(text.lower())])
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the end id, and the places where sentences end."""
+        ids = np.frombuffer(b"".join([*map(self.__getitem__, text.encode().split()), self.end]), "<u4")
+        return ids, np.flatnonzero(self.closes[ids]) + 1
+
+
+@lru_cache(maxsize=2)
+def word_ids(path: str, end_id: int) -> WordIds:
+    """One for each worker process, so that its tasks share what they have learnt."""
+    return WordIds(path, end_id)
 
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -243,13 +242,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         first = TaskContext.get().partitionId() << 40
-        ids_of = WordIds(tokenizer_path, end_id)
+        ids_of = word_ids(tokenizer_path, end_id)
 
         def stream():
             for part in chunks(batches, "text"):
                 keys = part.column("key").to_pylist()
-                for k, (ids, places) in zip(keys, ids_of(texts(part)), strict=True):
-                    yield k, ids, places
+                for k, text in zip(keys, texts(part), strict=True):
+                    yield k, *ids_of.of(text)
 
         def batch(rows):
             keys, starts, ids, totals, sequences, offsets = zip(*rows, strict=True)
