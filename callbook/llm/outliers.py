@@ -169,9 +169,10 @@ def estimate(vectors: DataFrame, steps: int = STEPS) -> DataFrame:
     parts = [F.col(p) for p in PARTS]
     for _ in range(steps):
         bin_of = F.least(F.floor(BINS * F.log2(1 + 64 * distance(parts))), F.lit(TOP_BIN)).cast("int")
+        # One key for group and bin: else Spark shuffles by the group alone, and a hot one meets in one task.
         sums = vectors.join(found.drop("rows"), "_group").withColumn("_bin", bin_of) \
-            .groupBy("_group", "_bin").agg(
-                F.count("*").alias("n"), *(F.sum(x).alias(f"a{i}") for i, x in enumerate(parts)),
+            .groupBy(F.concat_ws("\x1e", F.col("_bin").cast("string"), "_group").alias("_cell")).agg(
+                F.any_value("_group").alias("_group"), F.any_value("_bin").alias("_bin"), F.count("*").alias("n"), *(F.sum(x).alias(f"a{i}") for i, x in enumerate(parts)),
                 *(F.sum(parts[i] * parts[j]).alias(f"b{i}_{j}") for i, j in PAIRS))
         found = settle(sums.groupBy("_group").applyInPandas(_estimate, ESTIMATE))
     return found
