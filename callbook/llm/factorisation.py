@@ -39,7 +39,7 @@ EPOCHS, RATE, DECAY, BATCH = 4, 0.08, 1e-5, 64
 #: Steps of the fit at least: a small sample is gone through more often.
 STEPS = 600
 #: Words whose buckets a worker remembers. Memory only, never results.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 #: Bytes that are counted for the structure statistics.
 CLASSES = (b"#*$%&|<>", bytes(range(65, 91)), b"!?", b".,;:", b"0123456789", b"()[]{}\"'/\\=_+-@")

@@ -296,16 +296,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without links, and one row of each linked group (smallest id), with the same columns."""
-    _, classes = linked_classes(docs, key, text)
-    node = spare_name(docs, "_node")
+    rows, classes = linked_classes(docs, key, text)
+    node, named = spare_name(docs, "_node"), spare_name(docs, "_linked")
 
     @F.pandas_udf("binary")
     def node_of(text: pd.Series) -> pd.Series:
         return pd.Series([digest(shingles(t or "")) for t in text], dtype=object)
 
-    marks = classes.select(F.col("node").alias(node), F.struct("group", "class_id").alias(named := spare_name(docs, "_linked")))
-    marked = docs.withColumn(node, node_of(F.col(text))).join(marks, node, "left")
-    alone = marked.where(F.col(named).isNull())
-    chosen = marked.where(F.col(named).isNotNull() & F.col(key).eqNullSafe(F.col(f"{named}.class_id"))) \
-        .withColumn(group := spare_name(docs, "_group"), F.col(f"{named}.group")).dropDuplicates([group])
-    return alone.select(*docs.columns).union(chosen.select(*docs.columns))
+    # Groups whose smallest id stands in several rows; these are rare, and one row is kept of them.
+    again = settle(rows.join(classes, "node").where(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("group").agg(
+        F.count("*").alias("n")).where("n > 1").select("group", F.lit(True).alias("again")))
+    marks = classes.join(again, "group", "left").select(
+        F.col("node").alias(node), F.struct("group", "class_id", "again").alias(named))
+    marked = docs.withColumn(node, node_of.asNondeterministic()(F.col(text))).join(marks, node, "left")
+    chosen = marked.where(F.col(named).isNull() | F.col(key).eqNullSafe(F.col(f"{named}.class_id")))
+    if not again.limit(1).count():
+        return chosen.select(*docs.columns)
+    repeated = F.col(named).isNotNull() & F.col(f"{named}.again").isNotNull()
+    group = spare_name(docs, "_group")
+    one = chosen.where(repeated).withColumn(group, F.col(f"{named}.group")).dropDuplicates([group])
+    return chosen.where(~repeated).select(*docs.columns).union(one.select(*docs.columns))

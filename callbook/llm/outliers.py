@@ -91,7 +91,8 @@ def stats_of(text: Column) -> Column:
     def stats(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([measure(x) for x in text], columns=[*COUNTS, *PARTS])
 
-    return stats(text)
+    # It is deterministic; said not to be, it runs once and not once for each filter that uses it.
+    return stats.asNondeterministic()(text)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:

@@ -45,7 +45,7 @@ HARD_STEP = 64
 #: Tokens of a block.
 BLOCK = 1 << 18
 #: Words that a worker remembers; beyond it, it starts anew. Memory only, never results.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def cut_places(ends: np.ndarray, sentences: np.ndarray, total: int,
