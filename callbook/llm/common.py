@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from callbook.session import settle
 
-__all__ = ["chunks", "map_batches", "remainder", "settle", "spare_name", "table"]
+__all__ = ["chunks", "long_rows", "map_batches", "remainder", "settle", "spare_name", "table"]
 
 #: Bytes of text that one step of a Python worker holds; one longer text is a step of its own.
 CHUNK_BYTES = 8 << 20
@@ -27,6 +27,17 @@ def remainder(column: str, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(modulus))
 
 
+#: Documents are long rows; so many go to a Python worker at once, or fewer if the session says so.
+BATCH_ROWS = 1000
+
+
+def long_rows(spark) -> None:
+    """Let the session hand documents to Python in batches that fit in little memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def spare_name(df: DataFrame, wanted: str) -> str:
     """A column name that the frame does not have yet, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}
@@ -61,6 +72,7 @@ def map_batches(df: DataFrame, schema: str, column: str,
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    long_rows(df.sparkSession)
 
     def run(batches):
         step = make()
@@ -70,6 +82,7 @@ def map_batches(df: DataFrame, schema: str, column: str,
                 [v if isinstance(v, pa.Array) and v.type == f.type else
                  (v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type))
                  for f in arrow for v in [out[f.name]]], schema=arrow)
+        pa.default_memory_pool().release_unused()       # workers live on for other tasks
 
     return df.mapInArrow(run, schema)
 

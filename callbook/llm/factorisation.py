@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callbook.llm.common import remainder, spare_name
+from callbook.llm.common import long_rows, remainder, spare_name
 
 BUCKETS, RANK = 1 << 16, 8
 #: Labelled rows that the model is fitted on, at most.
@@ -148,6 +148,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, metadata: tuple[str, ...] = ("n_chars",),
           sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> Model:
     """The model. use: a condition on the key of labels; the other rows are not learnt from."""
+    long_rows(docs.sparkSession)
     chosen = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     if use is not None:
         chosen = chosen.where(use)

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callbook.llm.common import settle, spare_name
+from callbook.llm.common import long_rows, settle, spare_name
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Share of a group that an estimate rests on, and concentration steps.
@@ -186,6 +186,7 @@ def limit(confidence: float = CONFIDENCE) -> float:
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text",
           by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """key, the counts, the vector, base_failed, distance (null where base_failed) and kept, by row."""
+    long_rows(docs.sparkSession)
     rows = settle(docs.select(F.col(key).alias("_key"), group_key(*(F.col(c) for c in by)).alias("_group"),
                               stats_of(F.col(text)).alias("_s")).select("_key", "_group", "_s.*")
                   .withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))))
@@ -203,6 +204,7 @@ def keep(docs: DataFrame, text: str = "text", by: tuple[str, ...] = ("lang", "so
     The vectors alone are settled for the estimates; a second pass over the texts judges
     each row next to its data, so that texts are not shuffled.
     """
+    long_rows(docs.sparkSession)
     stats, group = spare_name(docs, "_stats"), spare_name(docs, "_group")
     measured = docs.withColumn(group, group_key(*(F.col(c) for c in by))).withColumn(stats, stats_of(F.col(text)))
     fine = ~base_failed(F.col(f"{stats}.n_words"), F.col(f"{stats}.n_repeat_words"))

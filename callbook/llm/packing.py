@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callbook.llm.common import chunks, texts
+from callbook.llm.common import chunks, long_rows, texts
 
 WINDOW = 4096
 SENTENCE_CUT, HARD_CUT, PER_SEQUENCE = 8, 64, 4
@@ -236,6 +236,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_
     schema = f"key {docs.schema[key].dataType.simpleString()}, {PIECES}"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
+    long_rows(docs.sparkSession)
+
     def run(batches):
         import os
 

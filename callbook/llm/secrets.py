@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callbook.llm.common import map_batches, texts
+from callbook.llm.common import long_rows, map_batches, texts
 
 #: The patterns of the kinds, in the order in which they are listed.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -262,6 +262,7 @@ def masked(text: str | None) -> str | None:
 
 def mask(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
     """docs with secrets masked; the column of the length, where there is one, follows the text."""
+    long_rows(docs.sparkSession)
     masked_text = F.pandas_udf(lambda s: s.map(masked, na_action="ignore").astype(object).where(s.notna(), None), "string")
     out = docs.withColumn(text, masked_text(F.col(text)))
     if length in docs.columns:
