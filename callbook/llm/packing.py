@@ -69,14 +69,14 @@ def cut_places(ends: np.ndarray, sentences: np.ndarray, total: int,
 def best_cuts(places: list[int], cost: list[int], window: int = WINDOW) -> list[int]:
     """Indexes of the places to cut at, the first and the last included.
 
-    Neighbouring places must not be more than `window` apart.
+    Neighbouring places must not be more than `window` apart. The last sequence stays open,
+    so it pays no padding: what is left over gathers there.
     """
     at = {p: i for i, p in enumerate(places)}
     powers = [1 << k for k in range(SHORTEST.bit_length() - 1, window.bit_length()) if 1 << k < window]
     least, back = [0], [0]
     queue = deque([(places[0], 0)])     # (cost + place, index), rising from left to right
-    first = 1 if len(places) < 2 else None
-    if first:
+    if len(places) < 2:
         return [0]
     for j in range(1, len(places)):
         p = places[j]
@@ -95,7 +95,11 @@ def best_cuts(places: list[int], cost: list[int], window: int = WINDOW) -> list[
         while queue and queue[-1][0] >= key:
             queue.pop()
         queue.append((key, j))
-    cuts = [len(places) - 1]
+    j = i = len(places) - 1
+    while i and places[j] - places[i - 1] <= window:
+        i -= 1
+    back[j] = min(range(i, j), key=lambda i: (least[i], i))
+    cuts = [j]
     while cuts[-1]:
         cuts.append(back[cuts[-1]])
     return cuts[::-1]

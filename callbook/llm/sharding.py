@@ -23,7 +23,10 @@ from pyspark.sql.window import Window as W
 
 from callbook.llm.common import settle
 
-SHARDS, ROUNDS, BINS = 8, 4, 1024
+#: Rounds end as soon as nothing moves.
+SHARDS, ROUNDS, BINS = 8, 10, 1024
+#: A shard with less room than this share of its quota counts as full.
+FULL = 0.04
 #: Rows of a bin in which ranks are worked out, about.
 RANK_ROWS = 4000
 
@@ -50,7 +53,8 @@ def propagate(state: DataFrame, quotas: dict[int, int], rounds: int = ROUNDS) ->
     """state: row, link, shard of the linked rows; the same with the shards after the rounds."""
     for turn in range(rounds):
         loads = {r[0]: r[1] for r in state.groupBy("shard").count().collect()}      # one row per shard
-        room = {s: max(q - loads.get(s, 0), 0) for s, q in quotas.items()}
+        room = {s: q - loads.get(s, 0) for s, q in quotas.items()}
+        room = {s: r if r > quotas[s] * FULL else 0 for s, r in room.items()}
         blocks = state.groupBy("link", "shard").agg(F.count("*").alias("n"))
         open_blocks = blocks.where(_lookup(room, F.col("shard")) > 0)
         best = open_blocks.groupBy("link").agg(F.max(F.struct("n", (-F.col("shard")).alias("s"))).alias("b"))
