@@ -66,7 +66,7 @@ def coverage_cascade(d):
 , results AS (
  SELECT path, CASE priority WHEN '1-URGENT' THEN 'gone' WHEN '2-HIGH' THEN 'failed'
    WHEN '3-MEDIUM' THEN 'deferred' WHEN '4-NOT SPECIFIED' THEN 'throttled' ELSE 'ok' END AS kind,
-   left(repeat(priority || ' ', 40), 300) AS message FROM headlines WHERE order_state = 'O')
+   repeat(priority || ' ', 40) AS message FROM headlines WHERE order_state = 'O')
 SELECT f.path, CASE r.kind WHEN 'gone' THEN 'skipped' WHEN 'failed' THEN 'failed'
     WHEN 'ok' THEN 'done' ELSE f.state END AS state,
   CAST(f.attempts + CASE WHEN r.kind IN ('gone', 'failed', 'ok') THEN 1 ELSE 0 END AS INTEGER)

@@ -109,6 +109,16 @@ def top_tickers(d):
     return R.top_tickers(d.coverage, d.articles, d.tickers, FIRST, LAST)
 
 
+@check("top_tickers_all", _SCORED + f"""
+, top AS (SELECT ticker, count(*) AS articles, min(published_day) AS first_covered,
+  max(published_day) AS last_covered, {avg2('stance_score')} AS avg_stance
+ FROM scored WHERE {_DAYS} GROUP BY ticker)
+SELECT top.ticker, t.name, articles, first_covered, last_covered, avg_stance
+FROM top LEFT JOIN tickers t ON t.ticker = top.ticker""")
+def top_tickers_all(d):
+    return R.top_tickers(d.coverage, d.articles, d.tickers, FIRST, LAST, n=None)
+
+
 @check("ticker_options", """
 , counts AS (SELECT ticker, count(*) AS n FROM coverage WHERE is_primary GROUP BY 1)
 SELECT c.ticker, c.n, t.name, c.ticker || CASE WHEN coalesce(t.name, '') <> ''
@@ -219,6 +229,21 @@ def coverage_spikes(d):
                    "multiple")
 
 
+@check("coverage_spikes_all", f"""
+, ref AS (SELECT max(published_day) AS r FROM articles),
+counts AS (SELECT ticker, count(*) FILTER (published_day > r - 30) AS last_30d,
+  count(*) FILTER (published_day <= r - 30 AND published_day > r - 120) / 3.0 AS prior_avg_30d,
+  max(published_day) AS latest FROM coverage, ref GROUP BY ticker),
+busiest AS (SELECT * FROM counts WHERE last_30d >= 3)
+SELECT b.ticker, t.name, CASE WHEN prior_avg_30d > 0 THEN 'accelerating' ELSE 'newly covered' END
+  AS status, last_30d, {r6('prior_avg_30d')} AS prior_avg_30d,
+ {r6('CASE WHEN prior_avg_30d > 0 THEN last_30d / prior_avg_30d END')} AS multiple, latest
+FROM busiest b LEFT JOIN tickers t ON t.ticker = b.ticker""")
+def coverage_spikes_all(d):
+    return rounded(R.coverage_spikes(d.coverage, d.articles, d.tickers, n=None), "prior_avg_30d",
+                   "multiple")
+
+
 _AUTHORS = f"""
 , arts AS (SELECT author, count(*) AS articles, {avg2('stance_score')} AS avg_stance,
   min(published_day) AS first_seen, max(published_day) AS last_seen

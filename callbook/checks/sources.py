@@ -146,7 +146,7 @@ def meta_tags(d):
 # --- S7, F1, F6, F7 on the given pages ---------------------------------------------
 @check("head_truncation", """
 SELECT page_id, CASE WHEN regexp_matches(html, '(?i)</head>')
-  THEN strpos(lower(html), '</head>') + 6 ELSE least(length(html), 24000) END AS head_chars
+  THEN strpos(lower(html), '</head>') + 6 ELSE length(html) END AS head_chars
 FROM pages""")
 def head_truncation(d):
     return d.table("pages").select(

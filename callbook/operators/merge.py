@@ -19,7 +19,8 @@ def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upsert_replace(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace target rows with the same key; ``new`` is unique by key."""
+    """New rows replace target rows with the same key; ``new`` is unique by key
+    (see :func:`last_per_key`)."""
     kept = target.join(new.select(*keys), keys, "left_anti")
     return kept.unionByName(new.select(*target.columns))
 
@@ -52,26 +53,35 @@ def replace_coverage(coverage: DataFrame, new: DataFrame, articles: DataFrame) -
     return kept.unionByName(new.select(*coverage.columns))
 
 
-# The states of a frontier row and the failed-fetch limits.
+# The states of a frontier row and the failed-fetch limit.
 PENDING, DONE, SKIPPED, FAILED = "pending", "done", "skipped", "failed"
-MAX_ATTEMPTS, MAX_ERROR_CHARS = 5, 300
+MAX_ATTEMPTS = 5
 
 
-def apply_fetch_results(frontier: DataFrame, results: DataFrame) -> DataFrame:
+def apply_fetch_results(frontier: DataFrame, results: DataFrame,
+                        order: str | None = None) -> DataFrame:
     """Move frontier rows on by fetch result (path, kind, message).
 
     ``ok`` is done, ``gone`` is skipped, ``failed`` is failed, each one attempt
     more; ``deferred`` and ``throttled`` stay pending and only note the message.
+    A path with several results takes one of them: the last by ``order``, or,
+    without it, the best (``ok`` before the others). An ``ok`` for a row that is
+    done already changes nothing, so a repeated batch of pages is safe.
     """
+    result = F.struct("kind", "message")
+    last = F.max_by(result, order) if order else F.max(
+        F.struct((F.col("kind") == "ok").alias("best"), "kind", "message"))
+    results = results.groupBy("path").agg(last.alias("_r")).select("path", "_r.kind", "_r.message")
     kind = F.col("_kind")
     moved = F.when(kind == "ok", DONE).when(kind == "gone", SKIPPED).when(kind == "failed", FAILED)
     keyed = results.select("path", F.col("kind").alias("_kind"), F.col("message").alias("_msg"))
+    again = (kind == "ok") & (F.col("state") == DONE)
     return (
-        frontier.join(keyed, "path", "left")
+        frontier.join(keyed, "path", "left").withColumn("_kind", F.when(again, None).otherwise(kind))
         .withColumn("state", F.coalesce(moved, "state"))
         .withColumn("attempts", F.col("attempts") + F.when(moved.isNotNull(), 1).otherwise(0))
         .withColumn("last_error", F.when(kind.isNull() | (kind == "ok"), F.col("last_error"))
-                    .otherwise(F.substring("_msg", 1, MAX_ERROR_CHARS)))
+                    .otherwise(F.col("_msg")))
         .select(*frontier.columns)
     )
 

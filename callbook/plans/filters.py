@@ -16,11 +16,17 @@ def coverage_filter(df: DataFrame, *, primary_only: bool = False,
 
 
 def in_days(df: DataFrame, start=None, end=None, day: str = "published_day") -> DataFrame:
-    """Days from start to end, both included; None leaves that side open."""
-    if start is not None:
-        df = df.filter(F.col(day) >= F.lit(start).cast("date"))
-    if end is not None:
-        df = df.filter(F.col(day) <= F.lit(end).cast("date"))
+    """Days from start to end, both included; None leaves that side open.
+
+    Where the rows have their month, the same range of months prunes partitions.
+    """
+    for bound, inside in ((start, Column.__ge__), (end, Column.__le__)):
+        if bound is None:
+            continue
+        limit = F.lit(bound).cast("date")
+        df = df.filter(inside(F.col(day), limit))
+        if "month" in df.columns:
+            df = df.filter(inside(F.col("month"), F.date_format(limit, "yyyy-MM")))
     return df
 
 

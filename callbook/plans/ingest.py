@@ -10,7 +10,7 @@ from callbook.functions.stance import with_stance
 from callbook.operators import merge as M
 from callbook.session import settle
 from callbook.sources import tables
-from callbook.sources.articles import HEAD_CHARS, head_of, head_tickers, parse_heads
+from callbook.sources.articles import head_of, head_tickers, parse_heads
 from callbook.sources.sitemaps import month_url_counts, sitemap_urls
 
 # Fixed value: the sections whose articles are fetched.
@@ -39,15 +39,14 @@ def new_frontier_rows(frontier: DataFrame, urls: DataFrame, host: str,
     return M.insert_ignore(frontier, frontier_rows(urls, host, sections), ["path"])
 
 
-def read_heads(landed: DataFrame, site_name: str, order: str | None = None,
-               head_chars: int = HEAD_CHARS) -> DataFrame:
+def read_heads(landed: DataFrame, site_name: str, order: str | None = None) -> DataFrame:
     """Parsed heads of landed (path, html) pages.
 
     With ``order``, a path landed several times keeps its last page.
     """
     if order is not None:
         landed = M.last_per_key(landed, ["path"], order).drop(order)
-    return parse_heads(landed.withColumn("html", head_of(F.col("html"), head_chars)), site_name)
+    return parse_heads(landed.withColumn("html", head_of(F.col("html"))), site_name)
 
 
 def coverage_rows(heads: DataFrame, universe: DataFrame) -> DataFrame:
@@ -68,10 +67,10 @@ def article_rows(heads: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def store_pages(spark: SparkSession, root: str, landed: DataFrame, site_name: str,
-                order: str | None = None) -> None:
+                order: str) -> None:
     """Parse landed pages and upsert articles, coverage, tickers and the frontier.
 
-    Every write is keyed, so storing the same pages again changes nothing: a
+    ``order`` says which page of a path is its last. Every write is keyed, so storing the same pages again changes nothing: a
     batch that is repeated after a failure is safe.
     """
     heads = settle(read_heads(landed, site_name, order))
@@ -92,29 +91,46 @@ def store_pages(spark: SparkSession, root: str, landed: DataFrame, site_name: st
 
 
 def store_sitemaps(spark: SparkSession, root: str, pages: DataFrame, host: str,
-                   sections: list[str] = SECTIONS) -> None:
-    """Queue the urls of landed (month, body) sitemap pages and note the months."""
+                   sections: list[str] = SECTIONS) -> DataFrame:
+    """Queue the urls of landed (month, body) sitemap pages and note the months.
+
+    Unknown paths are appended; no stored row is written again. Returns one row
+    with their number.
+    """
     urls = sitemap_urls(pages)
     frontier = tables.read_table(spark, root, "frontier")
     rows = settle(frontier_rows(urls, host, sections))
     near = tables.touched(frontier, rows, "month")
-    new = M.insert_ignore(near, rows, ["path"])
-    tables.rewrite(root, "frontier", near.unionByName(new))
+    new = settle(M.insert_ignore(near, rows, ["path"]))
+    tables.append(new, root, "frontier")
     ledger = month_url_counts(pages.filter(F.col("month").isNotNull())).withColumn(
         "enumerated_ts", F.current_timestamp())
     tables.rewrite(root, "archive_months", M.upsert_replace(
         tables.read_table(spark, root, "archive_months"), ledger, ["month"]))
+    return new.agg(F.count(F.lit(1)).alias("added"))
 
 
-def store_results(spark: SparkSession, root: str, results: DataFrame) -> None:
-    """Apply (path, kind, message) fetch results to the frontier."""
+def store_results(spark: SparkSession, root: str, results: DataFrame,
+                  order: str | None = None) -> None:
+    """Apply (path, kind, message) fetch results to the frontier, the last of a path by ``order``."""
     keyed = settle(results.withColumn("month", X.path_month(F.col("path"))))
     waiting = tables.touched(tables.read_table(spark, root, "frontier"), keyed, "month")
-    tables.rewrite(root, "frontier", M.apply_fetch_results(waiting, keyed))
+    tables.rewrite(root, "frontier", M.apply_fetch_results(waiting, keyed, order))
+
 
+def store_prices(spark: SparkSession, root: str, quotes: DataFrame,
+                 order: str | None = None) -> None:
+    """Upsert (symbol, date, close, volume) rows.
 
-def store_prices(spark: SparkSession, root: str, quotes: DataFrame) -> None:
-    """Upsert (symbol, date, close, volume) rows."""
+    Of several quotes for a key the last by ``order`` counts; without it the one
+    with the highest volume, then close.
+    """
+    keys = ["symbol", "date"]
+    if order is not None:
+        quotes = M.last_per_key(quotes, keys, order).drop(order)
+    else:
+        best = F.max(F.struct("volume", "close")).alias("_q")
+        quotes = quotes.groupBy(*keys).agg(best).select(*keys, "_q.close", "_q.volume")
     new = settle(quotes.withColumn("month", F.date_format("date", "yyyy-MM")))
     old = tables.touched(tables.read_table(spark, root, "prices"), new, "month")
     tables.rewrite(root, "prices", M.upsert_replace(old, new, ["symbol", "date"]))

@@ -65,16 +65,21 @@ def _with_scores(coverage: DataFrame, articles: DataFrame, *columns: str) -> Dat
 
 
 def top_tickers(coverage: DataFrame, articles: DataFrame, tickers: DataFrame, start=None,
-                end=None, n: int = TOP_ROWS, **toggles) -> DataFrame:
-    """Most covered tickers with first and last day and average stance."""
-    cov = _with_scores(coverage_filter(in_days(coverage, start, end), **toggles), articles)
+                end=None, n: int | None = TOP_ROWS, **toggles) -> DataFrame:
+    """Most covered tickers with first and last day and average stance; all of them without n.
+
+    A path has one day, so the window holds on both sides of the join.
+    """
+    cov = _with_scores(coverage_filter(in_days(coverage, start, end), **toggles),
+                       in_days(articles, start, end))
     top = (
         cov.groupBy("ticker").agg(
             F.count(F.lit(1)).alias("articles"), F.min("published_day").alias("first_covered"),
             F.max("published_day").alias("last_covered"),
             F.round(F.avg("stance_score"), 2).alias("avg_stance"))
-        .orderBy(F.desc("articles"), "ticker").limit(n)
     )
+    if n is not None:
+        top = top.orderBy(F.desc("articles"), "ticker").limit(n)
     # Names are looked up for the listed rows only.
     return top.join(tickers.select("ticker", "name"), "ticker", "left").select(
         "ticker", "name", "articles", "first_covered", "last_covered", "avg_stance"
@@ -207,21 +212,30 @@ def stance_flips(coverage: DataFrame, articles: DataFrame, start=None, end=None,
 
 
 def coverage_spikes(coverage: DataFrame, articles: DataFrame, tickers: DataFrame,
-                    n: int = TOP_ROWS, **toggles) -> DataFrame:
-    """Last 30 days of coverage against the mean 30 days of the 90 before (A10)."""
+                    n: int | None = TOP_ROWS, **toggles) -> DataFrame:
+    """Last 30 days of coverage against the mean 30 days of the 90 before (A10).
+
+    The n busiest tickers, or all. Only the days that count are read: a ticker that
+    passes has its latest article among them.
+    """
     ref = articles.agg(F.max("published_day")).scalar()
     recent = F.date_sub(ref, SPIKE_DAYS)
     day = F.col("published_day")
     prior = (day <= recent) & (day > F.date_sub(ref, SPIKE_PRIOR_DAYS))
     windows = (SPIKE_PRIOR_DAYS - SPIKE_DAYS) / SPIKE_DAYS
+    window = coverage.filter(day > F.date_sub(ref, SPIKE_PRIOR_DAYS))
+    if "month" in coverage.columns:
+        window = window.filter(
+            F.col("month") >= F.date_format(F.date_sub(ref, SPIKE_PRIOR_DAYS), "yyyy-MM"))
     busiest = (
-        coverage_filter(coverage, **toggles).groupBy("ticker").agg(
+        coverage_filter(window, **toggles).groupBy("ticker").agg(
             F.count_if(day > recent).alias("last_30d"),
             (F.count_if(prior) / F.lit(windows)).alias("prior_avg_30d"),
             F.max(day).alias("latest"))
         .filter(F.col("last_30d") >= SPIKE_MIN)
-        .orderBy(F.desc("last_30d"), "ticker").limit(n)
     )
+    if n is not None:
+        busiest = busiest.orderBy(F.desc("last_30d"), "ticker").limit(n)
     base = F.col("prior_avg_30d")
     return busiest.join(tickers.select("ticker", "name"), "ticker", "left").select(
         "ticker", "name", spike_status(base).alias("status"), "last_30d", "prior_avg_30d",
@@ -239,7 +253,8 @@ def author_table(articles: DataFrame, coverage: DataFrame, start=None, end=None)
     totals = arts.groupBy("author").agg(
         F.count(F.lit(1)).alias("articles"), F.round(F.avg("stance_score"), 2).alias("avg_stance"),
         F.min("published_day").alias("first_seen"), F.max("published_day").alias("last_seen"))
-    primary = coverage_filter(coverage, primary_only=True).select("path", "ticker")
+    primary = coverage_filter(in_days(coverage, start, end), primary_only=True).select(
+        "path", "ticker")
     tickers = arts.select("path", "author").join(primary, "path").groupBy("author").agg(
         F.count_distinct("ticker").alias("tickers"))
     return totals.join(tickers, "author", "left").withColumn(

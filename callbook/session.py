@@ -41,7 +41,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     wanted = spark.conf.get("spark.checkpoint.dir", None)
     if not wanted:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         wanted = tempfile.mkdtemp(prefix="callbook-ck-")
     sc.setCheckpointDir(wanted)

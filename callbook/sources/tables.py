@@ -67,9 +67,10 @@ def touched(table: DataFrame, new: DataFrame, part: str) -> DataFrame:
 
 
 def append(df: DataFrame, root: str, name: str) -> None:
-    """Append-only write (the run log)."""
-    schema, _, _ = TABLES[name]
-    to_schema(df, schema).write.mode("append").parquet(f"{root}/{name}")
+    """Append rows (the run log, new frontier rows)."""
+    schema, _, part = TABLES[name]
+    writer = to_schema(df, schema).write.mode("append")
+    (writer.partitionBy(part) if part else writer).parquet(f"{root}/{name}")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

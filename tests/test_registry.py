@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import compare  # noqa: E402
 
 from __spark_entry__ import entry, oracle_sql, queries  # noqa: E402
+from callbook.checks.registry import ORACLES, QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 CROSS_SECTION = [
@@ -43,7 +44,8 @@ def test_same_answer_as_sql(spark, con, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql()) and set(CROSS_SECTION) <= set(queries())
+    assert set(QUERIES) == set(ORACLES) and set(CROSS_SECTION) <= set(QUERIES)
+    assert set(QUERIES) <= set(queries()) and set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):

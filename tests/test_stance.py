@@ -9,38 +9,36 @@ from pyspark.sql import functions as F
 
 from callbook.functions import stance as S
 
+# One hit and one near miss for the rules, in the order of the rules.
 CASES = [
-    ("Harbor Foods Chief Legal Officer Sells 4,200 Shares", "insider", 0),
-    ("Orchid Labs CFO Jo Lund Sold a Big Block This Month", "insider", 0),
-    ("Pension Fund Acquires 12,000 Shares of Birch Rail", "insider", 0),
-    ("40,000 Shares Sold by an Early Backer", "insider", 0),
-    ("Kestrel vs. Osprey: Which Is the Better Solar Stock?", "comparison", 0),
-    ("Better Buy: Kestrel Stock vs. Osprey Stock", "comparison", 0),
-    ("Kestrel Versus Osprey in 2027", "comparison", 0),
-    ("Kestrel or Osprey: Which Would You Own?", "comparison", 0),
-    ("Why Birch Rail Plunged Today", "news", 0),
-    ("Why Birch Rail Stock Is Crashing Today", "news", 0),
-    ("Why Birch Rail Soared on Monday", "news", 0),
-    ("Why a Housing Crash Could Be Coming", "warning", -1),
-    ("Why Is Birch Rail Falling, and Is It a Buying Opportunity?", "buy_lean", 1),
-    ("Chip Rout: 1 Stock to Buy, 1 to Hold, and 1 to Sell", "mixed", 0),
-    ("4 Utility Stocks to Buy Now", "buy", 2),
-    ("2 Reasons to Buy This Rail Line Right Now", "buy", 2),
-    ("Should You Buy Birch Rail While It's Down 31%?", "buy_lean", 1),
-    ("Birch Rail Just Hit a Milestone. Is the Stock a Buy?", "buy_lean", 1),
-    ("3 Stocks to Avoid This Year", "sell", -2),
-    ("Should You Avoid Birch Rail, Even After a Long Slide?", "sell_lean", -1),
-    ("Birch Rail Owners Just Got Bad News", "warning", -1),
-    ("Prediction: Birch Rail Will Be Worth More by 2034", "prediction", 0),
-    ("Birch Rail Is a Stock to Hold Forever", "hold", 0),
-    ("Birch Rail Announces a New Depot", "news", 0),
-    ("What Would Make Investors Pay Up for Birch Rail?", "analysis", 0),
+    ("Quarry Mutual Director Disposes of Her Stake", "insider", 0),
+    ("Founder Purchases 900 Shares at the Low", "insider", 0),
+    ("The Director of a New Film Talks Lenses", "analysis", 0),
+    ("Tin Versus Zinc for the Long Run", "comparison", 0),
+    ("Tin Against Zinc for the Long Run", "analysis", 0),
+    ("Two Lenders: 1 to Buy and 1 to Dump", "mixed", 0),
+    ("Loading Up on Copper Before the Thaw", "buy", 2),
+    ("Loading Copper Before the Thaw", "analysis", 0),
+    ("A Screaming Buy Hides in Plain Sight", "buy", 2),
+    ("Steer Clear of This Ferry Operator", "sell", -2),
+    ("Ferries Steer Through a Clear Channel", "analysis", 0),
+    ("Is This Dairy Maker a Buy?", "buy_lean", 1),
+    ("This Dairy Maker Is Worth a Look", "buy_lean", 1),
+    ("This Dairy Maker Is Worth Watching", "analysis", 0),
+    ("Is This Dairy Maker a Value Trap?", "sell_lean", -1),
+    ("Why Tile Shares Slumped in April", "news", 0),
+    ("Why Tile Shares Slumped, and What a Crash Would Mean", "warning", -1),
+    ("Sit Tight Through the Repairs", "hold", 0),
+    ("Sit Down for the Repairs", "analysis", 0),
+    ("I Predict a Mild Winter for Salt", "prediction", 0),
+    ("A Red Flag in the Salt Ledger", "warning", -1),
+    ("A Red Barn in the Salt District", "analysis", 0),
+    ("Salt Works Plans a Stock Split", "news", 0),
+    ("a red   flag in the salt ledger", "warning", -1),
+    ("Übertriebene Names to  Buy", "buy", 2),
     ("", "analysis", 0),
-    ("   \t ", "analysis", 0),
+    (" \t\n ", "analysis", 0),
     (None, "analysis", 0),
-    ("bad news for birch rail", "warning", -1),
-    ("Éclair Stocks to  Buy", "buy", 2),
-    ("Overbuyingopportunity", "analysis", 0),
 ]
 
 

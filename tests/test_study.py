@@ -66,15 +66,14 @@ PAIRED = ("horizon string, tickers bigint, first_mean double, second_mean double
 
 
 @pytest.mark.parametrize("n,mean,median,wins,code,phrase", [
-    (29, 5.0, 4.0, 70.0, "too_few", "too few"),
-    (100, 1.18, 0.0, 36.0, "no_evidence", "no evidence"),
-    (100, 0.2, 0.1, 50.0, "coin_flip", "coin flip"),
-    (200, 4.0, 3.0, 62.0, "earlier_better", "association"),
-    (200, -4.0, -3.0, 38.0, "earlier_worse", "association"),
-    (200, 4.0, -3.0, 62.0, "no_evidence", "no evidence"),
-    (200, 4.0, 3.0, 40.0, "no_evidence", "no evidence"),
-    (200, 4.0, 3.0, 55.0, "coin_flip", "coin flip"),
-    (200, 0.0, 3.0, 62.0, "earlier_worse", "association"),
+    (7, 2.5, 2.0, 80.0, "too_few", "below the minimum"),
+    (64, 0.9, 0.0, 58.0, "no_evidence", "no side"),
+    (64, 0.4, 0.45, 61.0, "coin_flip", "chance"),
+    (90, 2.2, 1.7, 56.0, "earlier_better", "favours the opening"),
+    (90, -1.6, -2.4, 31.0, "earlier_worse", "favours the later"),
+    (90, -2.0, 1.1, 71.0, "no_evidence", "no side"),
+    (90, 1.4, 0.9, 44.0, "no_evidence", "no side"),
+    (90, 3.1, 2.6, 45.0, "coin_flip", "chance"),
 ])
 def test_verdict(spark, n, mean, median, wins, code, phrase):
     df = spark.createDataFrame([("21d", n, 0., 0., 0., 0., mean, median, wins)], PAIRED)
@@ -92,7 +91,7 @@ def test_verdict_prefers_a_month(spark):
     assert pick("1d", "5d", "21d", "63d") == "21d" and pick("1d", "5d", "63d") == "63d"
     assert pick("1d", "5d") == "5d" and pick("1d") == "1d"
     r = one(E.verdict(spark.createDataFrame([], PAIRED)))
-    assert r["code"] == "nothing" and "nothing to compare" in r["text"]
+    assert r["code"] == "nothing" and "empty" in r["text"]
 
 
 # --- event study against plain Python ---------------------------------------------------

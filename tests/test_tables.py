@@ -83,7 +83,7 @@ def test_fetch_results_and_requeue(spark):
     got = {r["path"]: (r["state"], r["attempts"], r["last_error"])
            for r in M.apply_fetch_results(f, res).collect()}
     assert got == {"a": ("done", 1, None), "b": ("skipped", 1, "404"),
-                   "c": ("failed", 1, "x" * 300), "d": ("pending", 0, "later"),
+                   "c": ("failed", 1, "x" * 400), "d": ("pending", 0, "later"),
                    "e": ("pending", 0, "slow"), "f": ("pending", 0, None)}
     q = spark.createDataFrame([("a", "failed", 4, None), ("b", "failed", 5, None),
                                ("c", "done", 1, None)], FRONTIER)
@@ -269,3 +269,33 @@ def test_streamed_pages_equal_a_batch(spark, root, tmp_path):
     start_ingest(spark, str(land), root, SITE, checkpoint=str(tmp_path / "again")
                  ).awaitTermination(120)
     assert snapshot(spark, root, "articles", "coverage") == streamed
+
+
+def test_batches_with_repeated_keys_and_replays(spark, root):
+    pages = landed(spark, (path(1), page("Time to Sell", "AAPL", "AAPL")), (path(1), page("Is Nvidia a Buy?", "NVDA", "NVDA")))
+    sitemap = spark.createDataFrame([("2026/01", f"<url><loc>{HOST}{path(1)}</loc></url>" * 2)], "month string, body string")
+    first = I.store_sitemaps(spark, root, sitemap, HOST).first()[0]
+    assert (first, I.store_sitemaps(spark, root, sitemap, HOST).first()[0]) == (1, 0)
+    I.store_pages(spark, root, pages, SITE, "landed_ts")
+    before = snapshot(spark, root, "articles", "coverage", "tickers", "frontier")
+    assert len(before["articles"]) == 1 and len(before["frontier"]) == 1
+    I.store_pages(spark, root, pages, SITE, "landed_ts")
+    assert snapshot(spark, root, "articles", "coverage", "tickers", "frontier") == before
+    quotes = spark.createDataFrame([("Q", date(2026, 1, 5), c, v, v) for c, v in ((1.0, 1), (2.0, 2))],
+                                   "symbol string, date date, close double, volume bigint, seq bigint")
+    I.store_prices(spark, root, quotes, "seq")
+    assert [(r["close"], r["volume"]) for r in stored(spark, root, "prices").filter("symbol = 'Q'").collect()] == [(2.0, 2)]
+    twice = spark.createDataFrame([(path(1), "failed", "a"), (path(1), "ok", None)], "path string, kind string, message string")
+    I.store_results(spark, root, twice)
+    assert stored(spark, root, "frontier").count() == 1
+
+
+def test_windows_prune_months(spark, root):
+    from callbook.plans import reports
+    I.store_pages(spark, root, landed(spark, (path(1), page("a")), (path(2, "02"), page("b"))), SITE, "landed_ts")
+    arts, cov = stored(spark, root, "articles"), stored(spark, root, "coverage")
+    for df in (reports.top_tickers(cov, arts, stored(spark, root, "tickers"), "2026-02-01", "2026-02-28"),
+               reports.author_table(arts, cov, "2026-02-01", "2026-02-28")):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        pruned = [line for line in plan.splitlines() if "month#" in line.partition("PartitionFilters: [")[2].split("]")[0]]
+        assert len(pruned) >= 2
