@@ -64,15 +64,16 @@ def letters(n: Column) -> Column:
 
 
 def plain_code(n: Column) -> Column:
-    """Ticker as pages write it: without the dot of a share class."""
-    return F.concat(F.lit("S"), letters(n))
+    """Ticker as pages write it, without the dot of a share class: S and four letters, base 26."""
+    return F.concat(F.lit("S"), *[
+        F.char(F.floor(n / 26 ** k) % 26 + 65) for k in (3, 2, 1, 0)])
 
 
 def ticker_code(n: Column) -> Column:
     plain = plain_code(n)
     dotted = F.concat(F.substring(plain, F.lit(1), F.length(plain) - 1), F.lit("."),
                       F.right(plain, F.lit(1)))
-    return F.when((n % 7 == 0) & (n >= 10), dotted).otherwise(plain)
+    return F.when(n % 7 == 0, dotted).otherwise(plain)
 
 
 def series_symbol(n: Column) -> Column:
@@ -167,9 +168,9 @@ class Domain:
     def universe(self) -> DataFrame:
         n = F.col("s_suppkey")
         # Some companies are listed under another line than the covered one.
-        line = F.when(n % 11 == 4, F.lit("X")).otherwise("")
+        line = F.when(n % 11 == 4, "X").otherwise("S")
         return self.table("supplier").select(
-            F.concat(ticker_code(n), line).alias("ticker"), F.upper("s_name").alias("name"),
+            F.concat(line, F.substr(ticker_code(n), F.lit(2))).alias("ticker"), F.upper("s_name").alias("name"),
             F.when(F.col("s_nationkey") < 13, "NASDAQ").otherwise("N").alias("exchange"),
             (F.col("s_acctbal") < 0).alias("is_etf"))
 
@@ -202,12 +203,13 @@ class Domain:
 
         key, cust = F.col("key"), F.col("cust")
         title = escaped(F.coalesce("title", F.lit("")))
-        a, b = cust % 1000, key % 1000
+        suppliers = self.table("supplier").agg(F.max("s_suppkey")).scalar()
+        a, b, c = (x % suppliers + 1 for x in (cust, key, cust + key))
         listed = F.concat_ws(
             ",", plain_code(a), F.lower(plain_code(b)), F.concat(F.lit(" "), plain_code(a)),
             F.lit("12345"), F.lit("TOOLONGTICKER"), F.replace(ticker_code(b), F.lit("."),
                                                               F.lit("-")))
-        primary = F.when(key % 4 == 0, ticker_code((cust + key) % 1000)).otherwise(plain_code(a))
+        primary = F.when(key % 4 == 0, ticker_code(c)).otherwise(plain_code(a))
         og = F.when(key % 3 != 0, F.concat(
             F.lit('<meta property="og:title" content="'), title, F.lit(f' | {SITE}"/>'))
         ).otherwise("")

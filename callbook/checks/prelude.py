@@ -31,12 +31,13 @@ def letters(n: str) -> str:
 
 
 def plain_code(n: str) -> str:
-    return f"('S' || {letters(n)})"
+    code = " || ".join(f"chr(CAST(65 + {n} // {26 ** k} % 26 AS INTEGER))" for k in (3, 2, 1, 0))
+    return f"('S' || {code})"
 
 
 def ticker_code(n: str) -> str:
     p = plain_code(n)
-    return (f"(CASE WHEN {n} % 7 = 0 AND {n} >= 10 THEN left({p}, length({p}) - 1) || '.' || "
+    return (f"(CASE WHEN {n} % 7 = 0 THEN left({p}, length({p}) - 1) || '.' || "
             f"right({p}, 1) ELSE {p} END)")
 
 
@@ -164,7 +165,8 @@ tickers AS (
    CASE WHEN s_suppkey % 5 = 0 THEN DATE '1993-12-01' END AS history_from
  FROM supplier),
 universe AS (
- SELECT {ticker_code('s_suppkey')} || CASE WHEN s_suppkey % 11 = 4 THEN 'X' ELSE '' END AS ticker,
+ SELECT CASE WHEN s_suppkey % 11 = 4 THEN 'X' ELSE 'S' END || substr({ticker_code('s_suppkey')}, 2)
+   AS ticker,
    upper(s_name) AS name,
    CASE WHEN s_nationkey < 13 THEN 'NASDAQ' ELSE 'N' END AS exchange, s_acctbal < 0 AS is_etf
  FROM supplier),

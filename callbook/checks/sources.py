@@ -93,7 +93,8 @@ def months_offered(d):
 # --- S6, F4-F10, Q13 --------------------------------------------------------------
 _TAGS = f"""
 , raw AS (
- SELECT path, cust % 1000 AS a, key % 1000 AS b, (cust + key) % 1000 AS c, key FROM headlines),
+ SELECT path, cust % n + 1 AS a, key % n + 1 AS b, (cust + key) % n + 1 AS c, key
+ FROM headlines, (SELECT max(s_suppkey) AS n FROM supplier)),
 listed AS (
  SELECT path, unnest([{plain_code('a')}, upper({plain_code('b')}),
    replace(replace({ticker_code('b')}, '.', '-'), '-', '.')]) AS t, FALSE AS p FROM raw

@@ -351,8 +351,12 @@ def study_paired(d):
 , why AS (SELECT 'censored' AS code, (SELECT count(DISTINCT ticker) FROM cov) -
    (SELECT count(DISTINCT ticker) FROM kept) AS count
  UNION ALL SELECT 'thin', (SELECT count(*) FROM counted WHERE total < 2)
- UNION ALL SELECT 'unpriced', (SELECT count(*) FROM priced) - (SELECT count(*) FROM entered_ok))
-SELECT * FROM why WHERE count > 0""")
+ UNION ALL SELECT 'unpriced', (SELECT count(*) FROM priced) - (SELECT count(*) FROM entered_ok)
+ UNION ALL SELECT 'unmeasured', (SELECT count(*) FROM entered_ok) - (SELECT count(*) FROM events))
+SELECT * FROM why WHERE count > 0
+UNION ALL SELECT 'nothing_left', 0 WHERE NOT EXISTS (SELECT 1 FROM placed)
+UNION ALL SELECT 'nothing_measured', 0
+  WHERE EXISTS (SELECT 1 FROM placed) AND NOT EXISTS (SELECT 1 FROM events)""")
 def study_notes(d):
     return _build(d).notes.drop("text")
 
@@ -434,6 +438,8 @@ def author_base_rate(d):
 SELECT 'calls' AS code, count(*) AS count FROM called
 UNION ALL SELECT 'bullish', count(*) FILTER (bull) FROM called
 UNION ALL SELECT 'bearish', count(*) FILTER (NOT bull) FROM called
+UNION ALL SELECT 'right', count(*) FILTER (cr > 0) FROM called
+UNION ALL SELECT 'ranked', count(*) FROM ranked
 UNION ALL SELECT 'qualified', count(*) FILTER (enough_data) FROM ranked""")
 def author_notes(d):
     return _scores(d).notes.drop("text")
@@ -515,7 +521,7 @@ def coverage_timeline_raw(d):
 SELECT 'censored' AS code, count(*) AS count FROM timeline WHERE censored HAVING count(*) > 0""")
 def timeline_notes(d):
     return L.timeline_notes(
-        L.coverage_timeline(d.coverage, d.tickers, d.prices)).drop("text")
+        L.coverage_timeline(d.coverage, d.tickers, d.prices), d.prices).drop("text")
 
 
 @check("before_after_medians", _timeline(True) + " " + " UNION ALL ".join(

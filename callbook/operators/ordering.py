@@ -31,12 +31,19 @@ def with_ordinal(df: DataFrame, key: str, day: str, tie: list[str]) -> DataFrame
     """Add ``ordinal``, ``total`` and ``first_day`` of each row's key."""
     totals = day_totals(df, key, day).drop("n")
     return (
-        df.join(totals, [key, day])
+        _on_day(df, totals, key, day)
         .withColumn("ordinal", F.col("before") + rank_in_day(key, day, tie))
         .drop("before")
     )
 
 
+def _on_day(df: DataFrame, by_day: DataFrame, key: str, day: str) -> DataFrame:
+    """Rows with the other columns of their (key, day); rows without a day share one, the first."""
+    other = by_day.withColumnsRenamed({key: "_key", day: "_day"})
+    same = (F.col(key) == F.col("_key")) & F.col(day).eqNullSafe(F.col("_day"))
+    return df.join(other, same).drop("_key", "_day")
+
+
 def with_previous(df: DataFrame, key: str, day: str, tie: str, columns: list[str]) -> DataFrame:
     """Add ``prev``, a struct of ``columns`` of the row before in (day, tie) order."""
     record = F.struct(*columns)
@@ -45,7 +52,7 @@ def with_previous(df: DataFrame, key: str, day: str, tie: str, columns: list[str
         key, day, F.lag("_last").over(Window.partitionBy(key).orderBy(day)).alias("_across"))
     within = F.lag(record).over(Window.partitionBy(key, day).orderBy(tie))
     return (
-        df.join(across, [key, day])
+        _on_day(df, across, key, day)
         .withColumn("prev", F.coalesce(within, F.col("_across")))
         .drop("_across")
     )

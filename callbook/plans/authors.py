@@ -75,12 +75,17 @@ def leaderboard(authors: DataFrame) -> DataFrame:
 
 
 def author_notes(authors: DataFrame, base: DataFrame, min_calls: int = MIN_CALLS) -> DataFrame:
-    """(code, count, text): calls, bullish and bearish among them, qualified authors."""
+    """(code, count, text): calls, bullish, bearish and right ones among them, ranked and
+    qualified authors."""
     qualified = authors.agg(F.count_if("enough_data")).scalar()
+    ranked = authors.agg(F.count(F.lit(1))).scalar()
+    right = F.coalesce(F.round(F.col("hit_rate") / 100 * F.col("calls")), F.lit(0))
     cells = {
         "calls": (F.col("calls"), "headlines with a direction that could be measured"),
         "bullish": (F.col("bullish_calls"), "of them bullish"),
         "bearish": (F.col("bearish_calls"), "of them bearish"),
+        "right": (right, "of them right, which sets the base rate"),
+        "ranked": (ranked, "authors in the ranking"),
         "qualified": (qualified, f"authors with {min_calls} calls or more"),
     }
     return base.select(F.inline(F.array(*[

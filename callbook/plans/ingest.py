@@ -136,9 +136,14 @@ def store_prices(spark: SparkSession, root: str, quotes: DataFrame,
     tables.rewrite(root, "prices", M.upsert_replace(old, new, ["symbol", "date"]))
 
 
-def store_universe(spark: SparkSession, root: str, listings: DataFrame) -> None:
-    """Upsert the listings and fill missing ticker names from them."""
+def store_universe(spark: SparkSession, root: str, listings: DataFrame) -> DataFrame:
+    """Upsert the listings and fill missing ticker names from them.
+
+    Returns one row with the number of tickers that had no name.
+    """
+    unnamed = settle(M.backfill_count(tables.read_table(spark, root, "tickers")))
     merged = M.upsert_replace(tables.read_table(spark, root, "universe"), listings, ["ticker"])
     tables.rewrite(root, "universe", merged)
     tables.rewrite(root, "tickers", M.backfill_names(
         tables.read_table(spark, root, "tickers"), tables.read_table(spark, root, "universe")))
+    return unnamed

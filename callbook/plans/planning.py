@@ -56,7 +56,7 @@ def refresh_list(coverage: DataFrame, min_articles: int = 1) -> DataFrame:
 def refresh_plan(coverage: DataFrame, tickers: DataFrame, prices: DataFrame,
                  min_articles: int = 1, only_missing: bool = False,
                  benchmark: str = BENCHMARK) -> DataFrame:
-    """(ticker, symbol) to refresh: the benchmark and every ticker worth it (Q12).
+    """(ticker, symbol, n) to refresh: the benchmark, then tickers by their coverage (Q12).
 
     ``only_missing`` leaves out tickers whose symbol is stored already. Tickers
     without a resolved symbol are listed with symbol NULL: they would fail.
@@ -68,7 +68,8 @@ def refresh_plan(coverage: DataFrame, tickers: DataFrame, prices: DataFrame,
     head = coverage.sparkSession.range(1).select(
         F.lit(benchmark).alias("ticker"), F.lit(benchmark).alias("symbol"),
         F.lit(None).cast("bigint").alias("n"))
-    return head.unionByName(plan.select("ticker", "symbol", "n"))
+    return head.unionByName(plan.select("ticker", "symbol", "n")).orderBy(
+        F.desc_nulls_first("n"), "ticker")
 
 
 def first_calls(coverage: DataFrame, tickers: DataFrame) -> DataFrame:

@@ -192,21 +192,27 @@ def stance_flips(coverage: DataFrame, articles: DataFrame, start=None, end=None,
     """Consecutive directional articles of a ticker whose direction reversed.
 
     The predecessor is found over all days; the window of days and the limit
-    apply afterwards.
+    apply afterwards. Titles and authors are looked up for the rows left then.
     """
     cov = coverage_filter(coverage, **toggles).select("ticker", "path", "published_day")
-    calls = settle(_with_scores(cov, articles, "title", "author").filter(directional()))
+    calls = settle(_with_scores(cov, articles).filter(directional()))
     linked = with_previous(calls, "ticker", "published_day", "path",
-                           ["stance_score", "published_day", "title", "path"])
+                           ["stance_score", "published_day", "path"])
     up, was_up = F.col("stance_score") > 0, F.col("prev.stance_score") > 0
     flips = in_days(linked.filter(F.col("prev").isNotNull() & (up != was_up)), start, end)
     if n is not None:
         flips = flips.orderBy(F.desc("published_day"), "ticker", "path").limit(n)
-    return flips.select(
+    earlier = articles.select(F.col("path").alias("prev_path"), F.col("title").alias("prev_title"))
+    named = (
+        flips.withColumn("prev_path", F.col("prev.path"))
+        .join(articles.select("path", "title", "author"), "path").join(earlier, "prev_path"))
+    if n is not None:
+        named = named.orderBy(F.desc("published_day"), "ticker", "path")
+    return named.select(
         "ticker", F.when(up, "turned bullish").otherwise("turned cautious").alias("direction"),
-        F.col("prev.published_day").alias("prev_day"), F.col("prev.title").alias("prev_title"),
+        F.col("prev.published_day").alias("prev_day"), "prev_title",
         F.col("prev.stance_score").alias("prev_score"),
-        article_url(base, F.col("prev.path")).alias("prev_url"), "published_day", "title",
+        article_url(base, F.col("prev_path")).alias("prev_url"), "published_day", "title",
         "stance_score", article_url(base, F.col("path")).alias("url"),
         F.datediff("published_day", "prev.published_day").alias("days_between"), "author")
 

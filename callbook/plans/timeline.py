@@ -63,11 +63,22 @@ def coverage_timeline(coverage: DataFrame, tickers: DataFrame, prices: DataFrame
     ).orderBy(F.desc("first_covered"), "ticker")
 
 
-def timeline_notes(timeline: DataFrame) -> DataFrame:
-    """(code, count, text): how many companies sit at the edge of the data."""
-    return timeline.agg(F.count_if("censored").alias("count")).filter(F.col("count") > 0).select(
-        F.lit("censored").alias("code"), "count",
-        F.lit("companies first seen at the edge of the data").alias("text"))
+def timeline_notes(timeline: DataFrame, prices: DataFrame | None = None,
+                   benchmark: str = BENCHMARK) -> DataFrame:
+    """(code, count, text): companies at the edge of the data, and, given the prices,
+    companies whose returns are raw because no benchmark close is stored."""
+    missing = F.lit(False) if prices is None else first_session(prices, benchmark).isNull()
+    cells = {
+        "censored": (F.col("censored"), "companies first seen at the edge of the data"),
+        "raw": (F.when(F.col("missing"), F.col("companies")).otherwise(0),
+                "companies shown with raw returns: there is no benchmark"),
+    }
+    return timeline.agg(
+        F.count_if("censored").alias("censored"), F.count(F.lit(1)).alias("companies")
+    ).withColumn("missing", missing).select(F.inline(F.array(*[
+        F.struct(F.lit(code).alias("code"), n.cast("bigint").alias("count"),
+                 F.lit(text).alias("text")) for code, (n, text) in cells.items()]))
+    ).filter(F.col("count") > 0)
 
 
 def before_after(timeline: DataFrame) -> DataFrame:

@@ -37,12 +37,16 @@ def apply_relabel(relabelled: DataFrame) -> DataFrame:
 
 
 def store_relabel(spark: SparkSession, root: str) -> DataFrame:
-    """Relabel the stored articles; only months with a change are rewritten."""
-    diff = settle(relabel(tables.read_table(spark, root, "articles")))
-    stale = diff.filter("changed")
-    tables.rewrite(root, "articles", apply_relabel(
-        tables.touched(diff, stale, "month")))
-    return relabel_moves(diff)
+    """Relabel the stored articles; only months with a change are read whole and rewritten."""
+    articles = tables.read_table(spark, root, "articles")
+    stale = settle(relabel(articles.select("path", "month", "title", "stance", "stance_score"))
+                   .filter("changed").drop("title"))
+    old = tables.touched(articles, stale, "month")
+    merged = old.join(stale.select("path", "new_stance", "new_score"), "path", "left")
+    tables.rewrite(root, "articles", merged.withColumn(
+        "stance", F.coalesce("new_stance", "stance")).withColumn(
+        "stance_score", F.coalesce("new_score", "stance_score")).select(*articles.columns))
+    return relabel_moves(stale)
 
 
 def log_run(spark: SparkSession, root: str, kind: str, started: Column, articles: int,

@@ -28,14 +28,14 @@ def wilson_by_hand(hits, n, z=1.96):
 
 
 def test_wilson(spark):
-    cases = [(3, 4), (600, 1000), (6, 10), (0, 0), (1, 1), (0, 5), (5, 5), (1, 3), (99, 100)]
+    cases = [(2, 3), (457, 811), (0, 0), (0, 17), (17, 17), (13, 29), (2, 2), (0, 1), (7, 190)]
     df = spark.createDataFrame(cases, "hits bigint, n bigint")
     got = rows(df.select(N.wilson_low(F.col("hits"), F.col("n")),
                          N.wilson_high(F.col("hits"), F.col("n"))))
     for (hits, n), (lo, hi) in zip(cases, got):
         assert (lo, hi) == (pytest.approx(wilson_by_hand(hits, n)) if n else (None, None))
         assert n == 0 or 0 <= lo <= hi <= 100
-    assert got[0][0] < 40 and got[0][1] > 90
+    assert got[0][1] - got[0][0] > 60 and got[1][1] - got[1][0] < 8
 
 
 def test_buckets(spark):
@@ -163,7 +163,9 @@ def plain_study(m, censor, least):
             for h in E.HORIZONS:
                 r, x = gain(own, e, h), gain(spy, b, h)
                 legs[h] = None if r is None or x is None else r - x
-            if any(v is not None for v in legs.values()):
+            if all(v is None for v in legs.values()):
+                notes["unmeasured"] += 1
+            else:
                 events[path] = (t, i + 1, len(group), (day - group[0][0]).days, *score[path], legs)
     return events, dict(notes)
 
@@ -251,6 +253,20 @@ def test_no_benchmark_no_events(spark):
     days = E.study_days(m.coverage, m.tickers, prices, censor_days=0, min_articles=1)
     assert E.study_events(m.coverage, m.articles, days).count() == 0
 
+    def codes(**kw):
+        made = {"coverage": m.coverage, "prices": m.prices, **kw}
+        study = E.Study(made["coverage"], m.articles, m.tickers, made["prices"],
+                        censor_days=made.get("censor_days", 0), min_articles=1)
+        return {r["code"] for r in study.notes.collect()}
+
+    assert codes(prices=prices) >= {"no_benchmark"} and "unpriced" not in codes(prices=prices)
+    assert "no_prices" in codes(prices=m.prices.limit(0))
+    assert codes(coverage=m.coverage.limit(0)) == {"no_coverage"}
+    assert codes(censor_days=9999) == {"censored", "nothing_left"}
+    last = m.prices.filter(F.col("date") >= F.lit(SESSIONS[-1]))
+    assert "nothing_measured" in codes(prices=last.unionByName(
+        m.prices.filter("symbol = 'SPY'")).distinct())
+
 
 def test_author_scores(spark):
     m = random_market(spark, 2)
@@ -283,6 +299,7 @@ def test_author_scores(spark):
     assert [r["calls"] for r in nobody] == sorted((r["calls"] for r in got.values()), reverse=True)
     notes = {r["code"]: r["count"] for r in scores.notes.collect()}
     assert notes["qualified"] == len(board) and notes["calls"] == len(calls)
+    assert notes["ranked"] == len(got) and notes["right"] == sum(c[3] > 0 for c in calls)
 
 
 # --- timeline ----------------------------------------------------------------------------
@@ -311,6 +328,9 @@ def test_timeline_falls_back_to_raw(spark, market):
     r = {r["ticker"]: r for r in L.coverage_timeline(
         market.coverage, market.tickers, market.prices).collect()}
     assert r["UP"]["after_1m"] == pytest.approx((1.01 ** 21 - 1) * 100)
+    notes = L.timeline_notes(L.coverage_timeline(market.coverage, market.tickers, market.prices),
+                             market.prices)
+    assert {n["code"]: n["count"] for n in notes.collect()}["raw"] == 2
     empty = L.coverage_timeline(market.coverage, market.tickers, market.prices.limit(0))
     assert empty.count() == 0
 

@@ -13,7 +13,7 @@ from callbook.functions import dates as D
 from callbook.functions import text as X
 from callbook.functions.entities import html_unescape
 
-LISTED = ["NVDA", "AAPL", "BRK.A", "BRK.B", "GOOGL", "TSM", "AXP"]
+LISTED = ["KWIM", "ORB", "LUM.C", "LUM.D", "ZAFFO", "PEX", "Q"]
 
 
 def test_path_of(spark):
@@ -24,12 +24,14 @@ def test_path_of(spark):
 
 
 @pytest.mark.parametrize("path,section,day", [
-    ("/investing/2026/08/31/some-slug/", "investing", date(2026, 8, 31)),
-    ("/retirement/2025/01/02/other/", "retirement", date(2025, 1, 2)),
-    ("/investing/2025/01/02/no-slash", "investing", date(2025, 1, 2)),
-    ("/investing/2025/02/30/not-a-day/", "investing", None),
-    ("/investing/stock-market/", None, None),
-    ("/quote/exchange/nvda/", None, None),
+    ("/markets-2/1999/12/01/x/", "markets-2", date(1999, 12, 1)),
+    ("/a/2024/02/29/leap", "a", date(2024, 2, 29)),
+    ("/a/2023/02/29/no-leap/", "a", None),
+    ("/a/2023/13/01/month/", "a", None),
+    ("/Upper/2023/01/01/x/", None, None),
+    ("/a/23/01/01/short-year/", None, None),
+    ("/a/2023/01/01/x/deeper/", None, None),
+    ("/", None, None),
 ])
 def test_dated_paths(spark, path, section, day):
     df = spark.createDataFrame([(path,)], "p string")
@@ -55,13 +57,13 @@ def by_hand(raw: str) -> str | None:
 
 def test_ticker_normalisation(spark):
     universe = spark.createDataFrame([(t,) for t in LISTED], "ticker string")
-    raws = ["BRKA", "BRKB", "NVDA", " tsm ", "", "TOOLONGTICKER", "12345", "brk-b", "BRK.A", "XYZ",
-            "A", "AB", "ABCDEF", "BRK.", ".A", "AB.CDE", "A B"]
+    raws = ["LUMC", "lumd", "lum-d", "LUM.C", "\tPex\n", "ZAFFO", "ZAFFOS", "Q", "QQ", "UNLISTED",
+            " ", "4EVER", "LUM.", ".Q", "PE.XXX", "O RB", "PEX.TOOL"]
     df = spark.createDataFrame([(r, r) for r in raws], "given string, raw string")
     got = {r["given"]: (r["ticker"], r["verified"])
            for r in X.normalise_tickers(df, universe).collect()}
     assert {k: v[0] for k, v in got.items()} == {r: by_hand(r) for r in raws}
-    assert got["BRKA"] == ("BRK.A", True) and got["XYZ"] == ("XYZ", False)
+    assert got["LUMC"] == ("LUM.C", True) and got["QQ"] == ("QQ", False)
 
 
 def test_a_listed_undotted_ticker_is_left_alone(spark):
