@@ -174,11 +174,6 @@ def next_session(days: DataFrame, prices: DataFrame) -> DataFrame:
     )
 
 
-def close_on_or_after(days: DataFrame, prices: DataFrame) -> DataFrame:
-    """First stored session on or after each (symbol, day); T7."""
-    return next_session(days, prices)
-
-
 def latest_close(prices: DataFrame) -> DataFrame:
     """Last stored session of every symbol."""
     return prices.groupBy("symbol").agg(

@@ -50,20 +50,42 @@ def compute_outcomes(coverage: DataFrame, tickers: DataFrame, prices: DataFrame,
 
     Calls without a usable price keep NULLs instead of disappearing; tickers
     without a price symbol are no calls. Nothing is computed while no benchmark
-    close is stored. Entries and legs are found once per (ticker, day).
+    close is stored. Entries and legs are found once per (ticker, day). With
+    ``stored`` outcomes the open calls are settled first, and only the closes
+    that these need are read.
     """
     horizons = TRACK_HORIZONS.values()
     symbols = tickers.filter(F.col("price_symbol").isNotNull()).select(
         "ticker", F.col("price_symbol").alias("symbol"))
     calls = open_calls(coverage, stored)
     days = calls.select("ticker", "published_day").distinct().join(symbols, "ticker")
-    legs = dated_legs(prices, benchmark, forward=horizons).drop("idx")
+    needed = prices
+    if stored is not None:
+        calls = settle(calls.join(symbols, "ticker"))
+        days = calls.select("ticker", "published_day", "symbol").distinct()
+        calls = calls.drop("symbol")
+        needed = needed_prices(prices, days, benchmark)
+    legs = dated_legs(needed, benchmark, forward=horizons).drop("idx")
     scored = calls.join(guarded_entries(days, legs), ["ticker", "published_day"])
     returns = [f"{leg}_{h}" for h in horizons for leg in ("ret", "bench")]
     return scored.filter(first_session(prices, benchmark).isNotNull()).select(
         "path", "ticker", "published_day", "entry_date", "entry_close", *returns)
 
 
+def needed_prices(prices: DataFrame, days: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
+    """Closes of the symbols of ``days`` and the benchmark, from the earliest day on.
+
+    Entries and legs only look forward, so they are the same as among all closes.
+    Where prices have their month, only months from that day on are read.
+    """
+    first = days.agg(F.min("published_day")).scalar()
+    since = prices.filter(F.col("date") >= first)
+    if "month" in prices.columns:
+        since = since.filter(F.col("month") >= F.date_format(first, "yyyy-MM"))
+    bench = prices.sparkSession.range(1).select(F.lit(benchmark).alias("symbol"))
+    return since.join(days.select("symbol").union(bench).distinct(), "symbol", "left_semi")
+
+
 def outcome_counts(outcomes: DataFrame) -> DataFrame:
     """(computed, scored) of a run: rows, and rows with a usable entry."""
     return outcomes.agg(F.count(F.lit(1)).alias("computed"),

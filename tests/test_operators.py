@@ -187,7 +187,7 @@ def test_next_session_and_latest(spark):
     days = [(s, DAY0 + timedelta(days=k)) for s in ("S1", "S2", "NONE") for k in range(-5, 420, 2)]
     events = spark.createDataFrame(days, "symbol string, day date")
     got = {(r["symbol"], r["day"]): (r["entry_date"], r["entry_close"])
-           for r in P.close_on_or_after(events, prices).collect()}
+           for r in P.next_session(events, prices).collect()}
     series = by_symbol(data, with_null=True)
     for s, day in days:
         i = entry(series[s], day)

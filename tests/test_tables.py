@@ -194,6 +194,15 @@ def test_outcomes_in_store(spark, root, market):
         rows(whole))
     assert rows(O.update_outcomes(spark, root, full=True)) == [(4, 4)]
 
+    # One open call late in the series: earlier months and other symbols are not read.
+    late = spark.createDataFrame([("DOWN", date(2024, 9, 3))], "symbol string, published_day date")
+    some = O.needed_prices(stored(spark, root, "prices"), late)
+    assert {r["symbol"] for r in some.collect()} == {"DOWN", "SPY"}
+    assert some.agg(F.min("date")).first()[0] == date(2024, 9, 3)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert any("month#" in x.partition("PartitionFilters: [")[2].split("PushedFilters")[0]
+               for x in plan.splitlines())
+
 
 def test_relabel_in_store(spark, root):
     I.store_pages(spark, root, landed(spark, (path(1), page("Is Nvidia a Buy?")),
