@@ -47,7 +47,9 @@ def series_symbol(n: str) -> str:
 
 
 def matches(column: str, patterns) -> str:
-    return f"regexp_matches({column}, {text(S.one_pattern(patterns))}, 'i')"
+    """Every raw pattern on its own: the oracle does not share the joining it checks."""
+    each = (patterns,) if isinstance(patterns, str) else patterns
+    return "(" + " OR ".join(f"regexp_matches({column}, {text(p)}, 'i')" for p in each) + ")"
 
 
 def collapsed(column: str) -> str:
