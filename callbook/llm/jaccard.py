@@ -13,7 +13,8 @@
 
 Words are runs of other than ASCII white space, taken as they are. Texts without words
 link with nothing; short ones with equal words link. A row that repeats, id and all, counts as one
-more copy. Ids are never compared before the end, so null ids are rows like others.
+more copy. A class is known by its set; the text that stands for it is fetched by id and text
+hash together, so null ids are rows like others and an id may stand for many texts.
 """
 
 from __future__ import annotations
@@ -105,7 +106,7 @@ class Signer:
 
 
 def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> DataFrame:
-    """id, node (stands for the set; null without words), bands, chars."""
+    """id, mark (hash of the text), node (stands for the set; null without words), bands, chars."""
     def make():
         sign = Signer(bands, rows)
 
@@ -113,13 +114,13 @@ def signed(docs: DataFrame, key: str, text: str, bands: int, rows: int) -> DataF
             given = texts(batch)
             sets = [shingles(t) for t in given]
             marks = iter(sign([s for s in sets if len(s)]))
-            return {"id": batch.column("id"), "node": [digest(s) for s in sets],
+            return {"id": batch.column("id"), "mark": batch.column("mark"), "node": [digest(s) for s in sets],
                     "bands": [next(marks) if len(s) else None for s in sets], "chars": [len(t) for t in given]}
         return step
 
-    narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    narrow = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    return map_batches(narrow, f"id {kind}, node binary, bands array<bigint>, chars long", "text", make)
+    return map_batches(narrow, f"id {kind}, mark long, node binary, bands array<bigint>, chars long", "text", make)
 
 
 def candidate_groups(classes: DataFrame) -> DataFrame:
@@ -254,6 +255,18 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
         .mapInArrow(run, FOUND)
 
 
+def once(named: DataFrame) -> DataFrame:
+    """named with a text of a node once a task, so that rows that repeat, id and all, are not all sent on."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        seen = set()
+        for batch in batches:
+            marks = [(node, hash(text)) for node, text in zip(*(batch.column(c).to_pylist() for c in ("node", "text")), strict=True)]
+            fresh = [m not in seen and not seen.add(m) for m in marks]
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    return named.mapInArrow(run, named.schema)
+
+
 def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD,
                    recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """(rows, classes). rows: id and node of every row. classes, of those with copies or links: node, group,
@@ -262,15 +275,18 @@ def linked_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", thr
     rows = settle(signed(docs, key, text, bands, per_band))
     classes = settle(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("id").alias("copy_id"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"),
-        F.max("chars").alias("chars")))
+        F.max("chars").alias("chars"), F.any_value("id").alias("from_id"), F.any_value("mark").alias("mark")))
     groups = settle(candidate_groups(classes.select("node", "bands")).join(classes.drop("bands"), "node"))
     sizes = groups.groupBy("component").agg(F.count("*").alias("rows"), F.sum("chars").alias("chars"))
     blocks = F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("chars") / BLOCK_CHARS), F.lit(1)).cast("int")
     groups = groups.drop("chars").join(sizes.select("component", blocks.alias("blocks")), "component") \
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     small = groups.count() <= BROADCAST_ROWS
-    named = docs.select(F.col(key).alias("copy_id"), F.col(text).alias("text")) \
-        .join(F.broadcast(groups) if small else groups, "copy_id")
+    # from_id and mark come from one row of the class.
+    given = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_mark"), F.col(text).alias("text"))
+    named = once(given.join(F.broadcast(groups) if small else groups, F.col("_id").eqNullSafe(F.col("from_id"))
+                            & (F.col("_mark") == F.col("mark"))).select(
+        "component", "node", "copies", "blocks", "block", "text"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     found = settle(verify(named.withColumn("other", other), threshold))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))

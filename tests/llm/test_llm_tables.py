@@ -119,6 +119,24 @@ def test_jaccard(docs, none):
     assert {r[0] for r in kept.select("doc_id").collect()} >= {0, 60, 61, 62, 63, 65}
 
 
+def test_jaccard_of_null_and_reused_ids(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in (None, 5, 8):      # near copies under null ids only, under one id only, under null and another id
+        base = prose(rng, 120).split()
+        for j in range(4):
+            words = list(base)
+            words[10 * j] = "changed"
+            rows.append((None if i == 8 and j < 2 else i, " ".join(words)))
+    rows += [(5, prose(rng, 40)), (None, prose(rng, 40)), rows[0], rows[0]]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    near, group = links_of([r[1] for r in rows])
+    assert sum(map(len, near)) > 36
+    got = Counter((r["doc_id"], r["n_links"]) for r in jaccard.join(table).collect())
+    assert got == Counter((r[0], len(n)) for r, n in zip(rows, near, strict=True))
+    assert jaccard.keep(table).count() == len(set(group))
+
+
 def test_outliers(docs, none, spark):
     got = {(r["doc_id"], r["n_words"]): r for r in outliers.judge(docs).collect()}
     for r in ROWS:
