@@ -3,7 +3,10 @@
 Each text is scanned for three kinds of secrets; then every encoding found in it is
 unwrapped and the result, a layer, is put on a worklist, scanned and unwrapped in turn:
 URL escapes and Unicode escapes are replaced in the whole layer, base64 runs become layers
-of their own, and compressed bytes inside them are inflated. The worklist ends at the
+of their own, and compressed bytes inside them are inflated. A base64 run may go on over
+line ends; one that gives no whole text is read from each of its first four characters, as
+others may be glued in front, and bytes that are no UTF-8 stand as marks between what is
+readable. Compressed streams are looked for all along the bytes. The worklist ends at the
 fixpoint, as a layer that has been seen in the same document is not taken up again (this
 also ends data that inflates to itself). Every character of a layer knows the span of the
 original text that it came from, so findings are spans of the original text.
@@ -16,7 +19,6 @@ size does not bound what is scanned, nor does it have to fit in memory at once.
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import zlib
 from collections import deque
@@ -40,7 +42,14 @@ URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(
     r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}")
-INFLATE_PIECE = 4 << 20
+#: Runs of one or more lines, of which the last is no word of a sentence that goes on in its line.
+WRAPPED_RUN = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[\x20\t]*+\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++(?![\x20\t]+[^\s]))+")
+NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/_-]+")
+#: What gzip and zlib data begin with.
+HEADS = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+LONE = re.compile("[\udc80-\udcff]")
+INFLATE_PIECE, INFLATE_INPUT = 4 << 20, 1 << 16
 
 Span = tuple[int, int, str]     # start, end, kind
 
@@ -71,6 +80,10 @@ class Layer:
             return start, end
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
 
+    def spans(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Original starts and ends of parts of the layer."""
+        return (lo, hi) if self.starts is None else (self.starts[lo], self.ends[hi - 1])
+
     def places(self) -> tuple[np.ndarray, np.ndarray]:
         if self.starts is None:
             n = len(self.text)
@@ -139,79 +152,106 @@ def _from_unicode(m: re.Match) -> list | None:
     return [(chr(code), at, m.end())] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _readable(raw: bytes) -> str | None:
-    """The bytes as text, unless they are anything but text."""
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if len(text) >= 6 and all(c.isprintable() or c in "\t\n\r\x0b\x0c" for c in text) else None
-
-
-def _inflated(raw: bytes) -> Iterator[str]:
-    """The texts in compressed bytes, in pieces that end at white space."""
-    if raw[:2] == b"\x1f\x8b":
-        unpack = zlib.decompressobj(31)
-    elif len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        unpack = zlib.decompressobj(15)
-    else:
-        return
-    held, rest = b"", raw
+def _readable(raw: bytes) -> tuple[str, bool]:
+    """The bytes as text, with a lone surrogate for each byte that is no UTF-8; and whether they are text as a whole."""
+    text = raw.decode(errors="surrogateescape")
+    return text, len(text) >= 6 and all(c.isprintable() or c in "\t\n\r\x0b\x0c" for c in text)
+
+
+def _stream(raw: memoryview, at: int, end: list[int]) -> Iterator[str]:
+    """The texts of the compressed stream that begins at a place, in pieces that end at white space; end gets its end."""
+    unpack, held, gave = zlib.decompressobj(31 if raw[at] == 0x1F else 15), b"", False
     try:
-        while True:
-            more = unpack.decompress(rest, INFLATE_PIECE)
-            rest = unpack.unconsumed_tail
-            held += more
-            if not rest or unpack.eof or not more:
-                break
-            cut = max(held.rfind(b) for b in (b" ", b"\n", b"\t")) + 1 or len(held)
-            yield held[:cut].decode(errors="replace")
-            held = held[cut:]
+        while at < len(raw) and not unpack.eof:
+            rest = raw[at:at + INFLATE_INPUT]
+            at += len(rest)
+            while len(rest) and not unpack.eof:
+                held += unpack.decompress(rest, INFLATE_PIECE - min(len(held), INFLATE_PIECE - 1))
+                rest = unpack.unconsumed_tail
+                if len(held) >= INFLATE_PIECE:
+                    cut = max(held.rfind(b) for b in (b" ", b"\n", b"\t")) + 1 or len(held)
+                    yield held[:cut].decode(errors="replace")
+                    held, gave = held[cut:], True
+        held += unpack.flush()
     except zlib.error:
         pass
+    if unpack.eof or held or gave:
+        end.append(at - len(unpack.unused_data) if unpack.eof else len(raw))
     if held:
         yield held.decode(errors="replace")
 
 
+def _inflated(raw: bytes) -> Iterator[tuple[int, int, str]]:
+    """(start, end, text) of the compressed streams in bytes, one after another until the bytes end."""
+    view, at = memoryview(raw), 0
+    while m := HEADS.search(raw, at):
+        end: list[int] = []
+        for _ in _stream(view, m.start(), end):     # its pieces are not held, so its end takes a pass of its own
+            pass
+        if end:
+            for piece in _stream(view, m.start(), []):
+                yield m.start(), end[0], piece
+        # A stream that breaks off may have been none.
+        at = end[0] if end and end[0] < len(raw) else m.start() + 1
+
+
 def _children(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (new := _replaced(layer, URL_ESCAPES, _from_url, "url")):
         yield new
     if ("\\" in text or "&#" in text) and (new := _replaced(layer, UNICODE_ESCAPES, _from_unicode, "unicode")):
         yield new
+    if "\n" in text:
+        for m in WRAPPED_RUN.finditer(text):
+            run = NOT_BASE64.sub("", m[0])
+            if len(run) >= 16:
+                held = np.ones(m.end() - m.start(), bool)
+                for gap in NOT_BASE64.finditer(m[0]):
+                    held[gap.start():gap.end()] = False
+                yield from _from_base64(layer, run, m.start() + np.flatnonzero(held), False)
     for m in BASE64_RUN.finditer(text):
-        yield from _from_base64(layer, m.start(), m.end())
-
-
-def _from_base64(layer: Layer, start: int, end: int, parts: bool = True) -> Iterator[Layer]:
-    run = layer.text[start:end]
-    filled = end + len(re.match("={0,2}", layer.text[end:end + 2])[0])
-    if len(run) % 4 != 1:
-        code = run.replace("-", "+").replace("_", "/")
-        try:
-            raw = base64.b64decode(code + "=" * (-len(code) % 4))
-        except (binascii.Error, ValueError):
-            raw = b""
-        got = _readable(raw)
-        if got is not None:
-            s, e = layer.places()
-            # Three bytes come from four characters.
-            at = np.cumsum([0, *(len(c.encode()) for c in got)])
-            lo = start + at[:-1] // 3 * 4
-            hi = np.minimum(start + (at[1:] - 1) // 3 * 4 + 4, end)
-            hi[hi == end] = filled
-            yield Layer(got, s[lo], e[hi - 1], layer.path + "/base64")
-            return
-        whole = None
-        for piece in _inflated(raw):
-            whole = whole or layer.origin(start, filled)
-            yield Layer(piece, np.full(len(piece), whole[0]), np.full(len(piece), whole[1]), layer.path + "/inflate")
+        yield from _from_base64(layer, m[0], np.arange(m.start(), m.end()))
+
+
+def _from_base64(layer: Layer, run: str, places: np.ndarray, parts: bool = True) -> Iterator[Layer]:
+    """The layers in a run; places: those of its characters in the layer."""
+    code, stop = run.replace("-", "+").replace("_", "/"), int(places[-1]) + 1
+    filled = stop + len(re.match("={0,2}", layer.text[stop:stop + 2])[0])
+
+    def decoded(text: str, at: np.ndarray, shift: int) -> Layer:
+        # Three bytes come from four characters.
+        lo = places[shift + at[:-1] // 3 * 4]
+        hi = places[np.minimum(shift + (at[1:] - 1) // 3 * 4 + 4, len(places)) - 1] + 1
+        hi[hi == stop] = filled
+        return Layer(text, *layer.spans(lo, hi), layer.path + "/base64")
+
+    rough = []
+    for shift in range(4):
+        some = code[shift:]
+        some = some[:-1] if len(some) % 4 == 1 else some
+        raw = base64.b64decode(some + "=" * (-len(some) % 4))
+        text, whole = _readable(raw)
+        at = np.cumsum([0, *(1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text)])
         if whole:
+            yield decoded(text, at, shift)
             return
+        rough.append((LONE.sub("\ufffd", text), at, shift))
+        headed = False
+        for first, last, piece in _inflated(raw):
+            headed |= first == 0
+            last = int(places[min(shift + (last - 1) // 3 * 4 + 4, len(places)) - 1]) + 1
+            start, end = layer.origin(int(places[shift + first // 3 * 4]), filled if last == stop else last)
+            yield Layer(piece, np.full(len(piece), start), np.full(len(piece), end), layer.path + "/inflate")
+        if headed:
+            rough = rough[-1:]
+            parts = False
+            break
+    for x in rough:
+        yield decoded(*x)
     if parts:       # a longer run may hold one between separators that base64 also uses
         for m in re.finditer(r"[A-Za-z0-9+/]{16,}", run):
             if m.end() - m.start() < len(run):
-                yield from _from_base64(layer, start + m.start(), start + m.end(), False)
+                yield from _from_base64(layer, m[0], places[m.start():m.end()], False)
 
 
 def find(text: str) -> tuple[list[Span], list[tuple[int, int, str, str]]]:

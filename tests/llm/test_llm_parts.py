@@ -200,6 +200,38 @@ def test_secrets_in_layers(hidden, kind):
     assert "hunter" not in secrets.masked(text) and secrets.masked(text).startswith("é 日 [") and secrets.masked(text).endswith(" end")
 
 
+LINES = "\n".join(f"line {i} of {i * 7919 % 1009}" for i in range(40))
+
+
+def wrapped(raw, width=76, end="\n"):
+    code = base64.b64encode(raw).decode()
+    return end.join(code[i:i + width] for i in range(0, len(code), width))
+
+
+@pytest.mark.parametrize("hidden, kind", [
+    (wrapped(gzip.compress(f"{LINES} {ASSIGN}".encode(), mtime=0)), "assign"),
+    (wrapped(zlib.compress(f"{LINES} {ACCESS}".encode()), 64, "\r\n  "), "access"),
+    (wrapped(b"x" * 50 + f" {ACCESS} ".encode() + "日本語".encode() * 20), "access"),
+    (base64.b64encode(b"\x00\x01cfg " + ASSIGN.encode()).decode(), "assign"),
+    (base64.b64encode(b"\xff\xfe " + ASSIGN.encode() + b" \xe6\x97").decode(), "assign"),
+    *(("/bA+"[:n] + base64.b64encode(f"{ASSIGN} and more".encode()).decode(), "assign") for n in (1, 2, 3)),
+    *(("/bA"[:n] + base64.b64encode(gzip.compress(ACCESS.encode())).decode(), "access") for n in (1, 2, 3)),
+    (base64.b64encode(f"{ASSIGN} and more".encode()).decode().rstrip("=")[:24] + "Q", "assign"),
+    (base64.b64encode(gzip.compress(b"first") + gzip.compress(ACCESS.encode())).decode(), "access"),
+    (base64.b64encode(zlib.compress(b"first") + b"--" + zlib.compress(ASSIGN.encode())).decode(), "assign")])
+def test_secrets_in_broken_layers(hidden, kind):
+    text = f"é 日 {hidden}\nthe end"
+    found = [x for x in secrets.find(text)[1] if x[2] == kind]
+    assert found and all(4 <= x[0] < x[1] <= 4 + len(hidden) for x in found)
+    assert secrets.masked(text).startswith("é 日 ") and secrets.masked(text).endswith("\nthe end")
+
+
+def test_a_secret_over_a_line_end_is_found_whole():
+    code = wrapped(b"x" * 50 + b" token=abcdefghijklmnop end")
+    start, end, _, _ = max(secrets.find(code)[1], key=lambda x: x[1] - x[0])
+    assert start <= 68 and end >= 96 and "\n" in code[start:end]
+
+
 def test_secrets_end_and_leave_plain_texts_alone():
     for text in ("", "100% of %zz \\u12 &#; plain", "z" * 5000, "%25" * 300, "thonathentionaninger/andthe", "token: abc secret = x"):
         base, found = secrets.find(text)
