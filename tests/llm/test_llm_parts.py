@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from callbook.llm import bpe, chat, classlm, factorisation, hnsw, jaccard, outliers, packing, secrets
+from callbook.llm import bpe, chat, classlm, factorisation, hnsw, jaccard, outliers, packing, secrets, sharding
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -169,6 +169,19 @@ def test_best_moves_take_the_largest_gain():
     assert gained > 0 and set(best) <= set(range(k))
 
 
+def test_flows_keep_the_quotas():
+    rng = random.Random(7)
+    for _ in range(50):
+        room = {s: rng.choice([0, 0, 5]) for s in range(6)}
+        wanted = {(a, b): rng.randrange(20) for a, b in itertools.permutations(range(6), 2)}
+        got = sharding.flows(wanted, room)
+        for s in room:
+            assert sum(n for (_, b), n in got.items() if b == s) - sum(n for (a, _), n in got.items() if a == s) <= room[s]
+        assert all(0 < n <= wanted[e] for e, n in got.items())
+    assert sharding.flows({(0, 1): 4, (1, 2): 5, (2, 0): 3}, dict.fromkeys(range(3), 0)) == {(0, 1): 3, (1, 2): 3, (2, 0): 3}
+    assert sharding.flows({(0, 1): 4}, {0: 0, 1: 0}) == {}
+
+
 def test_graph_finds_all_neighbours():
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 24))

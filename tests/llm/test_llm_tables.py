@@ -252,6 +252,16 @@ def test_sharding(docs, none, spark):
     assert sharding.place(none).count() == 0
 
 
+def test_sharding_of_copies_only(spark):
+    rows = [(i, f"text {i // 3}") for i in range(1200)]
+    got = sharding.place(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes, where = Counter(r["shard"] for r in got), {}
+    assert len(got) == 1200 and len(sizes) == 8 and max(sizes.values()) == min(sizes.values()) == 150
+    for r in got:
+        where.setdefault(r["doc_id"] // 3, set()).add(r["shard"])
+    assert sum(len(x) > 1 for x in where.values()) <= 40
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(25)] + [(200, 200), (None, 3)]
