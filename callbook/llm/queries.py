@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callbook.llm import bpe, chat, classlm, factorisation, hnsw, jaccard, outliers, packing, secrets, sharding
+from callbook.llm import (bpe, chat, classlm, collocations, factorisation, hnsw, jaccard, licenses, outliers, packing,
+                          repeats, secrets, sharding)
 from callbook.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +132,137 @@ def op6_class_lm(spark, sf_dir):
 def op7_small_world_links(spark, sf_dir):
     return hnsw.link(table(spark, sf_dir, "embeddings")) \
         .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def with_repeated_end(key: object, text: str) -> list[bytes]:
+    """The words of a text; of every tenth key, the last ones repeat what stands before them."""
+    words = repeats.words_of(key, text)
+    chosen, n = (1 if key is None else zlib.crc32(str(key).encode())), len(words)
+    if chosen % 10 or not n:
+        return words
+    turn = chosen // 10
+    start = turn % n
+    period = 1 + (n - start) // (3 + turn % 8)
+    times = -(-(n - start) // period)
+    return words[:start] + (words[start:start + period] * times)[:n - start]
+
+
+@query("op11_word_runs")
+def op11_word_runs(spark, sf_dir):
+    found = repeats.find(table(spark, sf_dir, "documents"), words=with_repeated_end)
+    # The greatest exponent by cross-multiplication; runs are in order, so the first of equals stays.
+    best = F.expr("""aggregate(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>),
+        (best, x) -> IF(best IS NULL OR x.length * best.period > best.length * x.period, x, best))""")
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def license_sql() -> str:
+    """The same rules without keywords, located by the lengths of what stands between the matches."""
+    values = ", ".join(f"({i}, {r.tier}, {_quoted(r.label)}, {r.confidence}, {_quoted(r.regex)})"
+                       for i, r in enumerate(licenses.rules()))
+    base = len(licenses.BASE)
+    return f"""
+WITH rules(no, tier, label, confidence, regex) AS (VALUES {values}),
+spelt AS (
+    SELECT row_number() OVER () AS id, doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{licenses.LETTERS[0]}',
+        '{licenses.LETTERS[1]}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', '  ', 'g'), ' ') AS w FROM documents
+), texts AS (
+    SELECT id, doc_id, CASE WHEN w = '' THEN '' ELSE ' ' || w || ' ' END AS words FROM spelt
+), hits AS (
+    SELECT id, no, tier, label, confidence, string_split_regex(words, regex) AS gaps,
+           regexp_extract_all(words, regex) AS found
+    FROM texts JOIN rules ON regexp_matches(words, regex)
+), placed AS (
+    SELECT id, no, tier, label, confidence, unnest(range(1, len(found) + 1)) AS j, gaps, found FROM hits
+), matches AS (
+    SELECT id, no, tier, label, confidence, s AS start, s + (length(found[j]) - length(replace(found[j], ' ', ''))) // 2 AS stop
+    FROM (SELECT *, (length(before) - length(replace(before, ' ', ''))) // 2 AS s FROM (
+        SELECT *, array_to_string(gaps[1:j], '') || array_to_string(found[1:j - 1], '') AS before
+        FROM placed))
+), kept AS (
+    SELECT * FROM matches m WHERE no < {base} OR NOT EXISTS (
+        SELECT 1 FROM matches o WHERE o.id = m.id AND o.tier <= m.tier AND o.start <= m.start AND o.stop >= m.stop
+          AND (o.start < m.start OR o.stop > m.stop OR o.tier < m.tier OR o.no < m.no))
+), base AS (
+    SELECT id, count(*) AS n, min(start) AS first_word, max(start) AS last_word,
+           string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM matches WHERE no < {base} GROUP BY id
+), shown AS (
+    SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(confidence) AS score FROM kept GROUP BY id
+)
+SELECT doc_id, CAST((length(words) - length(replace(words, ' ', ''))) // 2 AS BIGINT) AS n_words,
+       coalesce(b.n, 0) AS n_base, first_word, last_word, coalesce(b.labels, '') AS base_labels,
+       coalesce(s.labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM texts LEFT JOIN base b USING (id) LEFT JOIN shown s USING (id)
+"""
+
+
+@query("op12_license_rules", license_sql())
+def op12_license_rules(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["rule"] < len(licenses.BASE))
+
+    def joined(column):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(column, lambda m: m["label"]))), ",")
+
+    return found.withColumn("base", base).withColumn("all", F.concat("base", "detections")).select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min(F.transform("base", lambda m: m["start"])).alias("first_word"),
+        F.array_max(F.transform("base", lambda m: m["start"])).alias("last_word"),
+        joined("base").alias("base_labels"), joined("all").alias("labels"),
+        F.coalesce(F.array_max(F.transform("all", lambda m: m["confidence"])), F.lit(0.0)).alias("score"))
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-
+]')) AS piece FROM documents
+), words AS (
+    SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces
+), sizes AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+), grams AS (
+    SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM words, (VALUES (1), (2), (3), (4), (5)) AS t(k)
+    WHERE len(w) >= k
+), f AS (
+    SELECT lang, k, w[i:i + k - 1] AS p, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+), candidates AS (
+    SELECT * FROM f WHERE k > 1
+), parts AS (
+    SELECT lang, a, p, k, b, unnest(range(b + 1, k + 1)) AS e FROM
+        (SELECT *, unnest(range(1, k)) AS b FROM (SELECT * FROM candidates WHERE k > 2))
+    UNION ALL SELECT lang, a, p, k, b, unnest(range(b + 1, k + 1)) AS e FROM
+        (SELECT *, k AS b FROM candidates WHERE k > 2)
+), inner_ones AS (
+    SELECT DISTINCT s.lang, s.p FROM candidates s JOIN (
+        SELECT lang, a, p[b:e] AS p FROM parts WHERE e - b + 1 < k) l ON s.lang = l.lang AND s.p = l.p
+    WHERE CAST(100 AS HUGEINT) * l.a >= CAST(100 AS HUGEINT) * s.a
+), cuts AS (
+    SELECT c.lang, c.p, c.a, c.k, unnest(range(1, c.k)) AS cut FROM candidates c
+    ANTI JOIN inner_ones i ON c.lang = i.lang AND c.p = i.p
+), scored AS (
+    SELECT c.lang, c.p, c.a, cut, x.a AS l, y.a AS r, n,
+           CAST((CAST(1000 AS HUGEINT) * c.a * n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+    FROM cuts c JOIN f x ON x.lang = c.lang AND x.p = c.p[1:cut]
+    JOIN f y ON y.lang = c.lang AND y.p = c.p[cut + 1:c.k] JOIN sizes z ON z.lang = c.lang
+), weakest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(p, ' ')) AS rank,
+       array_to_string(p, ' ') AS phrase, a, l, r, n, score
+FROM weakest QUALIFY rank <= 2000
+"""
+
+
+@query("op13_collocations", COLLOCATION_SQL)
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
