@@ -8,16 +8,27 @@ from pyspark.sql import types as T
 
 
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row per key, the one with the highest ``order``.
+    """One row per key, the one with the highest ``order``; of equal ones the greatest in the
+    order of the other columns, so that a rerun takes the same row.
 
     An aggregation, not a window: copies of a hot key are reduced before the
     shuffle.
     """
     rest = [c for c in df.columns if c not in keys]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row"))
+    row = F.struct(*rest)
+    return (df.groupBy(*keys).agg(F.max_by(row, F.struct(F.col(order), row)).alias("_row"))
             .select(*keys, "_row.*").select(*df.columns))
 
 
+def newer_than(new: DataFrame, target: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows of ``new`` whose key the target lacks or holds with a lower ``order``."""
+    held = target.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(order).alias("_held"))
+    same = F.col("_held") >= F.col(order)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    return new.join(held, same, "left_anti")
+
+
 def upsert_replace(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace target rows with the same key; ``new`` is unique by key
     (see :func:`last_per_key`)."""
@@ -65,25 +76,33 @@ def apply_fetch_results(frontier: DataFrame, results: DataFrame,
     ``ok`` is done, ``gone`` is skipped, ``failed`` is failed, each one attempt
     more; ``deferred`` and ``throttled`` stay pending and only note the message.
     A path with several results takes one of them: the last by ``order``, or,
-    without it, the best (``ok`` before the others). An ``ok`` for a row that is
-    done already changes nothing, so a repeated batch of pages is safe.
+    without it, the best (``ok`` before the others). What is done stays done.
+
+    ``order`` is the time of a result. Where the frontier keeps it (``result_ts``), a
+    result counts only if it is later than the last one that its row has seen: a
+    batch that comes again changes nothing, nor does an older one that comes late.
     """
     result = F.struct("kind", "message")
-    last = F.max_by(result, order) if order else F.max(
+    last = F.max_by(result, F.struct(F.col(order), result)) if order else F.max(
         F.struct((F.col("kind") == "ok").alias("best"), "kind", "message"))
-    results = results.groupBy("path").agg(last.alias("_r")).select("path", "_r.kind", "_r.message")
+    timed = order is not None and "result_ts" in frontier.columns
+    at = F.max(F.col(order).cast("timestamp")) if timed else F.lit(None).cast("timestamp")
+    keyed = results.groupBy("path").agg(last.alias("_r"), at.alias("_at")).select(
+        "path", F.col("_r.kind").alias("_kind"), F.col("_r.message").alias("_msg"), "_at")
     kind = F.col("_kind")
     moved = F.when(kind == "ok", DONE).when(kind == "gone", SKIPPED).when(kind == "failed", FAILED)
-    keyed = results.select("path", F.col("kind").alias("_kind"), F.col("message").alias("_msg"))
-    again = (kind == "ok") & (F.col("state") == DONE)
-    return (
-        frontier.join(keyed, "path", "left").withColumn("_kind", F.when(again, None).otherwise(kind))
+    late = F.col("state") == DONE
+    if timed:
+        late = late | F.coalesce(F.col("_at") <= F.col("result_ts"), F.lit(False))
+    out = (
+        frontier.join(keyed, "path", "left").withColumn("_kind", F.when(~late, kind))
         .withColumn("state", F.coalesce(moved, "state"))
         .withColumn("attempts", F.col("attempts") + F.when(moved.isNotNull(), 1).otherwise(0))
         .withColumn("last_error", F.when(kind.isNull() | (kind == "ok"), F.col("last_error"))
-                    .otherwise(F.col("_msg")))
-        .select(*frontier.columns)
-    )
+                    .otherwise(F.col("_msg"))))
+    if timed:
+        out = out.withColumn("result_ts", F.when(kind.isNotNull(), F.col("_at")).otherwise(F.col("result_ts")))
+    return out.select(*frontier.columns)
 
 
 def _retryable(max_attempts: int) -> Column:

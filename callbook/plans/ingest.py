@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callbook.functions import text as X
 from callbook.functions.stance import with_stance
 from callbook.operators import merge as M
-from callbook.session import settle
+from callbook.session import settle, settle_counted
 from callbook.sources import tables
 from callbook.sources.articles import head_of, head_tickers, parse_heads
 from callbook.sources.sitemaps import month_url_counts, sitemap_urls
@@ -29,6 +31,7 @@ def frontier_rows(urls: DataFrame, host: str, sections: list[str] = SECTIONS) ->
             F.when(X.section_ok(F.col("path"), sections), M.PENDING).otherwise(M.SKIPPED)
             .alias("state"),
             F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("last_error"),
+            F.lit(None).cast("timestamp").alias("result_ts"),
             X.path_month(F.col("path")).alias("month"))
     )
 
@@ -42,10 +45,12 @@ def new_frontier_rows(frontier: DataFrame, urls: DataFrame, host: str,
 def read_heads(landed: DataFrame, site_name: str, order: str | None = None) -> DataFrame:
     """Parsed heads of landed (path, html) pages.
 
-    With ``order``, a path landed several times keeps its last page.
+    With ``order``, the time of landing, a path landed several times keeps its last page
+    and that page's time as ``fetched_ts``.
     """
     if order is not None:
-        landed = M.last_per_key(landed, ["path"], order).drop(order)
+        landed = M.last_per_key(landed, ["path"], order).withColumn(
+            "fetched_ts", F.col(order).cast("timestamp")).drop(*({order} - {"fetched_ts"}))
     return parse_heads(landed.withColumn("html", head_of(F.col("html"))), site_name)
 
 
@@ -59,35 +64,68 @@ def coverage_rows(heads: DataFrame, universe: DataFrame) -> DataFrame:
 
 def article_rows(heads: DataFrame, coverage: DataFrame) -> DataFrame:
     """One labelled row per article with the number of its coverage rows."""
+    fetched = F.col("fetched_ts") if "fetched_ts" in heads.columns else F.current_timestamp()
     counts = coverage.groupBy("path").agg(F.count(F.lit(1)).alias("ticker_count"))
     return with_stance(heads).join(counts, "path", "left").select(
         "path", "title", "author", "published_day", "published_ts", "section", "stance",
         "stance_score", F.coalesce("ticker_count", F.lit(0)).cast("bigint").alias("ticker_count"),
-        F.current_timestamp().alias("fetched_ts"), X.path_month(F.col("path")).alias("month"))
+        fetched.alias("fetched_ts"), X.path_month(F.col("path")).alias("month"))
+
+
+@dataclass(frozen=True)
+class Stored:
+    """Rows that a write merged, counted while they were written."""
+    articles: int = 0
+    coverage: int = 0
+
+
+def seen_batch(spark: SparkSession, root: str, batch: str | None) -> bool:
+    """Whether a batch of this name was merged to the end before."""
+    ledger = tables.read_table(spark, root, "batches")
+    return batch is not None and not ledger.filter(F.col("batch") == batch).isEmpty()
+
+
+def note_batch(spark: SparkSession, root: str, batch: str | None, kind: str, merged: int) -> None:
+    if batch is not None:
+        tables.append(spark.range(1).select(
+            F.lit(batch).alias("batch"), F.lit(kind).alias("kind"),
+            F.current_timestamp().alias("applied_ts"), F.lit(merged).alias("rows")), root, "batches")
 
 
 def store_pages(spark: SparkSession, root: str, landed: DataFrame, site_name: str,
-                order: str) -> None:
+                order: str, batch: str | None = None, keep_newer: bool = False) -> Stored:
     """Parse landed pages and upsert articles, coverage, tickers and the frontier.
 
-    ``order`` says which page of a path is its last. Every write is keyed, so storing the same pages again changes nothing: a
-    batch that is repeated after a failure is safe.
+    ``order``, the time of landing, says which page of a path is its last. Every write is keyed, so
+    storing the same pages again changes nothing: a batch that is repeated after a failure is safe.
+    ``keep_newer`` leaves out pages that are not later than the stored one of their path, for batches
+    that may come out of order. ``batch`` names the batch in a ledger; one that stands there is skipped.
     """
+    if seen_batch(spark, root, batch):
+        return Stored()
     heads = settle(read_heads(landed, site_name, order))
-    cov = settle(coverage_rows(heads, tables.read_table(spark, root, "universe")))
-    arts = settle(article_rows(heads, cov))
+    held = tables.read_table(spark, root, "articles")
+    seen, n_coverage = settle_counted(coverage_rows(heads, tables.read_table(spark, root, "universe")))
+    read, n_articles = settle_counted(article_rows(heads, seen))
+    arts, cov = read, seen
+    if keep_newer:
+        arts, n_articles = settle_counted(M.newer_than(
+            read, tables.touched(held, read, "month"), ["path"], "fetched_ts"))
+        cov, n_coverage = settle_counted(seen.join(arts.select("path"), "path", "left_semi"))
 
     old = tables.touched(tables.read_table(spark, root, "coverage"), arts, "month")
     tables.rewrite(root, "coverage", M.replace_coverage(old, cov, arts), covering=arts)
-    old = tables.touched(tables.read_table(spark, root, "articles"), arts, "month")
+    old = tables.touched(held, arts, "month")
     tables.rewrite(root, "articles", M.upsert_replace(old, arts, ["path"]))
     tables.rewrite(root, "tickers", M.upsert_first_seen(
-        tables.read_table(spark, root, "tickers"), cov))
+        tables.read_table(spark, root, "tickers"), seen))
 
-    results = arts.select("path", F.lit("ok").alias("kind"),
-                          F.lit(None).cast("string").alias("message"))
-    waiting = tables.touched(tables.read_table(spark, root, "frontier"), arts, "month")
-    tables.rewrite(root, "frontier", M.apply_fetch_results(waiting, results))
+    results = read.select("path", F.lit("ok").alias("kind"),
+                          F.lit(None).cast("string").alias("message"), "fetched_ts")
+    waiting = tables.touched(tables.read_table(spark, root, "frontier"), read, "month")
+    tables.rewrite(root, "frontier", M.apply_fetch_results(waiting, results, "fetched_ts"))
+    note_batch(spark, root, batch, "pages", n_articles)
+    return Stored(n_articles, n_coverage)
 
 
 def store_sitemaps(spark: SparkSession, root: str, pages: DataFrame, host: str,
@@ -101,26 +139,33 @@ def store_sitemaps(spark: SparkSession, root: str, pages: DataFrame, host: str,
     frontier = tables.read_table(spark, root, "frontier")
     rows = settle(frontier_rows(urls, host, sections))
     near = tables.touched(frontier, rows, "month")
-    new = settle(M.insert_ignore(near, rows, ["path"]))
-    tables.append(new, root, "frontier")
+    added = tables.append(M.insert_ignore(near, rows, ["path"]), root, "frontier")
     ledger = month_url_counts(pages.filter(F.col("month").isNotNull())).withColumn(
         "enumerated_ts", F.current_timestamp())
     tables.rewrite(root, "archive_months", M.upsert_replace(
         tables.read_table(spark, root, "archive_months"), ledger, ["month"]))
-    return new.agg(F.count(F.lit(1)).alias("added"))
+    return spark.range(1).select(F.lit(added).cast("bigint").alias("added"))
 
 
 def store_results(spark: SparkSession, root: str, results: DataFrame,
-                  order: str | None = None) -> None:
-    """Apply (path, kind, message) fetch results to the frontier, the last of a path by ``order``."""
+                  order: str | None = None, batch: str | None = None) -> int:
+    """Apply (path, kind, message) fetch results to the frontier; the rows of the months written.
+
+    With ``order``, the time of a result, a batch may come twice, or after a later one. ``batch``
+    names it in a ledger, as for pages; without either a repeated failure counts again.
+    """
+    if seen_batch(spark, root, batch):
+        return 0
     keyed = settle(results.withColumn("month", X.path_month(F.col("path"))))
     waiting = tables.touched(tables.read_table(spark, root, "frontier"), keyed, "month")
-    tables.rewrite(root, "frontier", M.apply_fetch_results(waiting, keyed, order))
+    written = tables.rewrite(root, "frontier", M.apply_fetch_results(waiting, keyed, order))
+    note_batch(spark, root, batch, "results", written)
+    return written
 
 
 def store_prices(spark: SparkSession, root: str, quotes: DataFrame,
-                 order: str | None = None) -> None:
-    """Upsert (symbol, date, close, volume) rows.
+                 order: str | None = None) -> int:
+    """Upsert (symbol, date, close, volume) rows; their number.
 
     Of several quotes for a key the last by ``order`` counts; without it the one
     with the highest volume, then close.
@@ -131,9 +176,10 @@ def store_prices(spark: SparkSession, root: str, quotes: DataFrame,
     else:
         best = F.max(F.struct("volume", "close")).alias("_q")
         quotes = quotes.groupBy(*keys).agg(best).select(*keys, "_q.close", "_q.volume")
-    new = settle(quotes.withColumn("month", F.date_format("date", "yyyy-MM")))
+    new, n = settle_counted(quotes.withColumn("month", F.date_format("date", "yyyy-MM")))
     old = tables.touched(tables.read_table(spark, root, "prices"), new, "month")
     tables.rewrite(root, "prices", M.upsert_replace(old, new, ["symbol", "date"]))
+    return n
 
 
 def store_universe(spark: SparkSession, root: str, listings: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def store_relabel(spark: SparkSession, root: str) -> DataFrame:
 
 def log_run(spark: SparkSession, root: str, kind: str, started: Column, articles: int,
             coverage: int, notes: str) -> None:
-    """Append one finished run."""
+    """Append one finished run; the counts are those that ``store_pages`` returns."""
     row = spark.range(1).select(
         F.lit(kind).alias("kind"), started.alias("started_ts"),
         F.current_timestamp().alias("finished_ts"), F.lit(articles).alias("articles_new"),

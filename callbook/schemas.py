@@ -21,7 +21,7 @@ COVERAGE = _schema(
 )
 FRONTIER = _schema(
     path=_S, section=_S, published_day=_DAY, discovered_ts=_TS, state=_S, attempts=_I,
-    last_error=_S, month=_S,
+    last_error=_S, result_ts=_TS, month=_S,
 )
 ARCHIVE_MONTHS = _schema(month=_S, urls_found=_L, enumerated_ts=_TS)
 UNIVERSE = _schema(ticker=_S, name=_S, exchange=_S, is_etf=_B)
@@ -37,6 +37,8 @@ CALL_OUTCOMES = _schema(
 RUNS = _schema(
     kind=_S, started_ts=_TS, finished_ts=_TS, articles_new=_L, coverage_new=_L, notes=_S,
 )
+BATCHES = _schema(batch=_S, kind=_S, applied_ts=_TS, rows=_L)
+LANDED_FILES = _schema(kind=_S, file=_S, modified_ts=_TS, read_ts=_TS)
 
 #: name -> (schema, key columns, partition column). The partition column is a
 #: function of the key, so a row never moves between partitions.
@@ -50,4 +52,6 @@ TABLES = {
     "prices": (PRICES, ["symbol", "date"], "month"),
     "call_outcomes": (CALL_OUTCOMES, ["path", "ticker"], "month"),
     "runs": (RUNS, [], None),
+    "batches": (BATCHES, [], None),
+    "landed_files": (LANDED_FILES, [], None),
 }

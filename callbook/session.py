@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "8", app: str = "callbook", **conf) -> SparkSession:
@@ -60,3 +61,19 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """Rows that are counted while they are written; the count is ``rows`` of the observation.
+
+    Nothing may shuffle them again before they are written: only tasks of the last stage
+    count each row once when executors are lost.
+    """
+    count = Observation()
+    return df.observe(count, F.count(F.lit(1)).alias("rows")), count
+
+
+def settle_counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """A settled table and its number of rows, without another scan."""
+    rows, count = counted(df)
+    return settle(rows), count.get["rows"]

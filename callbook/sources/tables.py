@@ -1,4 +1,11 @@
-"""Stored tables (S8, S10) and their keyed writes."""
+"""Stored tables (S8, S10) and their keyed writes.
+
+A table with a month is a folder of month partitions. A keyed table without one is a folder of
+versions: a write makes a new version next to the one in use, and an empty file inside it,
+made at the very end, puts it in use. A job that dies before leaves the old rows as they
+were. What was written once is noted beside the tables, so that a table that is gone is an
+error and not an empty table. One writer at a time is assumed, as for the partitions.
+"""
 
 from __future__ import annotations
 
@@ -10,50 +17,129 @@ from pyspark.sql import functions as F
 
 from callbook.operators.merge import to_schema
 from callbook.schemas import TABLES
-from callbook.session import settle
+from callbook.session import counted, settle_counted
+
+#: Name of a version's folder, of the file that puts it in use, and of the folder of notes.
+VERSION, IN_USE, NOTES = "version={:010d}", "_IN_USE", "_written"
+#: Versions that stay besides the one in use, for readers that started before the last write.
+OLDER_VERSIONS = 1
+
+
+class LostTable(RuntimeError):
+    """A table that has been written is no longer there."""
+
+
+def _place(spark: SparkSession, path: str):
+    """The store that a path lies in, and the path in its terms."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    store, place = _place(spark, path)
+    return store.exists(place)
+
+
+def _touch(spark: SparkSession, path: str) -> None:
+    store, place = _place(spark, path)
+    store.create(place, True).close()
+
+
+def _versioned(name: str) -> bool:
+    _, keys, part = TABLES[name]
+    return part is None and bool(keys)
+
+
+def _versions(spark: SparkSession, folder: str) -> list[tuple[int, bool]]:
+    """(number, whether it is or was in use) of all versions, in order."""
+    store, place = _place(spark, folder)
+    if not store.exists(place):
+        return []
+    prefix = VERSION.partition("=")[0] + "="
+    names = [s.getPath().getName() for s in store.listStatus(place) if s.isDirectory()]
+    return sorted((int(n[len(prefix):]), _exists(spark, f"{folder}/{n}/{IN_USE}"))
+                  for n in names if n.startswith(prefix))
+
+
+def _current(spark: SparkSession, root: str, name: str) -> str:
+    """The folder that holds a table's rows now."""
+    folder = f"{root}/{name}"
+    if _versioned(name):
+        used = [n for n, whole in _versions(spark, folder) if whole]
+        if used:
+            return f"{folder}/{VERSION.format(used[-1])}"
+    return folder       # one that was written before there were versions holds its rows itself
+
+
+def _lost(spark: SparkSession, root: str, name: str) -> bool:
+    return _exists(spark, f"{root}/{NOTES}/{name}")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table in today's schema; empty when it was never written.
 
     Columns that older files lack read as NULL, which is all an additive
-    migration takes (K12).
+    migration takes (K12). A table that was written and is gone raises LostTable.
     """
     schema, keys, _ = TABLES[name]
+    folder = _current(spark, root, name)
+    unfinished = _versioned(name) and folder == f"{root}/{name}" and _versions(spark, folder)
     try:
-        stored = spark.read.schema(schema).parquet(f"{root}/{name}")
-        return stored.dropna(subset=keys) if keys else stored
+        if unfinished:      # its first write was cut off
+            stored = None
+        else:
+            stored = spark.read.schema(schema).parquet(folder)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        stored = None
+    if stored is None:
+        if _lost(spark, root, name):
+            raise LostTable(f"table {name} under {root} was written and is gone")
         return spark.createDataFrame([], schema)
+    return stored.dropna(subset=keys) if keys else stored
 
 
-def _write(df: DataFrame, root: str, name: str) -> None:
-    _, _, part = TABLES[name]
-    if part is None:
-        df.hint("rebalance").write.mode("overwrite").parquet(f"{root}/{name}")
-        return
-    # Few files per partition, yet a big partition is split over many tasks.
-    # Only the partitions that occur in df are replaced.
-    (df.hint("rebalance", part).write.mode("overwrite").partitionBy(part)
-     .option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}"))
+def _replace(df: DataFrame, root: str, name: str) -> int:
+    """A new version, in use from the moment that all of it is written; its number of rows."""
+    spark, folder = df.sparkSession, f"{root}/{name}"
+    before = _versions(spark, folder)
+    number = before[-1][0] + 1 if before else 1
+    version = f"{folder}/{VERSION.format(number)}"
+    rows, count = counted(df.hint("rebalance"))
+    rows.write.parquet(version)
+    _touch(spark, f"{version}/{IN_USE}")
+    kept = [n for n, whole in before if whole][-OLDER_VERSIONS:]
+    for old, _ in before:
+        if old not in kept:
+            store, place = _place(spark, f"{folder}/{VERSION.format(old)}")
+            store.delete(place, True)
+    return count.get["rows"]
 
 
-def rewrite(root: str, name: str, merged: DataFrame, covering: DataFrame | None = None) -> None:
-    """Overwrite (the touched partitions of) a table with rows derived from it.
+def rewrite(root: str, name: str, merged: DataFrame, covering: DataFrame | None = None) -> int:
+    """Replace (the touched partitions of) a table by rows derived from it; the rows written.
 
     A partition is only replaced when there is a row for it. Where a merge may
     leave a partition empty, ``covering`` names the partitions it covers: those
     without a row left get one without a key, which reads skip.
     """
     schema, _, part = TABLES[name]
-    rows = settle(to_schema(merged, schema))
-    if covering is not None:
-        emptied = covering.select(part).distinct().join(
-            rows.select(part).distinct(), part, "left_anti")
-        rows = rows.unionByName(to_schema(emptied, schema))
-    _write(rows, root, name)
+    rows = to_schema(merged, schema)
+    if part is None:
+        written = _replace(rows, root, name)    # the rows in use stay, so they can be read meanwhile
+    else:
+        rows, written = settle_counted(rows)
+        if covering is not None:
+            emptied = covering.select(part).distinct().join(
+                rows.select(part).distinct(), part, "left_anti")
+            rows = rows.unionByName(to_schema(emptied, schema))
+        # Few files per partition, yet a big partition is split over many tasks.
+        # Only the partitions that occur in the rows are replaced.
+        (rows.hint("rebalance", part).write.mode("overwrite").partitionBy(part)
+         .option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}"))
+    _touch(merged.sparkSession, f"{root}/{NOTES}/{name}")
+    return written
 
 
 def touched(table: DataFrame, new: DataFrame, part: str) -> DataFrame:
@@ -66,11 +152,14 @@ def touched(table: DataFrame, new: DataFrame, part: str) -> DataFrame:
     return table.filter(F.col(part).isin(values))
 
 
-def append(df: DataFrame, root: str, name: str) -> None:
-    """Append rows (the run log, new frontier rows)."""
+def append(df: DataFrame, root: str, name: str) -> int:
+    """Append rows (the run log, new frontier rows); their number."""
     schema, _, part = TABLES[name]
-    writer = to_schema(df, schema).write.mode("append")
+    rows, count = counted(to_schema(df, schema))
+    writer = rows.write.mode("append")
     (writer.partitionBy(part) if part else writer).parquet(f"{root}/{name}")
+    _touch(df.sparkSession, f"{root}/{NOTES}/{name}")
+    return count.get["rows"]
 
 
 def write_csv(df: DataFrame, path: str) -> None:
