@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callbook.functions import text as X
 from callbook.functions.stance import with_stance
 from callbook.operators import merge as M
 from callbook.session import settle, settle_counted
-from callbook.sources import tables
+from callbook.sources import discovery, tables
 from callbook.sources.articles import head_of, head_tickers, parse_heads
+from callbook.sources.charts import parse_charts
 from callbook.sources.sitemaps import month_url_counts, sitemap_urls
 
 # Fixed value: the sections whose articles are fetched.
@@ -193,3 +194,35 @@ def store_universe(spark: SparkSession, root: str, listings: DataFrame) -> DataF
     tables.rewrite(root, "tickers", M.backfill_names(
         tables.read_table(spark, root, "tickers"), tables.read_table(spark, root, "universe")))
     return unnamed
+
+
+def store_chart_files(spark: SparkSession, root: str, folder: str, glob: str = "*.json",
+                      symbol: Column | None = None) -> DataFrame:
+    """Prices of the chart files (one symbol each) that have landed since the last run.
+
+    ``symbol`` is read from ``file``, its path; by default it is the file's name. Returns one row
+    with the number of files and of quotes.
+    """
+    files = discovery.new_files(spark, root, "charts", folder, glob)
+    named = discovery.name_of(F.col("file"), ".json") if symbol is None else symbol
+    bodies = discovery.texts_of(spark, folder, files, glob).select(named.alias("symbol"), "body")
+    quotes = store_prices(spark, root, parse_charts(bodies))
+    read = discovery.note_files(spark, root, "charts", files)
+    return spark.range(1).select(F.lit(read).cast("bigint").alias("files"),
+                                 F.lit(quotes).cast("bigint").alias("quotes"))
+
+
+def store_sitemap_files(spark: SparkSession, root: str, folder: str, host: str, glob: str = "*.xml",
+                        month: Column | None = None, sections: list[str] = SECTIONS) -> DataFrame:
+    """Queue the urls of the month sitemaps that have landed since the last run.
+
+    ``month`` is read from ``file``; by default a file is named ``YYYY-MM.xml``. Returns one row
+    with the number of files and of new frontier rows.
+    """
+    files = discovery.new_files(spark, root, "sitemaps", folder, glob)
+    if month is None:
+        month = F.replace(discovery.name_of(F.col("file"), ".xml"), F.lit("-"), F.lit("/"))
+    pages = settle(discovery.texts_of(spark, folder, files, glob).select(month.alias("month"), "body"))
+    added = store_sitemaps(spark, root, pages, host, sections)
+    read = discovery.note_files(spark, root, "sitemaps", files)
+    return added.select(F.lit(read).cast("bigint").alias("files"), "added")

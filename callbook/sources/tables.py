@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,15 +83,9 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     schema, keys, _ = TABLES[name]
     folder = _current(spark, root, name)
     unfinished = _versioned(name) and folder == f"{root}/{name}" and _versions(spark, folder)
-    try:
-        if unfinished:      # its first write was cut off
-            stored = None
-        else:
-            stored = spark.read.schema(schema).parquet(folder)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        stored = None
+    stored = None       # never written, or its first write was cut off
+    if not unfinished and _exists(spark, folder):
+        stored = spark.read.schema(schema).parquet(folder)
     if stored is None:
         if _lost(spark, root, name):
             raise LostTable(f"table {name} under {root} was written and is gone")
@@ -162,9 +155,20 @@ def append(df: DataFrame, root: str, name: str) -> int:
     return count.get["rows"]
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """Export as CSV files with a header."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str) -> int:
+    """Export as CSV files with a header (K11); the rows written.
+
+    Quotes are doubled, as spreadsheets read them; a NULL is nothing, an empty text a pair of quotes.
+    """
+    rows, count = counted(df)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    return count.get["rows"]
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """An export read back; texts may hold line ends."""
+    return (spark.read.schema(schema).option("header", True).option("escape", '"')
+            .option("multiLine", True).csv(path))
 
 
 def query(spark: SparkSession, sql: str, args: dict | None = None, **frames) -> DataFrame:
