@@ -15,12 +15,14 @@ from callbook.functions.dates import local_day
 from callbook.operators import merge as M
 from callbook.plans import ingest as I
 from callbook.plans import upkeep as U
-from callbook.plans.outcomes import update_outcomes
+from callbook.plans.outcomes import track_record, update_outcomes
+from callbook.plans.reports import ticker_summary
 from callbook.session import ensure_checkpoint_dir
 from callbook.sources import tables as T
+from callbook.sources.bucketed import read_bucketed, store_bucketed
 from callbook.sources.listings import read_universe
 from callbook.streaming.ingest import start_ingest
-from callbook.checks import sources, studies  # noqa: F401  their SQL is compared with the stored forms too
+from callbook.checks import reports, sources, studies  # noqa: F401  their SQL is compared with the stored forms too
 from callbook.checks.prelude import PRELUDE
 
 
@@ -287,3 +289,22 @@ def sitemap_files(d):
         F.replace("month", F.lit("/"), F.lit("-")).alias("month"), "urls_found")
     queue = T.read_table(spark, root, "frontier").select("path", "state", "published_day")
     return queue.select("path", "state", F.date_format("published_day", "yyyy-MM").alias("month")).join(found, "month")
+
+
+# --- J1, J4 by bucket ---------------------------------------------------------------------------------------
+@check("bucketed_track", sql_of("track_record"))
+def bucketed_track(d):
+    """The track record from copies of outcomes and articles in buckets of their path."""
+    root = folder_of(d.spark)
+    parts = [store_bucketed(df, root, name, buckets=8) for name, df in (("outcomes", d.outcomes), ("articles", d.articles))]
+    columns = ("path", "ticker", "stance", "bucket", *studies._TRACK_COLS, *studies._HITS)
+    return rounded(track_record(*parts).select(*columns), *studies._TRACK_COLS)
+
+
+@check("bucketed_summary", sql_of("ticker_summary"))
+def bucketed_summary(d):
+    root = folder_of(d.spark)
+    for name, df in (("coverage", d.coverage), ("articles", d.articles)):
+        store_bucketed(df, root, name, buckets=8)
+    return rounded(ticker_summary(read_bucketed(d.spark, root, "coverage"), read_bucketed(d.spark, root, "articles"),
+                                  primary_only=True, verified_only=True), "avg_stance")

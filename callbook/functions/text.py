@@ -56,19 +56,23 @@ def strip_spaces(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
-def meta_content(head: Column, name: str) -> Column:
-    """Raw content of the first ``<meta name=...>`` tag of that name, '' if none."""
-    return F.regexp_extract(
-        head, rf'(?iU)<meta\s+name="{name}"\s+content="([^"]*)"', 1)
+def meta_tags(head: Column) -> Column:
+    """All meta tags as (name in lower case, raw content), in order; one search of the head."""
+    return F.transform(F.regexp_extract_all(head, F.lit(META_TAG), 0), lambda tag: F.struct(
+        F.lower(F.regexp_extract(tag, META_TAG, 1)).alias("name"),
+        F.regexp_extract(tag, META_TAG, 2).alias("content")))
+
+
+def tag_content(tags: Column, name: str) -> Column:
+    """Raw content of the first of :func:`meta_tags` with that name, '' if none; NULL without tags."""
+    found = F.get(F.filter(tags, lambda t: t["name"] == name), F.lit(0))["content"]
+    return F.when(tags.isNotNull(), F.coalesce(found, F.lit("")))
 
 
 def meta_map(head: Column) -> Column:
     """All meta tags as a map of lower-case name to raw content, first tag wins."""
-    names = F.transform(F.regexp_extract_all(head, F.lit(META_TAG), 1), F.lower)
-    values = F.regexp_extract_all(head, F.lit(META_TAG), 2)
-    return F.map_from_entries(F.transform(
-        F.array_distinct(names),
-        lambda k: F.struct(k, F.element_at(values, F.array_position(names, k).cast("int")))))
+    return F.transform(F.array(meta_tags(head)), lambda tags: F.map_from_entries(F.filter(
+        tags, lambda tag, i: F.array_position(F.transform(tags, lambda t: t["name"]), tag["name"]) == i + 1)))[0]
 
 
 def raw_title(head: Column) -> Column:

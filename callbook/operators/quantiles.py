@@ -7,7 +7,8 @@ running count over the bins locates the wanted ranks, and only the rows of the
 bins that hold a wanted rank are looked at again: first in thousands of equal
 slices between the bin's least and greatest value, then value by value in the one
 slice that holds the rank. Bins and slices decide how much work that is, never
-the result.
+the result. So few values that one buffer may hold them all, which their number
+tells, are aggregated at once.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callbook.session import settle
+from callbook.session import settle, settle_counted
 
+#: Values, over all groups, that one aggregation buffer may hold (about 100 MB).
+ONE_BUFFER = 2_000_000
 _STEPS = 512        # bins per factor e
 _ZOOM = 1e4         # values below 1/_ZOOM share the bins around zero
 _SLICES = 4096      # parts of a bin that is looked into
@@ -34,7 +37,7 @@ def _slug(p: float) -> str:
 
 def value_stats(df: DataFrame, keys: list[str], value: str = "value",
                 probs: tuple[float, ...] = (0.5,), few_keys: bool = False,
-                stored: bool = False) -> DataFrame:
+                stored: bool = False, one_buffer: int = ONE_BUFFER) -> DataFrame:
     """Per key: n, total, mean, positives, and one exact quantile column per prob.
 
     NULL values are ignored; a key without values has no row. Quantiles
@@ -42,15 +45,22 @@ def value_stats(df: DataFrame, keys: list[str], value: str = "value",
     ``p99`` and so on. ``few_keys`` states that the keys come from a closed
     list, so the handful of wanted bins may be broadcast.
 
-    The rows are read up to three times, so keys and value are settled first
-    unless ``df`` is ``stored``, a table scan or settled already. The second and
-    third reading only happen when a wanted rank is still open.
+    The rows are counted, then read up to three times, so keys and value are settled
+    first unless ``df`` is ``stored``, a table scan or settled already. The second and
+    third reading only happen when a wanted rank is still open. Up to ``one_buffer``
+    values need one reading.
     """
     named = dict(zip((f"_g{i}" for i in range(len(keys))), keys))
     rows = df.filter(F.col(value).isNotNull()).select(
         *[F.col(key).alias(g) for g, key in named.items()],
         F.col(value).cast("double").alias("v"))
-    rows = (rows if stored else settle(rows)).withColumn("bin", _bin(F.col("v")))
+    if stored:
+        count = rows.count()
+    else:
+        rows, count = settle_counted(rows)
+    if count <= one_buffer:
+        return _at_once(rows, named, probs)
+    rows = rows.withColumn("bin", _bin(F.col("v")))
     keys = list(named)
 
     hist = rows.groupBy(*keys, "bin").agg(
@@ -91,6 +101,15 @@ def value_stats(df: DataFrame, keys: list[str], value: str = "value",
                       (F.col("total") / F.col("n")).alias("mean"), "positives", *quantiles)
 
 
+def _at_once(rows: DataFrame, named: dict[str, str], probs: tuple[float, ...]) -> DataFrame:
+    """The statistics of few values, each group in one buffer."""
+    stats = rows.groupBy(*named).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"), F.avg("v").alias("mean"),
+        F.count_if(F.col("v") > 0).alias("positives"), F.percentile("v", list(probs)).alias("_q"))
+    return stats.select(*[F.col(g).alias(key) for g, key in named.items()], "n", "total", "mean", "positives",
+                        *[F.col("_q")[i].alias(_slug(p)) for i, p in enumerate(probs)])
+
+
 def _look_inside(rows: DataFrame, open_: DataFrame, keys: list[str], few: bool):
     """Values of the ranks that lie strictly inside a bin, in up to two frames.
 

@@ -97,8 +97,8 @@ def author_scores(coverage: DataFrame, articles: DataFrame, tickers: DataFrame,
                   prices: DataFrame, *, horizon: int = 21, primary_only: bool = True,
                   censor_days: int = 0, min_calls: int = MIN_CALLS,
                   benchmark: str = BENCHMARK) -> AuthorScores:
-    days = study_days(coverage, tickers, prices, primary_only=primary_only,
-                      censor_days=censor_days, min_articles=1, benchmark=benchmark)
+    days = settle(study_days(coverage, tickers, prices, primary_only=primary_only,
+                             censor_days=censor_days, min_articles=1, benchmark=benchmark))
     events = study_events(coverage, articles, days, primary_only=primary_only)
     calls = settle(measured_calls(events, horizon))
     authors, base = settle(score_authors(calls, min_calls)), base_rate(calls, horizon)

@@ -1,6 +1,8 @@
+"""What to fetch next: history, symbols, refresh order and months."""
+
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import timedelta
 
 import pytest
 from conftest import SESSIONS, rows
@@ -9,80 +11,83 @@ from pyspark.sql import functions as F
 from callbook.operators.merge import mark_history
 from callbook.plans import planning as P
 
-NEED = SESSIONS[0] - timedelta(days=400)
-
-
-@pytest.fixture
-def only_bench(market):
-    market.price_rows = [r for r in market.price_rows if r[0] == "SPY"]
-    return market
-
-
-def actions(m):
-    plan = P.history_plan(m.coverage, m.tickers, m.prices)
-    return {r["ticker"]: (r["symbol"], r["need"], r["action"]) for r in plan.collect()}
-
-
-def test_history_reaches_a_year_before_first_coverage(only_bench):
-    assert actions(only_bench) == {t: (t, NEED, "fetch") for t in ("SPY", "UP", "DOWN")}
-    plan = P.history_plan(only_bench.coverage, only_bench.tickers, only_bench.prices)
-    assert [r["ticker"] for r in P.history_todo(plan).collect()] == ["SPY", "DOWN", "UP"]
-    assert P.history_todo(plan, 1).collect()[0]["ticker"] == "SPY"
-
-
-def test_each_ticker_is_asked_once(only_bench):
-    m = only_bench
-    m.price_rows += [(t, date(2024, 6, 1), 100.0, 0) for t in ("UP", "DOWN")]   # listed late
-    todo = P.history_todo(P.history_plan(m.coverage, m.tickers, m.prices))
-    asked = mark_history(m.tickers, todo.select("ticker", "need"))
-    again = P.history_todo(P.history_plan(m.coverage, asked, m.prices))
-    assert [r["ticker"] for r in again.collect()] == ["SPY"]
-
-
-def test_satisfied_history_only_sets_the_marker(only_bench):
-    m = only_bench
-    m.price_rows += [("UP", NEED + timedelta(days=7), 1.0, 0),
-                     ("DOWN", NEED + timedelta(days=8), 1.0, 0)]
-    m.ticker_rows[1] = ("DOWN", None, "DOWN", False, None, NEED)
-    m.ticker_rows.append(("X", None, None, True, None, None))
-    m.add("/a/x/", "t", SESSIONS[5], 0, "X")
-    got = {t: a for t, (_, _, a) in actions(m).items()}
-    assert got == {"SPY": "fetch", "UP": "satisfied", "DOWN": "asked", "X": "no_symbol"}
-    plan = P.history_plan(m.coverage, m.tickers, m.prices)
-    assert rows(P.history_marks(plan)) == [("UP", NEED)]
-
-
-def test_symbols(spark, market):
-    market.ticker_rows = [
-        ("BRK.B", None, None, False, None, None), ("MAPLE", None, None, None, None, None),
-        ("BOTH", None, "", False, None, None), ("GONE", None, None, False, None, None),
-        ("FAILED", None, None, True, None, None), ("KNOWN", None, "K-X", False, None, None)]
-    priced = spark.createDataFrame(
-        [(s,) for s in ("BRK-B", "MAPLE.TO", "BOTH", "BOTH.TO", "FAILED", "KNOWN")],
-        "symbol string")
-    got = {r["ticker"]: (r["price_symbol"], r["price_failed"])
-           for r in P.resolve_symbols(market.tickers, priced).collect()}
-    assert got == {"BRK.B": ("BRK-B", False), "MAPLE": ("MAPLE.TO", False),
-                   "BOTH": ("BOTH", False), "GONE": (None, True), "FAILED": (None, True),
-                   "KNOWN": ("K-X", False)}
-
-
-def test_refresh(market):
-    market.add("/a/x/", "t", SESSIONS[0], 0, "NEW")
-    plan = P.refresh_plan(market.coverage, market.tickers, market.prices)
-    assert rows(plan)[0][:2] == ("SPY", "SPY")
-    assert {tuple(r)[:2] for r in plan.collect()} == {
-        ("SPY", "SPY"), ("UP", "UP"), ("DOWN", "DOWN"), ("NEW", None)}
-    assert [tuple(r) for r in P.refresh_list(market.coverage, 2).collect()] == [
-        ("DOWN", 2), ("UP", 2)]
-    missing = P.refresh_plan(market.coverage, market.tickers, market.prices, only_missing=True)
-    assert {r["ticker"] for r in missing.collect()} == {"SPY", "NEW"}
-
-
-def test_month_plan(spark):
-    have = spark.createDataFrame([("2026/01",)], "month string")
-    def wanted(**kw):
-        return [r[0] for r in rows(P.month_plan(
-            spark, F.lit("2025/12"), F.lit("2026/02"), have, **kw))]
-    assert wanted() == ["2025/12", "2026/02"]
-    assert wanted(refresh=True) == ["2025/12", "2026/01", "2026/02"]
+REACH = timedelta(days=P.LEAD_DAYS)
+FIRST = {"TIN": SESSIONS[0], "RYE": SESSIONS[0], "FLAX": SESSIONS[45]}
+
+
+def planned(m, tickers=None):
+    return P.history_plan(m.coverage, m.tickers if tickers is None else tickers, m.prices)
+
+
+def action(m, ticker):
+    return {r["ticker"]: r["action"] for r in planned(m).collect()}[ticker]
+
+
+def test_the_need_lies_a_lead_before_the_first_article(market):
+    needs = {r["ticker"]: r["need"] for r in planned(market).collect()}
+    assert needs == {t: day - REACH for t, day in FIRST.items()} | {"SPY": min(FIRST.values()) - REACH}
+
+
+@pytest.mark.parametrize("late, wanted", [(-3, "satisfied"), (0, "satisfied"), (P.SLACK_DAYS, "satisfied"),
+                                          (P.SLACK_DAYS + 1, "fetch"), (500, "fetch")])
+def test_closes_may_start_a_little_late(market, late, wanted):
+    need = FIRST["FLAX"] - REACH
+    market.price_rows = [r for r in market.price_rows if r[0] != "FLAX"] + [
+        ("FLAX", need + timedelta(days=late), 4.0, 1)]
+    assert action(market, "FLAX") == wanted
+    marks = dict(rows(P.history_marks(planned(market))))
+    assert marks == ({"FLAX": need} if wanted == "satisfied" else {})
+
+
+def test_only_verified_primary_coverage_counts(market):
+    early = SESSIONS[0] - timedelta(days=60)
+    market.coverage_rows += [("FLAX", "/cloth/aside/", early, False, "meta", True),
+                             ("FLAX", "/cloth/unlisted/", early, True, "primary_meta", False)]
+    assert {r["ticker"]: r["need"] for r in planned(market).collect()}["FLAX"] == FIRST["FLAX"] - REACH
+
+
+def test_what_was_asked_or_cannot_be_asked(market):
+    need = FIRST["RYE"] - REACH
+    market.ticker_rows = [("RYE", None, "RYE", False, None, need), ("TIN", None, "TIN", False, None, need + timedelta(days=1)),
+                          ("FLAX", None, None, True, None, None)]
+    found = {r["ticker"]: r["action"] for r in planned(market).collect()}
+    assert found == {"RYE": "asked", "TIN": "fetch", "FLAX": "no_symbol", "SPY": "fetch"}
+
+
+def test_a_history_that_was_asked_for_is_not_asked_for_again(market):
+    todo = P.history_todo(planned(market))
+    assert rows(todo)[0][0] == "SPY" and P.history_todo(planned(market), 2).count() == 2
+    marked = mark_history(market.tickers, todo.select("ticker", "need"))
+    assert [r["ticker"] for r in P.history_todo(planned(market, marked)).collect()] == ["SPY"]
+
+
+def test_price_symbols(market):
+    """A dash for a dot, the foreign form as second choice, what is known or failed stays."""
+    market.ticker_rows = [(t, None, symbol, failed, None, None) for t, symbol, failed in (
+        ("HAY.A", None, False), ("LOAM", None, None), ("MOSS", "", None), ("PEAT", None, False), ("REED", None, True),
+        ("SAND", "SAND-OLD", False))]
+    priced = market.spark.createDataFrame([(s,) for s in ("HAY-A", "HAY.A", "LOAM.TO", "MOSS.TO", "MOSS", "REED", "SAND")],
+                                          "symbol string")
+    found = {r["ticker"]: (r["price_symbol"], r["price_failed"]) for r in P.resolve_symbols(market.tickers, priced).collect()}
+    assert found == {"HAY.A": ("HAY-A", False), "LOAM": ("LOAM.TO", False), "MOSS": ("MOSS", False), "PEAT": (None, True),
+                     "REED": (None, True), "SAND": ("SAND-OLD", False)}
+
+
+def test_refresh_goes_by_coverage(market):
+    for i in range(3):
+        market.add(f"/oat/{i}/", "x", 7 + i, 0, "OAT")
+    assert rows(P.refresh_list(market.coverage, 2)) == [("OAT", 3), ("RYE", 2), ("TIN", 2)]
+    order = [(r["ticker"], r["symbol"]) for r in P.refresh_plan(market.coverage, market.tickers, market.prices).collect()]
+    assert order == [("SPY", "SPY"), ("OAT", None), ("RYE", "RYE"), ("TIN", "TIN"), ("FLAX", "FLAX")]
+    market.price_rows = [r for r in market.price_rows if r[0] != "TIN"]
+    absent = P.refresh_plan(market.coverage, market.tickers, market.prices, only_missing=True)
+    assert {r["ticker"] for r in absent.collect()} == {"SPY", "OAT", "TIN"}
+
+
+def test_months_still_to_enumerate(spark):
+    done = spark.createDataFrame([("2031/03",), ("2031/05",)], "month string")
+
+    def months(**options):
+        return [m for m, in rows(P.month_plan(spark, F.lit("2031/02"), F.lit("2031/06"), done, **options))]
+    assert months() == ["2031/02", "2031/04", "2031/06"]
+    assert months(refresh=True) == [f"2031/0{m}" for m in range(2, 7)]

@@ -14,17 +14,17 @@ HEAD = """
 <!doctype html><html lang="en"><head><meta charset="utf-8">
 <meta property="og:title" content="Salt &amp; Tin: &quot;What Next&quot;   After the Thaw | Daily Ledger">
 <title>Salt and Tin After the Thaw | Daily Ledger</title>
-<meta name="primary_tickers" content="TSM,NVDA">
-<meta name="tickers" content="NVDA,NVDA, aapl,GOOGL,BRKA">
-<meta name="description" content="Ore &lt;and&gt; ice.">
-<meta name="author" content="Ida Quill"><meta name="author" content="Second Hand">
+<meta name="primary_tickers" content="PEAT,TINW">
+<meta name="tickers" content="TINW,TINW, ryef,FLAX,HAYA">
+<meta name="description" content="Ore &lt;and&gt; ice."><META name="Description" content="Later words.">
+<meta name="author" content="Ida Quill">
 </head><body><p>text</p><meta name="tickers" content="BODY"></body></html>
 """
 
 
 def universe(spark):
     return spark.createDataFrame(
-        [(t,) for t in ["NVDA", "AAPL", "BRK.A", "BRK.B", "GOOGL", "AXP"]], "ticker string")
+        [(t,) for t in ["TINW", "RYEF", "HAY.A", "HAY.B", "FLAX", "OATS", "MOSS"]], "ticker string")
 
 
 def test_listing_files(spark, tmp_path):
@@ -51,7 +51,7 @@ def test_chart_files(spark, tmp_path):
             "indicators": {"quote": [{"close": close, "volume": volume, "open": [1]}]}}]}})
 
     evening = int(datetime(2026, 9, 24, 2).timestamp()) - int(datetime(1970, 1, 1).timestamp())
-    (tmp_path / "BRK-B.json").write_text(doc(
+    (tmp_path / "HAY-B.json").write_text(doc(
         [evening, evening + 86400, evening + 2 * 86400], [10.123456, None, 12.0], [5, 6]))
     (tmp_path / "NONE.json").write_text(json.dumps({"chart": {"result": None}}))
     (tmp_path / "BARE.json").write_text(json.dumps({"chart": {"result": [
@@ -59,7 +59,7 @@ def test_chart_files(spark, tmp_path):
     landed = charts.read_chart_files(spark, str(tmp_path))
     assert sorted(rows(charts.parse_charts(landed))) == [
         ("BARE", date(1970, 1, 1), 1.5, 0),
-        ("BRK-B", date(2026, 9, 23), 10.1235, 5), ("BRK-B", date(2026, 9, 25), 12.0, 0)]
+        ("HAY-B", date(2026, 9, 23), 10.1235, 5), ("HAY-B", date(2026, 9, 25), 12.0, 0)]
     assert rows(charts.symbols_without_data(landed)) == [("NONE",)]
 
 
@@ -94,8 +94,8 @@ def test_head_metadata(spark):
 def test_tickers_once_each_in_order_primary_last(spark):
     found = A.head_tickers(parsed(spark), universe(spark)).orderBy("pos")
     assert [(r["ticker"], r["is_primary"], r["verified"]) for r in found.collect()] == [
-        ("NVDA", True, True), ("AAPL", False, True), ("GOOGL", False, True),
-        ("BRK.A", False, True), ("TSM", True, False)]
+        ("TINW", True, True), ("RYEF", False, True), ("FLAX", False, True),
+        ("HAY.A", False, True), ("PEAT", True, False)]
 
 
 def test_titles(spark):

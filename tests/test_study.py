@@ -8,7 +8,7 @@ from collections import defaultdict
 from datetime import date, timedelta
 
 import pytest
-from conftest import Market, SESSIONS, one, rows
+from conftest import Market, SESSIONS, gain, one, rows
 from pyspark.sql import functions as F
 
 from callbook.functions import stats as N
@@ -303,36 +303,39 @@ def test_author_scores(spark):
 
 
 # --- timeline ----------------------------------------------------------------------------
-def test_timeline_against_arithmetic(spark, market):
-    first = SESSIONS[30]
+def ahead(symbol, sessions):
+    return gain(symbol, sessions) - gain("SPY", sessions)
+
+
+def test_timeline_against_the_rates(market):
     market.article_rows.clear(), market.coverage_rows.clear()
-    market.ticker_rows.append(("NOSYM", "No Price", None, True, None, None))
-    for i, (offset, ticker) in enumerate([(0, "UP"), (0, "UP"), (30, "UP"), (31, "UP"), (90, "UP"),
-                                          (91, "UP"), (3, "DOWN"), (60, "NOSYM")]):
-        market.add(f"/t/{i}/", "x", first + timedelta(days=offset), 0, ticker)
+    market.ticker_rows.append(("HUSK", "No Price", None, True, None, None))
+    first = SESSIONS[70]
+    for i, (offset, ticker) in enumerate([(0, "TIN"), (0, "TIN"), (0, "TIN"), (29, "TIN"), (30, "TIN"), (31, "TIN"), (89, "TIN"),
+                                          (90, "TIN"), (91, "TIN"), (150, "TIN"), (4, "RYE"), (61, "HUSK"), (66, "HUSK")]):
+        market.add(f"/line/{i}/", "x", first + timedelta(days=offset), 0, ticker)
     got = {r["ticker"]: r for r in L.coverage_timeline(
-        market.coverage, market.tickers, market.prices, censor_days=2).collect()}
-    up, down, none = got["UP"], got["DOWN"], got["NOSYM"]
-    assert (up["articles"], up["articles_30d"], up["articles_90d"], up["days_to_2nd"]) == (6, 3, 5, 0)
-    assert up["censored"] and not down["censored"] and down["days_to_2nd"] is None
-    assert up["before_1m"] == pytest.approx((1.01 ** 21 - 1) * 100)
-    assert up["after_3m"] == pytest.approx((1.01 ** 63 - 1) * 100)
-    assert up["before_3m"] is None and up["after_12m"] == pytest.approx((1.01 ** 252 - 1) * 100)
-    assert up["since_first"] == pytest.approx((1.01 ** 269 - 1) * 100)
-    assert none["after_1m"] is None and none["name"] == "No Price"
-    assert up["latest_article"] == first + timedelta(days=91)
-
-
-def test_timeline_falls_back_to_raw(spark, market):
-    market.price_rows = [r for r in market.price_rows if r[0] != "SPY"]
-    r = {r["ticker"]: r for r in L.coverage_timeline(
-        market.coverage, market.tickers, market.prices).collect()}
-    assert r["UP"]["after_1m"] == pytest.approx((1.01 ** 21 - 1) * 100)
-    notes = L.timeline_notes(L.coverage_timeline(market.coverage, market.tickers, market.prices),
-                             market.prices)
-    assert {n["code"]: n["count"] for n in notes.collect()}["raw"] == 2
-    empty = L.coverage_timeline(market.coverage, market.tickers, market.prices.limit(0))
-    assert empty.count() == 0
+        market.coverage, market.tickers, market.prices, censor_days=3).collect()}
+    tin, rye, husk = got["TIN"], got["RYE"], got["HUSK"]
+    assert (tin["articles"], tin["articles_30d"], tin["articles_90d"], tin["days_to_2nd"]) == (10, 5, 8, 0)
+    assert (husk["articles"], husk["days_to_2nd"], rye["days_to_2nd"]) == (2, 5, None)
+    assert [r["censored"] for r in (tin, rye, husk)] == [True, False, False]
+    for label, sessions in L.MONTH_WINDOWS.items():
+        room = sessions <= 70
+        assert tin[f"before_{label}"] == (pytest.approx(ahead("TIN", sessions)) if room else None)
+        assert tin[f"after_{label}"] == (pytest.approx(ahead("TIN", sessions)) if 70 + sessions < len(SESSIONS) else None)
+    assert tin["since_first"] == pytest.approx(ahead("TIN", len(SESSIONS) - 71))
+    assert husk["after_1m"] is None and husk["name"] == "No Price"
+    assert tin["latest_article"] == first + timedelta(days=150)
+
+
+def test_timeline_without_a_benchmark_is_raw(market):
+    prices = market.prices.filter("symbol != 'SPY'")
+    timeline = L.coverage_timeline(market.coverage, market.tickers, prices)
+    found = {r["ticker"]: r["after_3m"] for r in timeline.collect()}
+    assert found == {t: pytest.approx(gain(t, 63)) for t in ("TIN", "RYE", "FLAX")}
+    assert {n["code"]: n["count"] for n in L.timeline_notes(timeline, prices).collect()}["raw"] == 3
+    assert L.coverage_timeline(market.coverage, market.tickers, prices.limit(0)).isEmpty()
 
 
 def test_readings(spark):

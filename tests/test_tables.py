@@ -4,7 +4,7 @@ import json
 from datetime import date, datetime
 
 import pytest
-from conftest import one, rows
+from conftest import SESSIONS, one, rows
 from pyspark.sql import functions as F
 
 from callbook.operators import merge as M
@@ -182,23 +182,22 @@ def test_sitemaps_then_results(spark, root):
 def test_outcomes_in_store(spark, root, market):
     T.rewrite(root, "coverage", market.coverage.withColumn("month", F.lit("undated")))
     T.rewrite(root, "tickers", market.tickers)
-    quotes = market.prices
-    I.store_prices(spark, root, quotes.filter("date < '2024-06-01'"))
-    assert rows(after_price_load(spark, root)) == [(4, 4)]
-    I.store_prices(spark, root, quotes.filter("date >= '2024-05-01'"))
-    assert stored(spark, root, "prices").count() == quotes.count()
-    assert rows(O.update_outcomes(spark, root)) == [(4, 4)]       # still maturing before
+    half = str(SESSIONS[150])
+    assert I.store_prices(spark, root, market.prices.filter(f"date <= '{half}'")) == 4 * 151 - 40
+    assert rows(after_price_load(spark, root)) == [(5, 5)]
+    I.store_prices(spark, root, market.prices.filter(f"date >= '{SESSIONS[140]}'"))
+    assert stored(spark, root, "prices").count() == market.prices.count()
+    assert rows(O.update_outcomes(spark, root)) == [(5, 5)]       # still maturing before
     assert rows(O.update_outcomes(spark, root)) == [(0, 0)]
     whole = O.compute_outcomes(market.coverage, market.tickers, market.prices)
-    assert sorted(rows(stored(spark, root, "call_outcomes").select(whole.columns))) == sorted(
-        rows(whole))
-    assert rows(O.update_outcomes(spark, root, full=True)) == [(4, 4)]
+    assert sorted(rows(stored(spark, root, "call_outcomes").select(whole.columns))) == sorted(rows(whole))
+    assert rows(O.update_outcomes(spark, root, full=True)) == [(5, 5)]
 
     # One open call late in the series: earlier months and other symbols are not read.
-    late = spark.createDataFrame([("DOWN", date(2024, 9, 3))], "symbol string, published_day date")
+    late = spark.createDataFrame([("RYE", SESSIONS[201])], "symbol string, published_day date")
     some = O.needed_prices(stored(spark, root, "prices"), late)
-    assert {r["symbol"] for r in some.collect()} == {"DOWN", "SPY"}
-    assert some.agg(F.min("date")).first()[0] == date(2024, 9, 3)
+    assert {r["symbol"] for r in some.collect()} == {"RYE", "SPY"}
+    assert some.agg(F.min("date")).first()[0] == SESSIONS[201]
     plan = some._jdf.queryExecution().executedPlan().toString()
     assert any("month#" in x.partition("PartitionFilters: [")[2].split("PushedFilters")[0]
                for x in plan.splitlines())
@@ -238,14 +237,14 @@ def test_status(spark, root, market):
                              stored(spark, root, "universe"),
                              stored(spark, root, "archive_months"),
                              stored(spark, root, "frontier"))))
-    assert got["articles"] == "4" and got["primary_tickers"] == "2" and got["universe"] == "2"
-    assert got["price_rows"] == "900" and got["stance buy"] == "2" and got["months"] == "0"
+    assert got["articles"] == "5" and got["primary_tickers"] == "3" and got["universe"] == "2"
+    assert got["price_rows"] == str(4 * len(SESSIONS) - 40) and got["stance buy"] == "1" and got["months"] == "0"
 
 
 def test_csv_export(spark, tmp_path, market):
     T.write_csv(market.articles, f"{tmp_path}/out")
     back = spark.read.option("header", True).csv(f"{tmp_path}/out")
-    assert back.columns == market.articles.columns and back.count() == 4
+    assert back.columns == market.articles.columns and back.count() == 5
 
 
 # --- stream ------------------------------------------------------------------------------
