@@ -31,10 +31,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callbook.llm.common import chunks, long_rows, texts
+from callbook.llm.common import chunks, long_rows
 
 WINDOW = 4096
 SENTENCE_CUT, HARD_CUT, PER_SEQUENCE = 8, 64, 4
@@ -44,8 +45,8 @@ SHORTEST = 256
 HARD_STEP = 64
 #: Tokens of a block.
 BLOCK = 1 << 18
-#: Words that a worker remembers; beyond it, it starts anew. Memory only, never results.
-REMEMBERED = 400_000
+#: Words that a worker remembers in each of two generations. Memory only, never results.
+REMEMBERED = 250_000
 
 
 def cut_places(ends: np.ndarray, sentences: np.ndarray, total: int,
@@ -173,22 +174,40 @@ _NAMED = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
 BYTE_NAMES = {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_NAMED)))}
 
 
-class WordIds(dict):
-    """Ids of words by a tokenizer whose words never reach over white space.
+class Memory:
+    """Ids of words, in one array, by the place of each word."""
 
-    Each distinct word goes through the tokenizer once and is remembered. Words of plain
-    letters are lowered and cut as the tokenizer does it and go to its model at once, all
-    others through the whole tokenizer.
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ends, self.ids = array("q", [0]), array("I")
+
+    def add(self, word: str, ids: bytes) -> int:
+        place = self.place[word] = len(self.place)
+        self.ids.frombytes(ids)
+        self.ends.append(len(self.ids))
+        return place
+
+    def of(self, place: int) -> bytes:
+        return self.ids[self.ends[place]:self.ends[place + 1]].tobytes()
+
+
+class WordIds:
+    """Ids of texts by a tokenizer whose words never reach over white space.
+
+    The words of many texts are told apart at once, and each distinct word goes through the
+    tokenizer once and is remembered: in two generations, so that a full memory loses
+    only words that have not been met since it was last full. Words of plain letters are lowered and
+    cut as the tokenizer does it and go to its model at once, all others through the whole tokenizer.
     """
 
     def __init__(self, path: str, end_id: int):
         import json
 
         from tokenizers import Tokenizer
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.now, self.before = Memory(), Memory()
         self.parts: dict[str, bytes] = {}
+        self.old_parts: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         self.closes = np.zeros(max(max(vocabulary.values()), end_id) + 1024, bool)
@@ -199,27 +218,65 @@ class WordIds(dict):
 
     def _part(self, part: str) -> bytes:
         if len(self.parts) >= REMEMBERED:
-            self.parts.clear()
-        named = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_NAMES)
-        ids = self.parts[part] = array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
+            self.parts, self.old_parts = {}, self.parts
+        ids = self.old_parts.get(part)
+        if ids is None:
+            named = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_NAMES)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(named)]).tobytes()
+        self.parts[part] = ids
         return ids
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        text = word.decode()
-        if PLAIN(text) and "<|" not in text:
-            find, work = self.parts.get, self._part
-            ids = b"".join([find(p) or work(p) for p in PARTS(text.lower())])
-        else:
-            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+    def _learn(self, word: str) -> bytes:
+        if PLAIN(word) and "<|" not in word:
+            return b"".join([self.parts.get(p) or self._part(p) for p in PARTS(word.lower())])
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _places(self, words: list[str]) -> np.ndarray:
+        """Where the memory holds each of some distinct words; new ones are learnt."""
+        if len(self.now.place) >= REMEMBERED:
+            self.now, self.before = Memory(), self.now
+        now, old = self.now, self.before
+        places = [now.place.get(w) for w in words]
+        for i, place in enumerate(places):
+            if place is None:
+                known = old.place.get(words[i])
+                places[i] = now.add(words[i], self._learn(words[i]) if known is None else old.of(known))
+        return np.array(places, np.int64)
+
+    def many(self, given: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, each followed by the end id, and where each text ends among them."""
+        split = pc.ascii_split_whitespace(pc.fill_null(given, ""))
+        words, bounds = split.flatten(), split.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0      # none between white space and an end
+        bounds = np.concatenate(([0], np.cumsum(full)))[bounds]
+        coded = words.filter(pa.array(full)).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        places = self._places(distinct)
+        ends = np.frombuffer(self.now.ends, np.int64)
+        starts, sizes = np.append(ends[places], 0), np.append(ends[places + 1] - ends[places], 1)
+        del ends
+        # The texts' words with the end, number len(distinct), after each text.
+        which = np.insert(coded.indices.to_numpy(), bounds[1:], len(distinct))
+        lengths = sizes[which]
+        after = np.cumsum(lengths)
+        ids = np.frombuffer(self.now.ids, np.uint32)[
+            np.arange(after[-1] if len(after) else 0) + np.repeat(starts[which] - after + lengths, lengths)
+        ] if len(self.now.ids) else np.zeros(len(which), np.uint32)
+        text_ends = after[bounds[1:] + np.arange(len(given))] if len(given) else after
+        ids[text_ends - 1] = self.end_id
+        return ids.astype("<u4", copy=False), text_ends
+
+    def each(self, given: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids with the end id, and the places where sentences end, of each text."""
+        ids, ends = self.many(given)
+        closes, start = self.closes[ids], 0
+        for end in ends.tolist():
+            yield ids[start:end], np.flatnonzero(closes[start:end]) + 1
+            start = end
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids with the end id, and the places where sentences end."""
-        ids = np.frombuffer(b"".join([*map(self.__getitem__, text.encode().split()), self.end]), "<u4")
-        return ids, np.flatnonzero(self.closes[ids]) + 1
+        return next(self.each(pa.array([text], pa.string())))
 
 
 @lru_cache(maxsize=2)
@@ -253,8 +310,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_
         def stream():
             for part in chunks(batches, "text"):
                 keys = part.column("key").to_pylist()
-                for k, text in zip(keys, texts(part), strict=True):
-                    yield k, *ids_of.of(text)
+                for k, found in zip(keys, ids_of.each(part.column("text")), strict=True):
+                    yield k, *found
 
         def batch(rows):
             keys, starts, ids, totals, sequences, offsets = zip(*rows, strict=True)
