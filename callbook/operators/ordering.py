@@ -54,7 +54,8 @@ def _split(df: DataFrame, by_day: DataFrame, key: str, day: str, hot_rows: int
 
 def range_parts(df: DataFrame, key: str, day: str, tie: list[str]) -> DataFrame:
     """The rows in ranges of (key, day, tie), with the number of their range as ``_part``."""
-    return settle(df.repartitionByRange(key, day, *tie).withColumn("_part", F.spark_partition_id()))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return settle(df.repartitionByRange(parts, key, day, *tie).withColumn("_part", F.spark_partition_id()))
 
 
 def _carried(parts: DataFrame, carry: DataFrame, key: str, day: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from callbook.operators import ordering as O
 from callbook.operators import sessions as P
 from callbook.operators.periods import bucket_by_time
-from callbook.operators.quantiles import value_stats
+from callbook.operators.quantiles import ONE_BUFFER, value_stats
 
 DAY0 = date(2024, 1, 1)
 
@@ -34,13 +34,19 @@ def samples() -> dict[str, list[float]]:
     }
 
 
+#: All values in one buffer, or, with none allowed, by bins and slices.
+BUFFERS = [ONE_BUFFER, 0]
+
+
+@pytest.mark.parametrize("buffer", BUFFERS)
 @pytest.mark.parametrize("few", [True, False])
-def test_value_stats_equal_numpy(spark, few):
+def test_value_stats_equal_numpy(spark, few, buffer):
     probs = (0.01, 0.25, 0.5, 0.99)
     data = [(k, v) for k, vs in samples().items() for v in vs] + [
         (None, 1.0), (None, 2.0), ("none", None)]
     df = spark.createDataFrame(data, "k string, value double").repartition(7)
-    got = {r["k"]: r for r in value_stats(df, ["k"], probs=probs, few_keys=few).collect()}
+    got = {r["k"]: r for r in value_stats(
+        df, ["k"], probs=probs, few_keys=few, one_buffer=buffer).collect()}
     assert set(got) == {*samples(), None}
     for key, values in {**samples(), None: [1.0, 2.0]}.items():
         r = got[key]
@@ -53,18 +59,20 @@ def test_value_stats_equal_numpy(spark, few):
             assert r["mean"] == pytest.approx(np.mean(values), rel=1e-9, abs=1e-15)
 
 
-def test_value_stats_do_not_depend_on_partitioning(spark):
+@pytest.mark.parametrize("buffer", BUFFERS)
+def test_value_stats_do_not_depend_on_partitioning(spark, buffer):
     data = [(k, v) for k, vs in samples().items() for v in vs if k != "huge"]
     random.Random(5).shuffle(data)
     df = spark.createDataFrame(data, "k string, value double")
     cols = ["k", "n", "median", "positives"]
-    a, b = (sorted(rows(value_stats(df.repartition(n), ["k"]).select(*cols))) for n in (1, 11))
+    a, b = (sorted(rows(value_stats(df.repartition(n), ["k"], one_buffer=buffer).select(*cols))) for n in (1, 11))
     assert a == b
 
 
-def test_value_stats_of_nothing(spark):
+@pytest.mark.parametrize("buffer", [ONE_BUFFER, -1])
+def test_value_stats_of_nothing(spark, buffer):
     df = spark.createDataFrame([], "k string, value double")
-    assert rows(value_stats(df, ["k"])) == []
+    assert rows(value_stats(df, ["k"], one_buffer=buffer)) == []
 
 
 # --- order within a key ------------------------------------------------------------------
