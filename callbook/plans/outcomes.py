@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callbook.functions.stance import stance_bucket
@@ -20,7 +22,15 @@ from callbook.operators.sessions import (
 from callbook.plans.filters import coverage_filter
 from callbook.plans.study import BENCHMARK
 from callbook.session import settle
-from callbook.sources.tables import read_table, rewrite, touched
+from callbook.sources import discovery
+from callbook.sources.tables import (
+    append,
+    drop_partitions,
+    partitions,
+    read_table,
+    rewrite,
+    touched,
+)
 
 # Holding periods in trading sessions.
 TRACK_HORIZONS = {"1m": 21, "3m": 63, "6m": 126, "12m": 252}
@@ -54,22 +64,36 @@ def compute_outcomes(coverage: DataFrame, tickers: DataFrame, prices: DataFrame,
     ``stored`` outcomes the open calls are settled first, and only the closes
     that these need are read.
     """
-    horizons = TRACK_HORIZONS.values()
-    symbols = tickers.filter(F.col("price_symbol").isNotNull()).select(
-        "ticker", F.col("price_symbol").alias("symbol"))
+    symbols = _symbols(tickers)
     calls = open_calls(coverage, stored)
     days = calls.select("ticker", "published_day").distinct().join(symbols, "ticker")
-    needed = prices
-    if stored is not None:
-        calls = settle(calls.join(symbols, "ticker"))
-        days = calls.select("ticker", "published_day", "symbol").distinct()
-        calls = calls.drop("symbol")
-        needed = needed_prices(prices, days, benchmark)
-    legs = dated_legs(needed, benchmark, forward=horizons).drop("idx")
-    scored = calls.join(guarded_entries(days, legs), ["ticker", "published_day"])
-    returns = [f"{leg}_{h}" for h in horizons for leg in ("ret", "bench")]
+    if stored is None:
+        return _scored(calls, days, prices, prices, benchmark)
+    calls = settle(calls.join(symbols, "ticker"))
+    days = calls.select("ticker", "published_day", "symbol").distinct()
+    return _scored(calls.drop("symbol"), days, prices, needed_prices(prices, days, benchmark), benchmark)
+
+
+def _symbols(tickers: DataFrame) -> DataFrame:
+    return tickers.filter(F.col("price_symbol").isNotNull()).select(
+        "ticker", F.col("price_symbol").alias("symbol"))
+
+
+RETURNS = [f"{leg}_{h}" for h in TRACK_HORIZONS.values() for leg in ("ret", "bench")]
+
+
+def _scored(calls: DataFrame, days: DataFrame, prices: DataFrame, needed: DataFrame,
+            benchmark: str, *more: str) -> DataFrame:
+    """Outcome rows of calls whose days have a symbol. ``more`` may name ``ahead``, the sessions of
+    the symbol after the entry, and ``last_date``, its last session."""
+    legs = dated_legs(needed, benchmark, forward=TRACK_HORIZONS.values())
+    if more:
+        series = Window.partitionBy("symbol")
+        legs = legs.withColumn("ahead", F.max("idx").over(series) - F.col("idx")).withColumn(
+            "last_date", F.max("date").over(series))
+    scored = calls.join(guarded_entries(days, legs.drop("idx")), ["ticker", "published_day"])
     return scored.filter(first_session(prices, benchmark).isNotNull()).select(
-        "path", "ticker", "published_day", "entry_date", "entry_close", *returns)
+        "path", "ticker", "published_day", "entry_date", "entry_close", *RETURNS, *more)
 
 
 def needed_prices(prices: DataFrame, days: DataFrame, benchmark: str = BENCHMARK) -> DataFrame:
@@ -96,20 +120,103 @@ def merge_outcomes(stored: DataFrame, computed: DataFrame) -> DataFrame:
     return upsert_replace(stored, computed, KEYS)
 
 
+def _due(day: Column) -> Column:
+    """The day from which a call may have a leg that is open now, ``day`` at least.
+
+    A series has at most one session a day, so the first open horizon takes at least as many
+    days after its last one as it lacks sessions. A call without an entry, or whose
+    benchmark lags behind, is due at once.
+    """
+    first_open = F.coalesce(*[
+        F.when(F.col(f"ret_{h}").isNull(), F.lit(h)).when(F.col(f"bench_{h}").isNull(), F.lit(0))
+        for h in TRACK_HORIZONS.values()])
+    return F.greatest(day, F.date_add("last_date", (first_open - F.col("ahead")).cast("int")))
+
+
+def schedule(calls: DataFrame, scored: DataFrame, day: Column) -> DataFrame:
+    """(path, ticker, published_day, due, due_month) of the calls that are still open after a run.
+
+    ``scored`` has ``ahead`` and ``last_date``; calls that are not among its rows wait for a
+    symbol or for a benchmark.
+    """
+    closed = F.col(f"ret_{LONGEST}").isNotNull() & F.col(f"bench_{LONGEST}").isNotNull()
+    due = F.coalesce(_due(day), day, F.lit("1970-01-01").cast("date"))
+    return (calls.join(scored.select(*KEYS, *RETURNS, "ahead", "last_date"), KEYS, "left")
+            .filter(~closed).select(*KEYS, "published_day", due.alias("due"))
+            .withColumn("due_month", F.date_format("due", "yyyy-MM")))
+
+
+def _last_price_day(spark: SparkSession, root: str) -> date | None:
+    months = partitions(spark, root, "prices")
+    if not months:
+        return None
+    prices = read_table(spark, root, "prices").filter(F.col("month") == months[-1])
+    return prices.agg(F.max("date")).first()[0]
+
+
+def _reschedule(spark: SparkSession, root: str, still: DataFrame, today: date | None, full: bool) -> None:
+    """Put open calls under their next due month and take out what was due.
+
+    The new rows are written first. A job that dies before the old ones are gone scores them once
+    more; one that dies in a full run leaves no index, and the next run makes it anew.
+    """
+    index = partitions(spark, root, "open_calls")
+    if full or today is None:
+        if full:
+            drop_partitions(spark, root, "open_calls", index)
+        append(still, root, "open_calls")
+        return
+    this = f"{today:%Y-%m}"
+    append(still.filter(F.col("due_month") != this), root, "open_calls")
+    waiting = read_table(spark, root, "open_calls").filter(
+        (F.col("due_month") == this) & (F.col("due") > F.lit(today)))
+    here = settle(waiting.unionByName(still.filter(F.col("due_month") == this).select(*waiting.columns)))
+    if here.isEmpty():
+        drop_partitions(spark, root, "open_calls", [this])
+    else:
+        rewrite(root, "open_calls", here)
+    drop_partitions(spark, root, "open_calls", [m for m in index if m < this])
+
+
 def update_outcomes(spark: SparkSession, root: str, *, full: bool = False,
                     benchmark: str = BENCHMARK) -> DataFrame:
     """Score new and maturing calls of the stored tables and write them back.
 
-    Run after each price load. Returns the (computed, scored) row.
+    Run after each price load. Returns the (computed, scored) row. What is open stands in an
+    index by the month in which it falls due, so a run reads the coverage months that were written since
+    the last run, the calls that are due, and the stored outcomes of the months of both. ``full`` scores
+    everything anew; it repairs closes that changed inside a window and closes that were loaded late in
+    the middle of a series.
     """
-    stored = read_table(spark, root, "call_outcomes")
-    computed = compute_outcomes(
-        read_table(spark, root, "coverage"), read_table(spark, root, "tickers"),
-        read_table(spark, root, "prices"), None if full else stored, benchmark)
-    new = settle(computed.withColumn("computed_ts", F.current_timestamp())
-                 .withColumn("month", path_month(F.col("path"))))
-    rewrite(root, "call_outcomes", merge_outcomes(touched(stored, new, "month"), new))
-    return outcome_counts(new)
+    today = _last_price_day(spark, root)
+    coverage, stored = read_table(spark, root, "coverage"), read_table(spark, root, "call_outcomes")
+    first = full or not partitions(spark, root, "open_calls")
+    files = None
+    if partitions(spark, root, "coverage"):
+        files = discovery.new_files(spark, root, "coverage", f"{root}/coverage", "*.parquet")
+    if first:
+        calls = open_calls(coverage, None if full else stored)
+    else:
+        month = F.url_decode(F.regexp_extract("file", "/month=([^/]+)/", 1))
+        months = [r[0] for r in files.select(month.alias("month")).distinct().collect()] if files is not None else []
+        calls = open_calls(coverage.filter(F.col("month").isin(months)), stored.filter(F.col("month").isin(months)))
+        if today is not None:
+            due = read_table(spark, root, "open_calls").filter(
+                (F.col("due_month") <= f"{today:%Y-%m}") & (F.col("due") <= F.lit(today)))
+            calls = calls.unionByName(due.select(*calls.columns)).distinct()
+    calls, prices = settle(calls), read_table(spark, root, "prices")
+    days = settle(calls.select("ticker", "published_day").distinct().join(
+        _symbols(read_table(spark, root, "tickers")), "ticker"))
+    scored = settle(_scored(calls, days, prices, needed_prices(prices, days, benchmark), benchmark,
+                            "ahead", "last_date"))
+    rows = scored.drop("ahead", "last_date").withColumn("computed_ts", F.current_timestamp()).withColumn(
+        "month", path_month(F.col("path")))
+    rewrite(root, "call_outcomes", merge_outcomes(touched(stored, rows, "month"), rows))
+    day = F.col("published_day") if today is None else F.lit(today)
+    _reschedule(spark, root, settle(schedule(calls, scored, day)), today, full)
+    if files is not None:
+        discovery.note_files(spark, root, "coverage", files)
+    return outcome_counts(rows)
 
 
 def track_record(outcomes: DataFrame, articles: DataFrame) -> DataFrame:

@@ -37,6 +37,7 @@ CALL_OUTCOMES = _schema(
 RUNS = _schema(
     kind=_S, started_ts=_TS, finished_ts=_TS, articles_new=_L, coverage_new=_L, notes=_S,
 )
+OPEN_CALLS = _schema(path=_S, ticker=_S, published_day=_DAY, due=_DAY, due_month=_S)
 BATCHES = _schema(batch=_S, kind=_S, applied_ts=_TS, rows=_L)
 LANDED_FILES = _schema(kind=_S, file=_S, modified_ts=_TS, read_ts=_TS)
 
@@ -51,6 +52,8 @@ TABLES = {
     "tickers": (TICKERS, ["ticker"], None),
     "prices": (PRICES, ["symbol", "date"], "month"),
     "call_outcomes": (CALL_OUTCOMES, ["path", "ticker"], "month"),
+    # Moves between partitions as its calls mature; see callbook.plans.outcomes.
+    "open_calls": (OPEN_CALLS, [], "due_month"),
     "runs": (RUNS, [], None),
     "batches": (BATCHES, [], None),
     "landed_files": (LANDED_FILES, [], None),

@@ -145,6 +145,20 @@ def touched(table: DataFrame, new: DataFrame, part: str) -> DataFrame:
     return table.filter(F.col(part).isin(values))
 
 
+def partitions(spark: SparkSession, root: str, name: str) -> list[str]:
+    """The partition values of a stored table, in order; at most one per calendar month."""
+    store, place = _place(spark, f"{root}/{name}")
+    prefix = f"{TABLES[name][2]}="
+    names = [s.getPath().getName() for s in store.listStatus(place)] if store.exists(place) else []
+    return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+
+def drop_partitions(spark: SparkSession, root: str, name: str, values: list[str]) -> None:
+    for value in values:
+        store, place = _place(spark, f"{root}/{name}/{TABLES[name][2]}={value}")
+        store.delete(place, True)
+
+
 def append(df: DataFrame, root: str, name: str) -> int:
     """Append rows (the run log, new frontier rows); their number."""
     schema, _, part = TABLES[name]
