@@ -8,15 +8,17 @@ phrase is longer. A phrase is an interval in both: words to its right are read f
 reversed transform, words to its left from the other one, each extension narrows one interval
 by the LF mapping and the other by the counts of smaller words, and its length is the count.
 
-Phrases grow by one word a round, right and left in turn. A phrase is only counted in a shard
-if both of its parts, without the first and without the last word, are frequent in the
-corpus; the part that is not extended is found by its interval, which holds the new one. The
-shards' counts are summed by phrase, and phrases of `least` or more go back to their shards.
-At last each phrase is written by one shard, which knows the counts of all its beginnings
-and ends, as they are frequent in the corpus and occur in the shard too.
-
-Nothing is gathered by language or by word: sums run over one row per shard and phrase, the
-rest runs by shard, and the best of a language are taken in two steps.
+Phrases grow by one word a round, right and left in turn, and a shard extends only phrases
+that may be frequent in the corpus. Most extensions are rare, so the shards first sum counts
+by hash: sorted hashes and counts of a range of hashes travel as one small block, and a hash that
+does not reach `least` rules its phrases out. Collisions only let a few more through. A phrase is
+kept if both its parts, without the first and without the last word, are there too; the part that
+was not extended is found by its interval, which holds the new one. At the end the exact counts of all
+phrases that are left are summed by phrase, and each frequent one is written by one shard,
+which knows the counts of its beginnings and ends, as they are frequent and occur in it too.
+
+The shards' transforms are stored in buckets of the shard and never shuffled. Nothing is
+gathered by language or by word, and the best of a language are taken in two steps.
 
 Null texts are empty, a null language is `und`. Empty texts and texts of separators alone
 have no words. Rows that repeat count each; an empty table gives an empty table; other columns
@@ -26,22 +28,27 @@ so memory follows the longest text and the longest piece.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callbook.llm.common import chunks, long_rows, settle, texts
+from callbook.llm.common import chunks, long_rows, settle, settle_by, texts
 
 #: Words of a shard, but for a longer piece.
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 3 << 19
 #: Words in a phrase, at most.
 DEPTH = 5
 #: Parts that the phrases of a language are ranked in first.
 PARTS = 64
 #: Rows of an Arrow batch.
 ROWS = 1 << 16
+#: Words of all shards for each range of hashes.
+RANGE_WORDS = 1 << 21
 
 #: What ends a piece, and A-Z, which are lowered.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -90,11 +97,20 @@ def dense(ids: np.ndarray) -> np.ndarray:
     return ids[(ids != 0) | np.r_[True, ids[:-1] != 0]]
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as compressed unsigned 32-bit integers; they are the bulk of what is stored and shuffled."""
+    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").tobytes())
+
+
+def unpacked(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell.as_py()), "<u4").astype(np.int64)
+
+
 SHARDS = "shard long, lang string, word string, local int, n long, ids binary"
 
 
 def shards(docs: DataFrame, lang: str, text: str, size: int) -> DataFrame:
-    """For each shard a row with its ids (unsigned 32-bit) and a row for each of its words."""
+    """For each shard a row with its packed ids and a row for each of its words."""
     long_rows(docs.sparkSession)
 
     def rows(shard, names, ids):
@@ -102,7 +118,7 @@ def shards(docs: DataFrame, lang: str, text: str, size: int) -> DataFrame:
         counts = np.bincount(ids, minlength=len(names) + 1)[1:]
         yield pa.RecordBatch.from_arrays(
             [pa.array([shard]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()),
-             pa.array([int(counts.sum())]), pa.array([ids.astype("<u4").tobytes()])],
+             pa.array([int(counts.sum())]), pa.array([packed(ids)])],
             ["shard", "lang", "word", "local", "n", "ids"])
         for a in range(0, len(names), ROWS):
             some = names[a:a + ROWS]
@@ -135,11 +151,23 @@ def shards(docs: DataFrame, lang: str, text: str, size: int) -> DataFrame:
                 total += len(parts[-1])
         if names:
             yield from rows(shard, names, held)
+        del names, numbers, held
+
+        pa.default_memory_pool().release_unused()       # workers live on for other tasks
 
     narrow = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, SHARDS)
 
 
+def vocabulary(words: DataFrame, least: int) -> DataFrame:
+    """The words that are frequent in their language: shard, local, id (of the word), total, lang, word."""
+    same = W.partitionBy("lang", "word")
+    frequent_ones = words.withColumn("total", F.sum("n").over(same)).where(F.col("total") >= least) \
+        .withColumn("row", F.monotonically_increasing_id())
+    # The word's id is that of one of its rows; it is written once, so that it stays the same.
+    return settle(frequent_ones.select("shard", "local", F.min("row").over(same).alias("id"), "total", "lang", "word"))
+
+
 def order(ids: np.ndarray, depth: int) -> np.ndarray:
     """Places of the text by the next `depth` ids; separators follow its end."""
     rank, width = ids.astype(np.int64), 1
@@ -203,7 +231,7 @@ INDEX = ("shard long, left binary, right binary, counts binary, word_ids binary,
 
 
 def index(ids: DataFrame, words: DataFrame, depth: int) -> DataFrame:
-    """The two transforms of every shard. words: shard, local, id, total, lang, word of its frequent words."""
+    """The two transforms of every shard. words: those of :func:`vocabulary`."""
     def build(text: pa.Table, known: pa.Table) -> pa.Table:
         schema = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in
                            ("left", "right", "counts", "word_ids", "totals")],
@@ -211,7 +239,7 @@ def index(ids: DataFrame, words: DataFrame, depth: int) -> DataFrame:
         if not text.num_rows or not known.num_rows:
             return schema.empty_table()
         known = known.sort_by("id")
-        given = _array(text["ids"][0], "<u4").astype(np.int64)
+        given = unpacked(text["ids"][0])
         local = known["local"].to_numpy()
         number = np.zeros(max(int(given.max(initial=0)), int(local.max())) + 1, np.int64)
         number[local] = np.arange(1, len(local) + 1)
@@ -220,128 +248,263 @@ def index(ids: DataFrame, words: DataFrame, depth: int) -> DataFrame:
         now[1:-1][alone] = 0
         now = dense(now)
         return pa.Table.from_arrays(
-            [pa.array([text["of"][0].as_py()]), *[pa.array([x.tobytes()], pa.binary()) for x in (
-                transform(now, depth).astype("<u4"), transform(now[::-1], depth).astype("<u4"),
+            [pa.array([text["of"][0].as_py()]), *[pa.array([x], pa.binary()) for x in (
+                packed(transform(now, depth)), packed(transform(now[::-1], depth)))],
+             *[pa.array([x.tobytes()], pa.binary()) for x in (
                 np.bincount(now, minlength=len(local) + 1).astype("<i8"),
                 known["id"].to_numpy().astype("<i8"), known["total"].to_numpy().astype("<i8"))],
              pa.array([known["lang"].to_pylist()], schema.field("langs").type),
              pa.array([known["word"].to_pylist()], schema.field("words").type)], schema=schema)
 
-    return ids.toDF("of", "ids").groupBy("of").cogroup(words.groupBy("shard")).applyInArrow(build, INDEX)
+    return ids.groupBy("of").cogroup(words.groupBy("shard")).applyInArrow(build, INDEX)
 
 
-PHRASES = "shard long, low int, reversed int, n int, phrase binary"
-_PHRASES = pa.schema([("shard", pa.int64()), ("low", pa.int32()), ("reversed", pa.int32()), ("n", pa.int32()),
-                      ("phrase", pa.binary())])
+def _words_alone(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the intervals of single words begin, in either transform, and their sizes."""
+    return (np.cumsum(counts) - counts)[1:], counts[1:]
 
 
-def _grown(shard: int, before: np.ndarray, word_ids: np.ndarray, low: np.ndarray, back: np.ndarray,
-           size: np.ndarray, phrases: np.ndarray, right: bool) -> pa.Table:
-    """The phrases one word longer whose parts are both given."""
-    own, word, new, other, count = extend(before, back if right else low, low if right else back, size)
-    part = holder(back if right else low, size, new) >= 0
-    own, word, new, other, count = (x[part] for x in (own, word, new, other, count))
-    grown = np.column_stack((phrases[own], word_ids[word - 1]) if right else (word_ids[word - 1], phrases[own]))
-    low, back = (other, new) if right else (new, other)
-    return pa.Table.from_arrays(
-        [pa.array(np.full(len(own), shard)), *[pa.array(x, pa.int32()) for x in (low, back, count)],
-         _binary(grown)], schema=_PHRASES)
+class Phrases:
+    """Phrases of one length in a shard: their intervals and their words, as numbers within the shard."""
 
+    def __init__(self, low: np.ndarray, back: np.ndarray, size: np.ndarray, words: np.ndarray):
+        self.low, self.back, self.size, self.words = low, back, size, words
+
+    @classmethod
+    def single(cls, counts: np.ndarray) -> Phrases:
+        low, size = _words_alone(counts)
+        return cls(low, low, size, np.arange(1, len(low) + 1).reshape(-1, 1))
 
-def _words_alone(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the intervals of single words begin, in either transform, and their sizes."""
-    return (np.cumsum(counts) - counts)[1:], counts[1:]
+    def only(self, kept: np.ndarray) -> Phrases:
+        return Phrases(self.low[kept], self.back[kept], self.size[kept], self.words[kept])
 
+    def pack(self) -> bytes:
+        """In the order of the intervals; the first and the last word follow from where they lie."""
+        by = np.argsort(self.low)
+        return packed(np.concatenate((np.diff(self.low[by], prepend=0), self.back[by], self.size[by],
+                                      self.words[by, 1:-1].T.ravel())))
 
-def pairs(indexes: DataFrame) -> DataFrame:
-    """All phrases of two words, in every shard."""
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                low, size = _words_alone(_array(batch["counts"][i], "<i8"))
-                word_ids = _array(batch["word_ids"][i], "<i8")
-                grown = _grown(batch["shard"][i].as_py(), _array(batch["right"][i], "<u4").astype(np.int64), word_ids,
-                               low, low, size, word_ids.reshape(-1, 1), True)
-                yield from grown.to_batches(ROWS)
+    @classmethod
+    def unpack(cls, cell: pa.Scalar, length: int, counts: np.ndarray) -> Phrases:
+        rows = unpacked(cell).reshape(1 + length, -1)
+        low, back, starts = np.cumsum(rows[0]), rows[1], np.cumsum(counts)
+        words = (np.searchsorted(starts, low, "right"), *rows[3:], np.searchsorted(starts, back, "right"))
+        return cls(low, back, rows[2], np.column_stack(words))
 
-    return indexes.select("shard", "right", "counts", "word_ids").mapInArrow(run, PHRASES)
+    def longer(self, before: np.ndarray, right: bool) -> Phrases:
+        """The phrases one word longer whose other part is here too; `before` is the transform to read."""
+        own, word, new, other, count = extend(before, self.back if right else self.low,
+                                              self.low if right else self.back, self.size)
+        part = holder(self.back if right else self.low, self.size, new) >= 0
+        own, word, new, other, count = (x[part] for x in (own, word, new, other, count))
+        words = np.column_stack((self.words[own], word) if right else (word, self.words[own]))
+        return Phrases(*((other, new) if right else (new, other)), count, words)
 
+    def hashes(self, word_ids: np.ndarray, bits: int) -> np.ndarray:
+        """A hash of each phrase, the same in all shards."""
+        out = np.full(len(self.words), 0x9E3779B97F4A7C15, np.uint64)
+        ids = word_ids.astype(np.uint64)
+        for column in self.words.T:
+            out = (out ^ ids[column - 1]) * np.uint64(0xBF58476D1CE4E5B9)
+            out ^= out >> np.uint64(29)
+        out *= np.uint64(0x94D049BB133111EB)
+        return out >> np.uint64(64 - bits)
 
-def longer(indexes: DataFrame, known: DataFrame, words: int) -> DataFrame:
-    """The phrases of so many words that follow from the frequent ones with a word less."""
-    right = words % 2 == 0
 
-    def grow(place: pa.Table, given: pa.Table) -> pa.Table:
-        if not place.num_rows or not given.num_rows:
-            return _PHRASES.empty_table()
-        low, back, size = (given[c].to_numpy().astype(np.int64) for c in ("low", "reversed", "n"))
-        phrases = np.frombuffer(b"".join(given["phrase"].to_pylist()), ">i8").reshape(len(low), -1)
-        return _grown(place["shard"][0].as_py(), _array(place["before"][0], "<u4").astype(np.int64),
-                      _array(place["word_ids"][0], "<i8"), low, back, size, phrases, right)
+def _right(words: int) -> bool:
+    """The side on which phrases of so many words got their last one."""
+    return words % 2 == 0
+
+
+#: Rows that shards send. Of a range of hashes: the hashes, with their counts, of phrases that have no number of
+#: words yet, or the word ids and counts of phrases of so many words. Without a range: the shard's own phrases.
+SENT = "shard long, words int, range int, data binary, counts binary"
+_SENT = pa.schema([("shard", pa.int64()), ("words", pa.int32()), ("range", pa.int32()), ("data", pa.binary()),
+                   ("counts", pa.binary())])
+
+
+def packed_long(ids: np.ndarray) -> bytes:
+    """64-bit ids, low halves before high halves."""
+    ids = ids.astype(np.uint64)
+    return packed(np.concatenate((ids & np.uint64(0xFFFFFFFF), ids >> np.uint64(32))))
 
-    place = indexes.select("shard", F.col("right" if right else "left").alias("before"), "word_ids")
-    return place.groupBy("shard").cogroup(
-        known.select("shard", "low", "reversed", "n", "phrase").groupBy("shard")).applyInArrow(grow, PHRASES)
 
+def unpacked_long(cell: pa.Scalar) -> np.ndarray:
+    low, high = unpacked(cell).astype(np.uint64).reshape(2, -1)
+    return (high << np.uint64(32)) | low
 
-def frequent(found: DataFrame, least: int) -> DataFrame:
-    """With the sum over the shards, where that is enough; one row of each phrase is `first`."""
-    same = W.partitionBy("phrase")
-    return found.withColumn("total", F.sum("n").over(same)).where(F.col("total") >= least) \
-        .withColumn("first", F.row_number().over(same.orderBy("shard")) == 1)
 
+def packed_hashes(hashes: np.ndarray) -> bytes:
+    """Rising hashes, as their differences."""
+    return packed_long(np.diff(hashes, prepend=np.uint64(0)))
 
-WRITTEN = ("lang string, phrase string, a long, heads array<bigint>, tails array<bigint>, "
-           "front string, back string")
 
+def unpacked_hashes(cell: pa.Scalar) -> np.ndarray:
+    return np.cumsum(unpacked_long(cell), dtype=np.uint64)
 
-def written(indexes: DataFrame, known: list[DataFrame]) -> DataFrame:
-    """Each phrase once: its count, the counts of its beginnings (1 word, 2 words, ...) and ends
-    (from the second word, from the third, ...), and of its two longest parts those as frequent as itself."""
-    from functools import reduce
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-    schema = to_arrow_schema(_parse_datatype_string(WRITTEN))
+@dataclass(frozen=True)
+class Split:
+    """How phrases are told apart by hash: bits of a hash, and equal ranges of hashes."""
+    bits: int
+    ranges: int
 
-    def write(place: pa.Table, given: pa.Table) -> pa.Table:
+    @classmethod
+    def of(cls, words: int) -> Split:
+        """More than thirty hashes for each word of the corpus, so that few rare phrases share that of a frequent one."""
+        return cls(min(56, words.bit_length() + 5), max(1, -(-words // RANGE_WORDS)))
+
+
+def _ranges(shard: int, phrases: Phrases, word_ids: np.ndarray, split: Split, words: int | None = None) -> list[tuple]:
+    """What a shard sends of its phrases for each range of hashes: hashes, or word ids, and counts."""
+    hashes = phrases.hashes(word_ids, split.bits)
+    if not len(hashes):
+        return []
+    by = np.argsort(hashes, kind="stable")
+    hashes, counts = hashes[by], phrases.size[by]
+    coarse = np.uint64(split.bits // 2)
+    which = ((hashes >> coarse) * np.uint64(split.ranges)) >> (np.uint64(split.bits) - coarse)
+    edges = np.flatnonzero(np.diff(which, prepend=which[:1] + np.uint64(1)))
+    out = []
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(hashes)], strict=True):
+        data = packed_hashes(hashes[a:b]) if words is None else packed_long(word_ids[phrases.words[by[a:b]] - 1].ravel())
+        out.append((shard, words, int(which[a]), data, packed(counts[a:b])))
+    return out
+
+
+def _sent(rows: list[tuple]) -> pa.Table:
+    pa.default_memory_pool().release_unused()
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SENT, strict=True)],
+                                schema=_SENT) if rows else _SENT.empty_table()
+
+
+def pairs(indexes: DataFrame, split: Split) -> DataFrame:
+    """The hashes of all phrases of two words."""
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = Phrases.single(_array(batch["counts"][i], "<i8")).longer(unpacked(batch["right"][i]), True)
+                yield from _sent(_ranges(batch["shard"][i].as_py(), found, _array(batch["word_ids"][i], "<i8"), split)
+                                 ).to_batches()
+
+    return indexes.select("shard", "right", "counts", "word_ids").mapInArrow(run, SENT)
+
+
+def reached(sent: DataFrame, least: int) -> DataFrame:
+    """For each shard and range the hashes that have `least` occurrences over all shards."""
+    def add(rows: pa.Table) -> pa.Table:
+        parts = [unpacked_hashes(cell) for cell in rows["data"]]
+        counts = [unpacked(cell) for cell in rows["counts"]]
+        hashes, place = np.unique(np.concatenate(parts), return_inverse=True)
+        enough = np.bincount(place.reshape(-1), np.concatenate(counts)) >= least
+        out, at = [], 0
+        for shard, part in zip(rows["shard"].to_pylist(), parts, strict=True):
+            alive = part[enough[place[at:at + len(part)]]]
+            at += len(part)
+            if len(alive):
+                out.append((shard, None, rows["range"][0].as_py(), packed_hashes(np.unique(alive)), None))
+        return _sent(out)
+
+    return sent.where("counts IS NOT NULL AND words IS NULL").groupBy("range").applyInArrow(add, SENT)
+
+
+def grown(indexes: DataFrame, known: DataFrame | None, alive: DataFrame, words: int, depth: int, split: Split) -> DataFrame:
+    """The phrases of so many words that may be frequent: their word ids and counts, the shard's own record
+    of them, and the hashes of the phrases one word longer."""
+    def grow(place: pa.Table, given: pa.Table) -> pa.Table:
+        if not place.num_rows or not given.num_rows:
+            return _SENT.empty_table()
+        shard, word_ids = place["shard"][0].as_py(), _array(place["word_ids"][0], "<i8")
+        sides = {True: unpacked(place["right"][0]), False: unpacked(place["left"][0])}
+        counts = _array(place["counts"][0], "<i8")
+        shorter, hashes = Phrases.single(counts), []
+        for which, data in zip(given["range"].to_pylist(), given["data"], strict=True):
+            if which is None:
+                shorter = Phrases.unpack(data, words - 1, counts)
+            else:
+                hashes.append(unpacked_hashes(data))
+        if not hashes:
+            return _SENT.empty_table()
+        now = shorter.longer(sides[_right(words)], _right(words))
+        now = now.only(np.isin(now.hashes(word_ids, split.bits), np.concatenate(hashes)))
+        out = _ranges(shard, now, word_ids, split, words)
+        if words < depth:
+            out.append((shard, None, None, now.pack(), None))
+            out += _ranges(shard, now.longer(sides[_right(words + 1)], _right(words + 1)), word_ids, split)
+        return _sent(out)
+
+    given = alive.select("shard", "range", "data")
+    if known is not None:
+        given = given.unionByName(known.where("range IS NULL").select("shard", "range", "data"))
+    return indexes.select("shard", "left", "right", "counts", "word_ids").groupBy("shard").cogroup(
+        given.withColumnRenamed("shard", "of").groupBy("of")).applyInArrow(grow, SENT)
+
+
+def frequent(known: DataFrame, least: int) -> DataFrame:
+    """(of, words, phrase, a): each phrase with its exact count over all shards, if that is enough, and
+    the first of its shards. known: rows that hold word ids."""
+    schema = pa.schema([("of", pa.int64()), ("words", pa.int32()), ("phrase", pa.binary()), ("a", pa.int64())])
+
+    def add(rows: pa.Table) -> pa.Table:
+        words, rows = rows["words"][0].as_py(), rows.sort_by("shard")
+        ids = [unpacked_long(cell).reshape(-1, words) for cell in rows["data"]]
+        shard = np.repeat(rows["shard"].to_numpy(), [len(x) for x in ids])
+        ids, counts = np.concatenate(ids), np.concatenate([unpacked(cell) for cell in rows["counts"]])
+        by = np.lexsort(ids.T)
+        ids, shard, counts = ids[by], shard[by], counts[by]
+        start = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)])
+        total = np.add.reduceat(counts, start)
+        enough = total >= least
+        start, total = start[enough], total[enough]
+        return pa.Table.from_arrays([pa.array(shard[start]), pa.array(np.full(len(start), words), pa.int32()),
+                                     _binary(ids[start]), pa.array(total)], schema=schema)
+
+    return known.groupBy("words", "range").applyInArrow(add, "of long, words int, phrase binary, a long")
+
+
+SPELT = "lang string, words array<string>, a long, first long, last long"
+
+
+def spelt(indexes: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The phrases' languages, words and counts, and the counts of their first and last words; each from
+    one shard that holds it."""
+    schema = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())),
+                        *[(c, pa.int64()) for c in ("a", "first", "last")]])
+
+    def spell(place: pa.Table, given: pa.Table) -> pa.Table:
         if not place.num_rows or not given.num_rows:
             return schema.empty_table()
-        low, size = _words_alone(_array(place["counts"][0], "<i8"))
-        word_ids, langs, words = (_array(place["word_ids"][0], "<i8"), place["langs"][0].as_py(),
-                                  place["words"][0].as_py())
-        levels = {1: (low, low, size, _array(place["totals"][0], "<i8"))}
-        sizes = given["words"].to_numpy()
-        for n in sorted(set(sizes.tolist())):
-            some = given.filter(pa.array(sizes == n))
-            levels[n] = tuple(some[c].to_numpy().astype(np.int64) for c in ("low", "reversed", "n", "total"))
-        out: dict[str, list] = {f.name: [] for f in schema}
-        for n in sorted(set(sizes.tolist())):
-            mine = given.filter(pa.array((sizes == n) & given["first"].to_numpy(zero_copy_only=False)))
-            if not mine.num_rows:
-                continue
-            low, back, total = (mine[c].to_numpy().astype(np.int64) for c in ("low", "reversed", "total"))
-            ids = np.frombuffer(b"".join(mine["phrase"].to_pylist()), ">i8").reshape(len(low), n)
-            heads = np.column_stack([levels[k][3][holder(levels[k][0], levels[k][2], low)] for k in range(1, n)])
-            tails = np.column_stack([levels[n - k][3][holder(levels[n - k][1], levels[n - k][2], back)]
-                                     for k in range(1, n)])
-            for i, row in enumerate(np.searchsorted(word_ids, ids).tolist()):
-                names = [words[w] for w in row]
-                out["lang"].append(langs[row[0]])
-                out["phrase"].append(" ".join(names))
-                inner = n > 2
-                out["front"].append(" ".join(names[:-1]) if inner and heads[i, -1] == total[i] else None)
-                out["back"].append(" ".join(names[1:]) if inner and tails[i, 0] == total[i] else None)
-            out["a"] += total.tolist()
-            out["heads"] += heads.tolist()
-            out["tails"] += tails.tolist()
-        return pa.Table.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    rows = reduce(DataFrame.unionByName, [
-        k.select("shard", "low", "reversed", "n", "phrase", "total", "first", F.lit(n).alias("words"))
-        for n, k in enumerate(known, 2)])
-    place = indexes.select("shard", "counts", "word_ids", "totals", "langs", "words")
-    return place.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(write, WRITTEN)
+        word_ids, totals = (_array(place[c][0], "<i8") for c in ("word_ids", "totals"))
+        langs, names = place["langs"][0].as_py(), place["names"][0].as_py()
+        numbers = [np.searchsorted(word_ids, np.frombuffer(cell, ">i8")) for cell in given["phrase"].to_pylist()]
+        return pa.Table.from_arrays(
+            [pa.array([langs[n[0]] for n in numbers], pa.string()),
+             pa.array([[names[i] for i in n.tolist()] for n in numbers], schema.field("words").type),
+             pa.array(given["a"].to_numpy()), pa.array(totals[[n[0] for n in numbers]]),
+             pa.array(totals[[n[-1] for n in numbers]])], schema=schema)
+
+    place = indexes.select("shard", "word_ids", "totals", "langs", F.col("words").alias("names"))
+    return place.groupBy("shard").cogroup(phrases.groupBy("of")).applyInArrow(spell, SPELT)
+
+
+def cut(phrases: DataFrame) -> DataFrame:
+    """Each phrase once for each of its cuts after k words: lang, phrase, size, a, k, left, right, l, r.
+
+    The counts of single words came with the phrases; longer parts are phrases themselves.
+    """
+    size, k = F.size("words"), F.col("k")
+    rows = phrases.select("lang", F.array_join("words", " ").alias("phrase"), size.alias("size"), "a", "words", "first", "last",
+                          F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    rows = rows.select("lang", "phrase", "size", "a", "k",
+                       F.when(k > 1, F.array_join(F.slice("words", F.lit(1), k), " ")).alias("left"),
+                       F.when(k < F.col("size") - 1, F.array_join(F.slice("words", k + 1, F.col("size")), " ")).alias("right"),
+                       F.when(k == 1, F.col("first")).alias("l"), F.when(k == F.col("size") - 1, F.col("last")).alias("r"))
+    short, long = rows.where("size = 2"), rows.where("size > 2")
+    counts = phrases.select("lang", F.array_join("words", " ").alias("part"), F.col("a").alias("f"))
+    for part, count in (("left", "l"), ("right", "r")):
+        known = counts.withColumnsRenamed({"part": part, "f": f"_{count}"})
+        long = long.join(known, ["lang", part], "left").withColumn(count, F.coalesce(count, f"_{count}")).drop(f"_{count}")
+    return short.unionByName(long)
 
 
 def mine(docs: DataFrame, least: int = 100, top: int = 2000, depth: int = DEPTH, lang: str = "lang",
@@ -353,24 +516,25 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000, depth: int = DEPTH,
     """
     parts = settle(shards(docs, lang, text, size))
     words = parts.where("word is not null").select("shard", "lang", "word", "local", "n")
-    sums = words.groupBy("lang", "word").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-    vocabulary = settle(sums.withColumn("id", F.monotonically_increasing_id()))
-    indexes = settle(index(parts.where("ids is not null").select("shard", "ids"),
-                           words.join(vocabulary, ["lang", "word"]).select("shard", "local", "id", "total", "lang", "word"),
-                           depth))
-    known = [settle(frequent(pairs(indexes), least))]
-    for n in range(3, depth + 1):
-        known.append(settle(frequent(longer(indexes, known[-1], n), least)))
-    phrases = settle(written(indexes, known))
-    inner = phrases.select("lang", F.explode(F.array("front", "back")).alias("phrase")).where("phrase is not null")
+    ids = settle_by(parts.where("ids is not null").select(F.col("shard").alias("of"), "ids"), "of")
+    indexes = settle_by(index(ids, vocabulary(words, least), depth), "shard")
+    split = Split.of(words.agg(F.sum("n")).first()[0] or 0)
+    sent, found = settle(pairs(indexes, split)), None
+    for n in range(2, depth + 1):
+        sent = settle(grown(indexes, sent if n > 2 else None, reached(sent, least), n, depth, split))
+        counted = sent.where("words IS NOT NULL")
+        found = counted if found is None else found.unionByName(counted)
+    phrases = settle(spelt(indexes, frequent(found, least)))
+    cuts = settle(cut(phrases))
+    edge = F.col("size") > 2
+    inner = cuts.where(edge & (F.col("k") == F.col("size") - 1) & (F.col("l") == F.col("a"))).select("lang", F.col("left").alias("phrase")) \
+        .unionByName(cuts.where(edge & (F.col("k") == 1) & (F.col("r") == F.col("a"))).select("lang", F.col("right").alias("phrase")))
     languages = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    cuts = F.expr("""array_min(transform(heads, (l, i) -> struct(
-        (CAST(a AS decimal(19,0)) * CAST(n AS decimal(19,0)) * 1000BD)
-            div (CAST(l AS decimal(19,0)) * CAST(tails[i] AS decimal(19,0))) AS score, i, l, tails[i] AS r)))""")
-    scored = phrases.drop("front", "back").join(inner, ["lang", "phrase"], "left_anti").join(languages, "lang") \
-        .select("lang", "phrase", "a", "n", cuts.alias("cut")) \
-        .select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n",
-                F.col("cut.score").alias("score"))
+    score = F.expr("""(CAST(a AS decimal(19,0)) * CAST(n AS decimal(19,0)) * 1000BD)
+        div (CAST(l AS decimal(19,0)) * CAST(r AS decimal(19,0)))""")
+    scored = cuts.join(inner, ["lang", "phrase"], "left_anti").join(languages, "lang") \
+        .groupBy("lang", "phrase").agg(F.min(F.struct(score.alias("score"), "k", "l", "r", "a", "n")).alias("c")) \
+        .select("lang", "phrase", "c.a", "c.l", "c.r", "c.n", "c.score")
     best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
     first = scored.withColumn("_place", F.row_number().over(W.partitionBy("lang", part).orderBy(*best))) \

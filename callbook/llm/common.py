@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callbook.session import settle
+from callbook.session import ensure_checkpoint_dir, settle
 
-__all__ = ["chunks", "long_rows", "map_batches", "remainder", "settle", "spare_name", "table"]
+__all__ = ["chunks", "long_rows", "map_batches", "remainder", "settle", "settle_by", "spare_name", "table"]
 
 #: Bytes of text that one step of a Python worker holds; one longer text is a step of its own.
 CHUNK_BYTES = 8 << 20
@@ -22,6 +23,18 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settle_by(df: DataFrame, key: str) -> DataFrame:
+    """Write the rows in buckets of a column, as many as shuffles have partitions, and read that.
+
+    Grouping by the column then needs no shuffle of these rows, only of what they meet.
+    """
+    spark, name = df.sparkSession, f"by_{key}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").bucketBy(buckets, key)
+     .option("path", f"{ensure_checkpoint_dir(spark)}/{name}").saveAsTable(name))
+    return spark.table(name)
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(modulus))
