@@ -169,20 +169,22 @@ def append(df: DataFrame, root: str, name: str) -> int:
     return count.get["rows"]
 
 
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_csv(df: DataFrame, path: str) -> int:
     """Export as CSV files with a header (K11); the rows written.
 
-    Quotes are doubled, as spreadsheets read them; a NULL is nothing, an empty text a pair of quotes.
+    Quotes are doubled, as spreadsheets read them. CSV cannot tell NULL from an empty text.
     """
     rows, count = counted(df)
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows.write.mode("overwrite").options(**CSV).csv(path)
     return count.get["rows"]
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """An export read back; texts may hold line ends."""
-    return (spark.read.schema(schema).option("header", True).option("escape", '"')
-            .option("multiLine", True).csv(path))
+    """An export read back; texts may hold line ends, and empty ones are NULL."""
+    return spark.read.schema(schema).options(multiLine=True, **CSV).csv(path)
 
 
 def query(spark: SparkSession, sql: str, args: dict | None = None, **frames) -> DataFrame:
