@@ -9,19 +9,21 @@ others may be glued in front, and bytes that are no UTF-8 stand as marks between
 readable. Compressed streams are looked for all along the bytes. The worklist ends at the
 fixpoint, as a layer that has been seen in the same document is not taken up again (this
 also ends data that inflates to itself). Every character of a layer knows the span of the
-original text that it came from, so findings are spans of the original text.
+original text that it came from, so findings are spans of the original text; all of an
+inflated stream came from the same span.
 
 Nulls and empty texts have no findings. Texts are scanned whole, each by itself; repeated
-rows get equal results. Inflated data is taken in pieces that end at white space, so its
-size does not bound what is scanned, nor does it have to fit in memory at once.
+rows get equal results. The worklist goes by depth: inflated data is taken in pieces that end at
+white space, and each is scanned and unwrapped before the next one is inflated. So
+memory follows the text and the depth of its layers, not what they inflate to.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,14 +70,17 @@ def scan(text: str) -> list[Span]:
 
 
 class Layer:
-    """A decoded string; starts and ends hold the original span of each character (None: itself)."""
+    """A decoded string. starts and ends hold the original span of each character (None: itself);
+    all of an inflated layer and those in it came from one span, whose end is filled in once the stream has ended."""
 
-    __slots__ = ("text", "starts", "ends", "path")
+    __slots__ = ("text", "starts", "ends", "path", "span")
 
-    def __init__(self, text: str, starts=None, ends=None, path: str = ""):
-        self.text, self.starts, self.ends, self.path = text, starts, ends, path
+    def __init__(self, text: str, starts=None, ends=None, path: str = "", span: list | None = None):
+        self.text, self.starts, self.ends, self.path, self.span = text, starts, ends, path, span
 
-    def origin(self, start: int, end: int) -> tuple[int, int]:
+    def origin(self, start: int, end: int) -> tuple[int, int] | list:
+        if self.span is not None:
+            return self.span
         if self.starts is None:
             return start, end
         return int(self.starts[start:end].min()), int(self.ends[start:end].max())
@@ -99,9 +104,13 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
         parts = decode(m)
         if parts is None:
             continue
+        pieces.append(layer.text[at:m.start()])
+        if layer.span is not None:
+            pieces += [text for text, _, _ in parts]
+            at = m.end()
+            continue
         if s is None:
             s, e = layer.places()
-        pieces.append(layer.text[at:m.start()])
         starts.append(s[at:m.start()])
         ends.append(e[at:m.start()])
         for text, a, b in parts:
@@ -110,9 +119,11 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
             starts.append(np.full(len(text), lo))
             ends.append(np.full(len(text), hi))
         at = m.end()
-    if s is None:
+    if not pieces:
         return None
     pieces.append(layer.text[at:])
+    if layer.span is not None:
+        return Layer("".join(pieces), path=layer.path + "/" + name, span=layer.span)
     starts.append(s[at:])
     ends.append(e[at:])
     return Layer("".join(pieces), np.concatenate(starts), np.concatenate(ends), layer.path + "/" + name)
@@ -181,20 +192,27 @@ def _stream(raw: memoryview, at: int, end: list[int]) -> Iterator[str]:
         yield held.decode(errors="replace")
 
 
-def _inflated(raw: bytes) -> Iterator[tuple[int, int, str]]:
-    """(start, end, text) of the compressed streams in bytes, one after another until the bytes end."""
+def _streams(raw: bytes) -> Iterator[tuple[int, Iterator[str], list[int]]]:
+    """(start, texts, end) of the compressed streams in bytes, one after another until the bytes end.
+
+    The texts must be taken before the next stream is asked for; then end holds the stream's end, if it was one.
+    """
     view, at = memoryview(raw), 0
     while m := HEADS.search(raw, at):
         end: list[int] = []
-        for _ in _stream(view, m.start(), end):     # its pieces are not held, so its end takes a pass of its own
-            pass
-        if end:
-            for piece in _stream(view, m.start(), []):
-                yield m.start(), end[0], piece
+        yield m.start(), _stream(view, m.start(), end), end
         # A stream that breaks off may have been none.
         at = end[0] if end and end[0] < len(raw) else m.start() + 1
 
 
+def _sizes(text: str) -> np.ndarray:
+    """Bytes that each character came from; a lone surrogate stands for one byte."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    sizes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+    sizes[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1
+    return sizes
+
+
 def _children(layer: Layer) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (new := _replaced(layer, URL_ESCAPES, _from_url, "url")):
@@ -219,6 +237,8 @@ def _from_base64(layer: Layer, run: str, places: np.ndarray, parts: bool = True)
     filled = stop + len(re.match("={0,2}", layer.text[stop:stop + 2])[0])
 
     def decoded(text: str, at: np.ndarray, shift: int) -> Layer:
+        if layer.span is not None:
+            return Layer(text, path=layer.path + "/base64", span=layer.span)
         # Three bytes come from four characters.
         lo = places[shift + at[:-1] // 3 * 4]
         hi = places[np.minimum(shift + (at[1:] - 1) // 3 * 4 + 4, len(places)) - 1] + 1
@@ -231,17 +251,21 @@ def _from_base64(layer: Layer, run: str, places: np.ndarray, parts: bool = True)
         some = some[:-1] if len(some) % 4 == 1 else some
         raw = base64.b64decode(some + "=" * (-len(some) % 4))
         text, whole = _readable(raw)
-        at = np.cumsum([0, *(1 if "\udc80" <= c <= "\udcff" else len(c.encode()) for c in text)])
+        at = np.concatenate(([0], np.cumsum(_sizes(text))))
         if whole:
             yield decoded(text, at, shift)
             return
         rough.append((LONE.sub("\ufffd", text), at, shift))
         headed = False
-        for first, last, piece in _inflated(raw):
-            headed |= first == 0
-            last = int(places[min(shift + (last - 1) // 3 * 4 + 4, len(places)) - 1]) + 1
-            start, end = layer.origin(int(places[shift + first // 3 * 4]), filled if last == stop else last)
-            yield Layer(piece, np.full(len(piece), start), np.full(len(piece), end), layer.path + "/inflate")
+        for first, pieces, end in _streams(raw):
+            origin = layer.origin(int(places[shift + first // 3 * 4]), filled)
+            span = layer.span if layer.span is not None else [origin[0], origin[1]]
+            for piece in pieces:
+                headed |= first == 0
+                yield Layer(piece, path=layer.path + "/inflate", span=span)
+            if layer.span is None and end:
+                last = int(places[min(shift + (end[0] - 1) // 3 * 4 + 4, len(places)) - 1]) + 1
+                span[1] = layer.origin(int(places[shift + first // 3 * 4]), filled if last == stop else last)[1]
         if headed:
             rough = rough[-1:]
             parts = False
@@ -254,20 +278,29 @@ def _from_base64(layer: Layer, run: str, places: np.ndarray, parts: bool = True)
                 yield from _from_base64(layer, m[0], places[m.start():m.end()], False)
 
 
+def _mark(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def find(text: str) -> tuple[list[Span], list[tuple[int, int, str, str]]]:
     """Base spans, and all spans with the path of the layer where each was found first."""
     order = KINDS.index
     base = sorted(set(scan(text)), key=lambda x: (x[0], order(x[2]), x[1]))
-    every = {x: "" for x in base}
-    seen, work = {hash(text)}, deque([Layer(text)])
+    found: dict[tuple, tuple] = {}      # spans that are not closed yet are told apart as objects
+    seen, work = {_mark(text)}, [_children(Layer(text))]
     while work:
-        for layer in _children(work.popleft()):
-            if (mark := hash(layer.text)) in seen:
-                continue
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+        elif (mark := _mark(layer.text)) not in seen:
             seen.add(mark)
-            work.append(layer)
             for start, end, kind in scan(layer.text):
-                every.setdefault((*layer.origin(start, end), kind), layer.path)
+                span = layer.origin(start, end)
+                found.setdefault((id(span) if layer.span is not None else span, kind), (span, kind, layer.path))
+            work.append(_children(layer))
+    every = {x: "" for x in base}
+    for span, kind, path in found.values():
+        every.setdefault((span[0], span[1], kind), path)
     return base, [(*x, every[x]) for x in sorted(every, key=lambda x: (x[0], order(x[2]), x[1]))]
 
 
