@@ -41,7 +41,7 @@ def local_day(ts: Column, zone: str) -> Column:
 
 
 def today_local(zone: str) -> Column:
-    return local_day(F.current_timestamp(), zone)
+    return local_day(utc_now(), zone)
 
 
 def week_ending_monday(day: Column) -> Column:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -59,10 +62,32 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/settled-{uuid.uuid4().hex}"
+    for scope in getattr(_scopes, "open", [])[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_scopes = threading.local()
+
+
+@contextmanager
+def settled_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables settled inside, at its end. Nothing that reads them may be used after it.
+
+    For jobs that go on for long, such as a stream; others may leave the folder to the cluster.
+    """
+    paths: list[str] = []
+    _scopes.open = [*getattr(_scopes, "open", []), paths]
+    try:
+        yield
+    finally:
+        _scopes.open = _scopes.open[:-1]
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def counted(df: DataFrame) -> tuple[DataFrame, Observation]:
     """Rows that are counted while they are written; the count is ``rows`` of the observation.
 

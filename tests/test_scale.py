@@ -157,3 +157,19 @@ def test_a_file_written_again_is_read_again(spark, tmp_path):
     assert rows(store_sitemap_files(spark, root, str(land), "https://l.test", sections=["mining"])) == [(0, 0)]
     assert Counter(r["state"] for r in T.read_table(spark, root, "frontier").collect()) == {"pending": 2}
     assert rows(T.read_table(spark, root, "archive_months").select("month", "urls_found")) == [("2027/02", 2)]
+
+
+def test_settled_tables_of_a_scope_are_deleted(spark):
+    from pathlib import Path
+
+    from callbook.session import ensure_checkpoint_dir, settle, settled_scope
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    outer = settle(spark.range(3))
+    before = set(folder.glob("settled-*"))
+    with settled_scope(spark):
+        kept = settle(spark.range(5)).count()
+        assert kept == 5 and len(set(folder.glob("settled-*")) - before) == 1
+        with pytest.raises(ZeroDivisionError), settled_scope(spark):
+            settle(spark.range(2))
+            _ = 1 / 0
+    assert set(folder.glob("settled-*")) == before and outer.count() == 3
