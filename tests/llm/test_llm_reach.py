@@ -10,9 +10,10 @@ import subprocess
 import sys
 import zlib
 
+import numpy as np
 import pytest
 
-from callbook.llm import chat, secrets
+from callbook.llm import chat, hnsw, secrets
 
 
 # --- templates -----------------------------------------------------------------------------------------
@@ -131,3 +132,54 @@ def test_plain_patterns_over_a_table_of_texts():
                 if (kind == "assign" and len(m[2]) >= 6) or (kind == "access" and len(m[0]) >= 20) or (kind == "hex" and len(m[0]) >= 24):
                     want.append((m.start(), m.end(), kind))
         assert sorted(secrets.scan(text)) == sorted(want), text
+
+
+# --- the graph's audit ---------------------------------------------------------------------------------
+def clusters(n, groups, dims=64, seed=2):
+    """Unit vectors in clusters at a cosine of about 0.8, some with a neighbour above 0.9."""
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((groups, dims))
+    x = centres[rng.integers(0, groups, n)]
+    x = x / np.linalg.norm(x, axis=1, keepdims=True) + 0.5 * rng.standard_normal((n, dims)) / np.sqrt(dims)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    planted = rng.permutation(n)[:n // 20]
+    near = x[planted] + 0.35 * rng.standard_normal((len(planted), dims)) / np.sqrt(dims)
+    return np.concatenate((x, near / np.linalg.norm(near, axis=1, keepdims=True)))
+
+
+def test_audits_have_true_links_that_are_no_copies():
+    x = clusters(2500, 40)
+    asked = hnsw.probes(x, 0.9)
+    cosines = asked @ x.T
+    assert len(asked) == hnsw.AUDIT and np.allclose(np.linalg.norm(asked, axis=1), 1)
+    assert (cosines.max(axis=1) > 0.9).all() and (cosines.max(axis=1) < 0.99).all()
+    q, n, truth, hits, beam = hnsw.audited_pairs(hnsw.Graph(x), x, x, 0.9)
+    assert truth >= hnsw.AUDIT and hits >= hnsw.RECALL * truth and beam >= hnsw.BEAM
+    exact = x @ x.T >= 0.9
+    other = ~np.eye(len(x), dtype=bool)
+    found = np.zeros_like(exact)
+    found[q, n] = True
+    assert not (found & ~exact).any()
+    assert (found & other).sum() >= 0.98 * (exact & other).sum() > 0
+
+
+def test_nodes_that_no_path_reaches_are_compared():
+    x = clusters(1200, 12)
+    graph = hnsw.Graph(x)
+    cut = np.flatnonzero(np.arange(len(x)) != graph.entry)[:40]
+    graph.links[0][np.isin(graph.links[0], cut)] = -1       # as if pruning had lost them
+    assert set(cut) <= set(hnsw.unreached(graph).tolist())
+    q, n, *_ = hnsw.audited_pairs(graph, x, x, 0.9)
+    exact = x[cut] @ x.T >= 0.9
+    found = {(a, b) for a, b in zip(q.tolist(), n.tolist(), strict=True)}
+    assert all((int(b), int(cut[a])) in found for a, b in zip(*np.nonzero(exact), strict=True))
+
+
+def test_recall_is_returned(spark):
+    x = clusters(700, 9, dims=24)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = hnsw.link(table).collect()
+    assert {(r["recall"] >= hnsw.RECALL, r["beam"] >= hnsw.BEAM) for r in got} == {(True, True)}
+    exact = (x @ x.T >= 0.9).sum(axis=1) - 1
+    assert sum(r["n_links"] for r in got) >= 0.98 * exact.sum() > 0
+    assert hnsw.link(table.limit(0)).count() == 0
