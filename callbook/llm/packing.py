@@ -46,7 +46,9 @@ HARD_STEP = 64
 #: Tokens of a block.
 BLOCK = 1 << 18
 #: Words that a worker remembers in each of two generations. Memory only, never results.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
+#: Text whose words are told apart at once.
+SLICE = 1 << 20
 
 
 def cut_places(ends: np.ndarray, sentences: np.ndarray, total: int,
@@ -260,9 +262,12 @@ class WordIds:
         which = np.insert(coded.indices.to_numpy(), bounds[1:], len(distinct))
         lengths = sizes[which]
         after = np.cumsum(lengths)
-        ids = np.frombuffer(self.now.ids, np.uint32)[
-            np.arange(after[-1] if len(after) else 0) + np.repeat(starts[which] - after + lengths, lengths)
-        ] if len(self.now.ids) else np.zeros(len(which), np.uint32)
+        if len(self.now.ids):
+            at = np.repeat((starts[which] - after + lengths).astype(np.int32), lengths)
+            at += np.arange(len(at), dtype=np.int32)
+            ids = np.frombuffer(self.now.ids, np.uint32)[at]
+        else:
+            ids = np.zeros(len(which), np.uint32)
         text_ends = after[bounds[1:] + np.arange(len(given))] if len(given) else after
         ids[text_ends - 1] = self.end_id
         return ids.astype("<u4", copy=False), text_ends
@@ -308,7 +313,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_
         ids_of = word_ids(tokenizer_path, end_id)
 
         def stream():
-            for part in chunks(batches, "text"):
+            for part in chunks(batches, "text", SLICE):
                 keys = part.column("key").to_pylist()
                 for k, found in zip(keys, ids_of.each(part.column("text")), strict=True):
                     yield k, *found
@@ -329,6 +334,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_
                 rows = []
         if rows:
             yield batch(rows)
+        pa.default_memory_pool().release_unused()       # workers live on for other tasks
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")) \
         .mapInArrow(run, schema).withColumnRenamed("key", key)

@@ -290,4 +290,4 @@ def test_pipeline(docs, none, labels, spark, tmp_path):
 
 
 def test_chat_query_has_sql():
-    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 10
+    assert set(queries.ORACLES) <= set(queries.QUERIES) and len(queries.QUERIES) == 13
