@@ -46,9 +46,9 @@ HARD_STEP = 64
 #: Tokens of a block.
 BLOCK = 1 << 18
 #: Words that a worker remembers in each of two generations. Memory only, never results.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 #: Text whose words are told apart at once.
-SLICE = 1 << 20
+SLICE = 2 << 20
 
 
 def cut_places(ends: np.ndarray, sentences: np.ndarray, total: int,
