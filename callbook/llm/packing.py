@@ -45,8 +45,8 @@ SHORTEST = 256
 HARD_STEP = 64
 #: Tokens of a block.
 BLOCK = 1 << 18
-#: Words that a worker remembers in each of two generations. Memory only, never results.
-REMEMBERED = 250_000
+#: Words that a worker remembers in each of two generations, unless told otherwise. Memory only, never results.
+REMEMBERED = 200_000
 #: Text whose words are told apart at once.
 SLICE = 2 << 20
 
@@ -202,11 +202,11 @@ class WordIds:
     cut as the tokenizer does it and go to its model at once, all others through the whole tokenizer.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, remembered: int | None = None):
         import json
 
         from tokenizers import Tokenizer
-        self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        self.tokenizer, self.end_id, self.remembered = Tokenizer.from_file(path), end_id, remembered or REMEMBERED
         self.now, self.before = Memory(), Memory()
         self.parts: dict[str, bytes] = {}
         self.old_parts: dict[str, bytes] = {}
@@ -219,7 +219,7 @@ class WordIds:
                 self.closes[i] = True
 
     def _part(self, part: str) -> bytes:
-        if len(self.parts) >= REMEMBERED:
+        if len(self.parts) >= self.remembered:
             self.parts, self.old_parts = {}, self.parts
         ids = self.old_parts.get(part)
         if ids is None:
@@ -235,7 +235,7 @@ class WordIds:
 
     def _places(self, words: list[str]) -> np.ndarray:
         """Where the memory holds each of some distinct words; new ones are learnt."""
-        if len(self.now.place) >= REMEMBERED:
+        if len(self.now.place) >= self.remembered:
             self.now, self.before = Memory(), self.now
         now, old = self.now, self.before
         places = [now.place.get(w) for w in words]
@@ -285,18 +285,19 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str, end_id: int) -> WordIds:
+def word_ids(path: str, end_id: int, remembered: int | None = None) -> WordIds:
     """One for each worker process, so that its tasks share what they have learnt."""
-    return WordIds(path, end_id)
+    return WordIds(path, end_id, remembered)
 
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_id",
-         text: str = "text", window: int = WINDOW) -> DataFrame:
+         text: str = "text", window: int = WINDOW, remembered: int | None = None) -> DataFrame:
     """One row per piece: key, start (ids of its document before it), length, ids (little-endian
-    unsigned 32-bit), doc_tokens, sequence_id, offset (ids before it in its sequence)."""
+    unsigned 32-bit), doc_tokens, sequence_id, offset (ids before it in its sequence). More remembered
+    words take memory and save time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
     schema = f"key {docs.schema[key].dataType.simpleString()}, {PIECES}"
@@ -310,7 +311,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, key: str = "doc_
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         first = TaskContext.get().partitionId() << 40
-        ids_of = word_ids(tokenizer_path, end_id)
+        ids_of = word_ids(tokenizer_path, end_id, remembered)
 
         def stream():
             for part in chunks(batches, "text", SLICE):

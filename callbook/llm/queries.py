@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("op1_packing")
 def op1_packing(spark, sf_dir):
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), remembered=400_000)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
                          "doc_tokens", "sequence_id", "offset")
 
