@@ -14,9 +14,8 @@ grows to `REACH` again. What was put together that way is compared with one rend
 whole conversation; if they differ, or if history was rewritten, all prefixes are rendered
 in full and all spans are located anew in the last one. So the pieces of a conversation always are its
 full rendering, whatever the template, and rewriting is found however far back it reaches, unless a later
-turn restores what an earlier one changed beyond the reach. Only a
-conversation of more than `HELD` characters is not held: its rows are given out as they come
-and say that they are not `verified`.
+turn restores what an earlier one changed beyond the reach. Every conversation is held whole, however
+long it is: a black box has to be given all of its turns.
 
 A null text or role counts as empty; a null turn comes first; rows with a null
 conversation id form one conversation. Rows that repeat are turns of their own.
@@ -37,8 +36,6 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Render = Callable[[list[Turn]], str]
 REACH, CONTEXT = 32, 2
-#: Characters of a conversation that are held at once.
-HELD = 16 << 20
 
 #: The control strings of the template.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
@@ -249,25 +246,18 @@ def format_turns(conversations: DataFrame, render: Render = instruct, loss_roles
     def row(c, position: int, r: str, s: Span, verified: bool):
         return (c, position, r, s.piece, s.start, s.end, s.text_start, s.text_end, r in loss_roles, s.rewritten_from, verified)
 
+    def whole(conv, turns: list[Turn]):
+        for i, (turn, span) in enumerate(zip(turns, render_spans(render, turns), strict=True)):
+            yield row(conv, i, turn[0], span, True)
+
     def rows(turns: Iterator[tuple[object, str, str]]):
-        last, held, size, state = object(), [], 0, None
+        last, held = object(), []
         for c, r, t in turns:
             if c != last:
-                yield from ((row(last, i, turn[0], s, True)) for i, (turn, s) in enumerate(
-                    zip(held, render_spans(render, held), strict=True)))
-                last, held, size, state = c, [], 0, None
-            size += len(t)
-            if state is not None:
-                yield row(c, state.position, r, state.add(r, t), False)
-            else:
-                held.append((r, t))
-                if size > HELD:
-                    state = Incremental(render)
-                    for r, t in held:
-                        yield row(c, state.position, r, state.add(r, t), False)
-                    held = []
-        yield from ((row(last, i, turn[0], s, True)) for i, (turn, s) in enumerate(
-            zip(held, render_spans(render, held), strict=True)))
+                yield from whole(last, held)
+                last, held = c, []
+            held.append((r, t))
+        yield from whole(last, held)
 
     def run(batches: Iterator[pa.RecordBatch]):
         given = ((c, r or "", t or "") for batch in batches for c, r, t in zip(

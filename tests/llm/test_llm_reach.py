@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from callbook.llm import chat, hnsw, secrets
 
@@ -183,3 +184,17 @@ def test_recall_is_returned(spark):
     exact = (x @ x.T >= 0.9).sum(axis=1) - 1
     assert sum(r["n_links"] for r in got) >= 0.98 * exact.sum() > 0
     assert hnsw.link(table.limit(0)).count() == 0
+
+
+def test_results_do_not_depend_on_the_size_of_a_conversation(spark):
+    """More than 16 million characters, by a template that writes the beginning anew."""
+    turns = [(("user", "assistant")[i % 2], str(i) * 5_700_000) for i in range(3)]
+    df = spark.createDataFrame([(1, i, r) for i, (r, _) in enumerate(turns)], "conv_id long, turn long, role string") \
+        .withColumn("text", F.repeat(F.col("turn").cast("string"), F.lit(5_700_000)))
+
+    def template(given):
+        return f"{len(given)}|" + "".join(f"{r}:{t};" for r, t in given)
+    found = chat.format_turns(df, template).select("position", "verified", "rewritten_from", "start", "end", "piece").orderBy("position").collect()
+    assert [r["verified"] for r in found] == [True] * 3 and [r["rewritten_from"] for r in found] == [None, 0, 0]
+    assert "".join(r["piece"] for r in found) == template(turns)
+    assert [r["start"] for r in found] == [0, found[0]["end"], found[1]["end"]]
