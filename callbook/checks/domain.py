@@ -81,6 +81,11 @@ def series_symbol(n: Column) -> Column:
     return F.when(n % 13 == 0, F.concat(base, F.lit(".TO"))).otherwise(base)
 
 
+def path_of(section: Column, day: Column, key: Column) -> Column:
+    return F.concat(F.lit("/"), section, F.lit("/"), F.date_format(day, "yyyy/MM/dd"),
+                    F.lit("/o"), key.cast("string"), F.lit("/"))
+
+
 class Domain:
     """Lazy views over one data folder."""
 
@@ -104,8 +109,7 @@ class Domain:
         author = (F.when(desk % 25 == 7, "").when(desk % 25 == 11, F.lit(None))
                   .otherwise(F.concat(F.lit("Author "), desk.cast("string"))))
         return self.table("orders").select(
-            F.concat(F.lit("/"), section, F.lit("/"), F.date_format(day, "yyyy/MM/dd"),
-                     F.lit("/o"), key.cast("string"), F.lit("/")).alias("path"),
+            path_of(section, day, key).alias("path"),
             F.replace(F.replace(shape, F.lit("{x}"), company), F.lit("{n}"), number)
             .alias("title"),
             author.alias("author"), day.alias("published_day"), section.alias("section"),
@@ -127,12 +131,17 @@ class Domain:
     def coverage(self) -> DataFrame:
         lines = self.table("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
         supp = F.col("l_suppkey")
-        arts = self.headlines.select(F.col("key").alias("l_orderkey"), "path", "published_day")
+        # Joined and grouped by what a path is made of, which is narrower; a path without a day is NULL.
+        day = F.col("published_day")
+        arts = self.headlines.select(F.col("key").alias("l_orderkey"), "published_day",
+                                     F.when(day.isNotNull(), F.col("section") == "retirement").alias("retirement"))
         pairs = lines.join(arts, "l_orderkey").groupBy(
-            "l_orderkey", "l_suppkey", "path", "published_day"
+            "l_orderkey", "l_suppkey", "retirement", "published_day"
         ).agg(F.bool_or(F.col("l_linenumber") == 1).alias("is_primary"))
+        section = F.when(F.col("retirement"), "retirement").otherwise("investing")
         return settle(pairs.select(
-            ticker_code(supp).alias("ticker"), "path", "published_day", "is_primary",
+            ticker_code(supp).alias("ticker"), path_of(section, day, F.col("l_orderkey")).alias("path"),
+            "published_day", "is_primary",
             F.when(F.col("is_primary"), "primary_meta").otherwise("meta").alias("source"),
             (supp % 11 != 4).alias("verified")))
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 from conftest import rows
 from pyspark.sql import functions as F
 
+from callbook.checks import domain
 from callbook.checks.domain import plain_code, series_symbol, ticker_code
 from callbook.functions.text import LISTED_SYMBOL
 from callbook.operators.ordering import with_ordinal, with_previous
@@ -25,3 +26,21 @@ def test_rows_without_a_day_come_first(spark):
     assert got == {"x": 1, "y": 2, "z": 3, "w": 1}
     before = {r["p"]: r["prev"] and r["prev"]["p"] for r in with_previous(df, "k", "d", "p", ["p"]).collect()}
     assert before == {"x": None, "y": "x", "z": "y", "w": None}
+
+
+def test_coverage_is_grouped_without_its_paths(spark, tmp_path, monkeypatch):
+    """Paths are long, so they are made of the grouped rows; orders may repeat and lack a day."""
+    orders = [(1, 5, "1995-02-03", "5-LOW"), (1, 5, "1995-02-03", "5-LOW"), (1, 5, "1995-02-03", "1-URGENT"),
+              (2, 6, None, "5-LOW"), (2, 6, None, "1-URGENT"), (None, 7, "1996-01-01", "1-URGENT")]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, d string, o_orderpriority string").select(
+        "*", F.col("d").cast("timestamp").alias("o_orderdate"), F.lit(1.0).alias("o_totalprice"),
+        F.lit("F").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 1, 1), (1, 1, 2), (1, 2, 3), (2, 1, 2), (3, 1, 1), (None, 1, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(domain, "settle", lambda df: df)
+    coverage = domain.Domain(spark, str(tmp_path)).coverage
+    plan = coverage._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("concat" in line for line in plan.split("Aggregate", 1)[1].splitlines())
+    found = sorted((r["path"] or "", r["ticker"][-1], r["is_primary"]) for r in coverage.collect())
+    assert found == [("", "B", False), ("/investing/1995/02/03/o1/", "B", True), ("/investing/1995/02/03/o1/", "C", False),
+                     ("/retirement/1995/02/03/o1/", "B", True), ("/retirement/1995/02/03/o1/", "C", False)]
