@@ -3,7 +3,7 @@ from __future__ import annotations
 from conftest import rows
 from pyspark.sql import functions as F
 
-from callbook.checks import domain
+from callbook.checks import domain, stored
 from callbook.checks.domain import plain_code, series_symbol, ticker_code
 from callbook.functions.text import LISTED_SYMBOL
 from callbook.operators.ordering import with_ordinal, with_previous
@@ -44,3 +44,12 @@ def test_coverage_is_grouped_without_its_paths(spark, tmp_path, monkeypatch):
     found = sorted((r["path"] or "", r["ticker"][-1], r["is_primary"]) for r in coverage.collect())
     assert found == [("", "B", False), ("/investing/1995/02/03/o1/", "B", True), ("/investing/1995/02/03/o1/", "C", False),
                      ("/retirement/1995/02/03/o1/", "B", True), ("/retirement/1995/02/03/o1/", "C", False)]
+
+
+def test_pages_that_land_are_made_by_all_tasks(spark, tmp_path):
+    """Two files, however many tasks made their rows."""
+    pages = spark.range(0, 800, 1, 8).select("id", F.spark_partition_id().alias("task"))
+    stored.land(pages, f"{tmp_path}/landing")
+    landed = spark.read.json(f"{tmp_path}/landing")
+    assert landed.count() == 800 and landed.select("task").distinct().count() == 8
+    assert len(list((tmp_path / "landing").glob("part-*"))) == 2
