@@ -100,3 +100,27 @@ def test_labels_scores_and_buckets_are_closed_sets(spark):
 def test_order_key(spark, value, position):
     df = spark.range(1).select(S.order_key(F.lit(value), S.BUCKET_ORDER))
     assert rows(df) == [(position,)]
+
+
+def test_words_that_settle_a_vocabulary_lose_no_match(spark):
+    """Without ``low`` every pattern is tried; NULL stands for a text that is not in ASCII."""
+    words = sorted({w for held in S.HOLDS.values() for w in held})
+    titles = [t for t, *_ in CASES] + [f"{a} {b} it now" for a in ("Why", "is it time to", "A", "3 to", "q2") for b in words]
+    titles = [t for t in titles if t]
+    titles += [t.upper() for t in titles] + ["Time to \u017fell", "\u017fteer Clear", "Risky \u212aeeps"]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    whole = S.label_of_clean(F.col("t"), F.lit(None).cast("string")).alias("whole")
+    found = rows(df.select("t", S.label_of_clean(F.col("t")).alias("label"), whole, S.stance_label(F.col("t")).alias("own")))
+    assert [r for r in found if r[1] != r[2] or r[3] != r[2]] == []
+    assert len({r[1] for r in found}) > 6
+    for patterns, held in S.HOLDS.items():
+        for one in (patterns,) if isinstance(patterns, str) else patterns:
+            hits = [t for t in titles if t.isascii() and re.search(one, t, re.IGNORECASE)]
+            assert all(any(w in t.lower() for w in held) for t in hits), one
+
+
+def test_a_text_is_collapsed_once(spark):
+    """It may be a whole document, and each rule reads it."""
+    df = spark.createDataFrame([("A  Closer Look",)], "t string").select(S.stance_label(F.col("t")).alias("stance"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 1
+    assert rows(df) == [("analysis",)]
