@@ -77,22 +77,6 @@ def on_benchmark(df: DataFrame, calendar: DataFrame, day: Column, prices: DataFr
     return keyed.join(F.broadcast(cal), "_cal", "left").drop("_cal")
 
 
-def valid_event_days(sessions: DataFrame, max_gap: int = MAX_ENTRY_GAP_DAYS) -> DataFrame:
-    """One row per (symbol, day) whose guarded entry is this session.
-
-    The first session on or after a day is the answer for every day after the
-    previous session; cut to the last ``max_gap`` days that is at most
-    ``max_gap`` + 1 rows a session. The as-of join then is an equi join.
-    """
-    prev = F.lag("date").over(_by_session())
-    low = F.date_sub("date", max_gap)
-    return (
-        sessions.withColumn("_from", F.greatest(F.date_add(prev, 1), low))
-        .withColumn("day", F.explode(F.sequence("_from", "date")))
-        .drop("_from")
-    )
-
-
 def forward_returns(book: DataFrame, horizons: Iterable[int]) -> DataFrame:
     """Add ret_{h}: the return over the next h sessions, NULL past the end."""
     return book.select("*", *[
@@ -140,15 +124,27 @@ def guarded_entries(days: DataFrame, sessions: DataFrame, *, symbol: str = "symb
     """Left join of (symbol, day) rows to the first session within ``max_gap`` days.
 
     Session columns keep their names, except date -> entry_date and
-    close -> entry_close.
+    close -> entry_close. Rows and sessions of a symbol are walked once, from the latest day back,
+    carrying the nearest session seen so far. Sessions that come from a window over their symbol stay
+    where they are; only the rows are dealt out to them, so there should be at most a few of each symbol and day.
     """
-    entries = (
-        valid_event_days(sessions, max_gap)
-        .withColumnRenamed("date", "entry_date").withColumnRenamed("close", "entry_close")
-        .withColumnRenamed("symbol", "_sym").withColumnRenamed("day", "_day")
-    )
-    on = (days[symbol] == entries["_sym"]) & (days[day] == entries["_day"])
-    return days.join(entries, on, "left").drop("_sym", "_day")
+    named = {"date": "entry_date", "close": "entry_close"}
+    others = [c for c in sessions.columns if c != "symbol"]
+    # Rows without a symbol meet no session; their day spreads them.
+    spread = F.coalesce(symbol, F.col(day).cast("string"))
+    marks = days.select("*", spread.alias("_sym"), F.col(day).alias("_day"), F.lit(1).alias("_mark")
+                        ).repartition("_sym")
+    met = sessions.filter(F.col("symbol").isNotNull() & F.col("date").isNotNull()).select(
+        F.col("symbol").alias("_sym"), F.col("date").alias("_day"), F.lit(0).alias("_mark"),
+        F.struct(*others).alias("_hit"))
+    walk = Window.partitionBy("_sym").orderBy(F.desc("_day"), "_mark").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    near = F.when(F.col(symbol).isNotNull() & (F.col("_next.date") <= F.date_add("_day", max_gap)), F.col("_next"))
+    return (
+        marks.unionByName(met, allowMissingColumns=True)
+        .withColumn("_next", F.last("_hit", ignorenulls=True).over(walk))
+        .filter(F.col("_mark") == 1).withColumn("_next", near)
+        .select(*days.columns, *[F.col("_next")[c].alias(named.get(c, c)) for c in others]))
 
 
 def next_session(days: DataFrame, prices: DataFrame) -> DataFrame:

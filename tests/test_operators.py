@@ -189,6 +189,23 @@ def test_legs_equal_brute_force(spark, seed):
             assert (r[cols[0]], r[cols[1]]) == tuple(map(approx, leg(*span)))
 
 
+def test_entries_neither_multiply_nor_shuffle_the_sessions(spark):
+    """Legs stay where their window put them; rows without a symbol or a day, and repeated ones, are kept."""
+    data = [("A", date(2024, 1, d), float(d)) for d in (2, 3, 12)] + [(None, date(2024, 1, 2), 5.0)]
+    prices = spark.createDataFrame(data, "symbol string, date date, close double")
+    asked = [("A", date(2024, 1, 1)), ("A", date(2024, 1, 1)), ("A", date(2024, 1, 4)), ("A", date(2024, 1, 6)),
+             ("A", None), ("A", date(2024, 1, 13)), (None, date(2024, 1, 2)), ("B", date(2024, 1, 2))]
+    days = spark.createDataFrame(asked, "symbol string, published_day date")
+    found = P.guarded_entries(days, P.forward_returns(P.price_book(prices), [1]))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(((*r,) for r in found.select("symbol", "published_day", "entry_date", "ret_1").collect()), key=str)
+    entries = {("A", date(2024, 1, 1)): (date(2024, 1, 2), 50.0), ("A", date(2024, 1, 6)): (date(2024, 1, 12), None)}
+    assert got == sorted(((*a, *entries.get(a, (None, None))) for a in asked), key=str)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not any("ret_1" in line for line in plan.splitlines() if "Exchange" in line)
+
+
 def test_next_session_and_latest(spark):
     data = gappy_prices(random.Random(9))
     prices = spark.createDataFrame(data, "symbol string, date date, close double, volume bigint")
