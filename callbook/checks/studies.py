@@ -20,6 +20,7 @@ from callbook.plans.outcomes import (
     outcome_counts,
     returns_since,
 )
+from callbook.session import settle
 
 MONTHS = list(TRACK_HORIZONS)
 _RETURNS = [f"{leg}_{h}" for h in TRACK_HORIZONS.values() for leg in ("ret", "bench")]
@@ -37,9 +38,9 @@ def call_outcomes(d):
 @check("outcomes_incremental", _OUTCOMES)
 def outcomes_incremental(d):
     """Score the calls before 1998, then everything still open: the same as a full run."""
-    early = compute_outcomes(d.coverage.filter(F.col("published_day") < "1998-01-01"),
-                             d.tickers, d.prices)
-    rest = compute_outcomes(d.coverage, d.tickers, d.prices, early)
+    early = settle(compute_outcomes(d.coverage.filter(F.col("published_day") < "1998-01-01"),
+                                    d.tickers, d.prices))
+    rest = settle(compute_outcomes(d.coverage, d.tickers, d.prices, early))
     return rounded(merge_outcomes(early, rest), *_RETURNS)
 
 
