@@ -3,7 +3,7 @@ from __future__ import annotations
 from conftest import rows
 from pyspark.sql import functions as F
 
-from callbook.checks import domain, stored
+from callbook.checks import domain, stored, studies
 from callbook.checks.domain import plain_code, series_symbol, ticker_code
 from callbook.functions.text import LISTED_SYMBOL
 from callbook.operators.ordering import with_ordinal, with_previous
@@ -53,3 +53,29 @@ def test_pages_that_land_are_made_by_all_tasks(spark, tmp_path):
     landed = spark.read.json(f"{tmp_path}/landing")
     assert landed.count() == 800 and landed.select("task").distinct().count() == 8
     assert len(list((tmp_path / "landing").glob("part-*"))) == 2
+
+
+def test_symbols_make_each_letter_once(spark):
+    """A longer expression makes a method that the JVM does not compile."""
+    n = F.col("id")
+    for code in (plain_code, ticker_code, series_symbol):
+        plan = spark.range(1).select(code(n).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.lower().count("chr(") + plan.lower().count("char(") == 4
+    got = spark.createDataFrame([(0,), (7,), (13,), (91,), (456_976,), (None,)], "id long").select(
+        plain_code(n), ticker_code(n), series_symbol(n))
+    assert [tuple(r) for r in got.collect()] == [
+        ("SAAAA", "SAAA.A", "SAAA-A.TO"), ("SAAAH", "SAAA.H", "SAAA-H"), ("SAAAN", "SAAAN", "SAAAN.TO"),
+        ("SAADN", "SAAD.N", "SAAD-N.TO"), ("SAAAA", "SAAAA", "SAAAA.TO"), (None, None, None)]
+
+
+def test_tasks_get_a_bounded_number_of_articles(spark, monkeypatch):
+    monkeypatch.setattr(domain, "TASK_ROWS", 100)
+    dealt = domain.Domain(spark, "")._spread(spark.range(0, 2_050, 1, 1).toDF("id"))
+    sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 2_050 and max(sizes) <= 150
+
+
+def test_incremental_scoring_runs_each_part_once(spark):
+    """Both parts are read several times, so they are settled."""
+    found = studies.outcomes_incremental(domain.Domain(spark, "/root/testdata/sf0.001"))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
