@@ -122,15 +122,22 @@ def rewrite(root: str, name: str, merged: DataFrame, covering: DataFrame | None
     if part is None:
         written = _replace(rows, root, name)    # the rows in use stay, so they can be read meanwhile
     else:
-        rows, written = settle_counted(rows)
+        count = None
         if covering is not None:
+            rows, written = settle_counted(rows)
             emptied = covering.select(part).distinct().join(
                 rows.select(part).distinct(), part, "left_anti")
             rows = rows.unionByName(to_schema(emptied, schema))
         # Few files per partition, yet a big partition is split over many tasks.
-        # Only the partitions that occur in the rows are replaced.
-        (rows.hint("rebalance", part).write.mode("overwrite").partitionBy(part)
+        rows = rows.hint("rebalance", part)
+        if covering is None:
+            rows, count = counted(rows)
+        # Only the partitions that occur in the rows are replaced, when all of them are written,
+        # so the rows may be read from those partitions meanwhile.
+        (rows.write.mode("overwrite").partitionBy(part)
          .option("partitionOverwriteMode", "dynamic").parquet(f"{root}/{name}"))
+        if count is not None:
+            written = count.get["rows"]
     _touch(merged.sparkSession, f"{root}/{NOTES}/{name}")
     return written
 

@@ -54,6 +54,22 @@ def test_a_first_write_that_fails_leaves_an_empty_table(spark, tmp_path):
     assert tickers(spark, root) == TICKER_ROWS
 
 
+def test_a_merge_into_months_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    """Rows may be read from the months that they replace; other months stay as they are."""
+    root = str(tmp_path)
+    quotes = [("A", date(2024, 1, 2), 1.0, 1), ("A", date(2024, 2, 1), 2.0, 1), ("B", date(2024, 1, 3), 3.0, 1)]
+    prices = spark.createDataFrame(quotes, "symbol string, date date, close double, volume long").withColumn(
+        "month", F.date_format("date", "yyyy-MM"))
+    monkeypatch.setattr(T, "settle_counted", lambda df: pytest.fail("written twice"))
+    assert T.rewrite(root, "prices", prices) == 3
+    january = T.read_table(spark, root, "prices").filter("month = '2024-01'")
+    assert T.rewrite(root, "prices", january.withColumn("close", F.col("close") * 10)) == 2
+    assert T.rewrite(root, "prices", prices.filter("symbol = 'none'")) == 0
+    got = T.read_table(spark, root, "prices").select("symbol", "date", "close", "volume")
+    assert sorted(rows(got)) == [("A", date(2024, 1, 2), 10.0, 1), ("A", date(2024, 2, 1), 2.0, 1),
+                                 ("B", date(2024, 1, 3), 30.0, 1)]
+
+
 def test_a_lost_table_is_an_error(spark, root):
     shutil.rmtree(f"{root}/tickers")
     with pytest.raises(T.LostTable):
