@@ -79,3 +79,17 @@ def test_incremental_scoring_runs_each_part_once(spark):
     """Both parts are read several times, so they are settled."""
     found = studies.outcomes_incremental(domain.Domain(spark, "/root/testdata/sf0.001"))
     assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_chart_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Their number decides, not their size."""
+    monkeypatch.setattr(stored, "TASK_FILES", 2)
+    days = spark.range(0, 80, 1, 1).select(
+        F.concat(F.lit("S"), (F.col("id") % 40).cast("string")).alias("symbol"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+        F.lit(1.5).alias("close"), F.lit(3).cast("bigint").alias("volume"))
+    stored.write_charts(domain.Domain(spark, ""), days, f"{tmp_path}/charts")
+    files = list((tmp_path / "charts").glob("symbol=*/part-*"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 8
+    found = spark.read.text(f"{tmp_path}/charts")
+    assert found.count() == 40 and found.filter("value NOT LIKE '%\"timestamp\":[%,%]%'").count() == 0
