@@ -8,6 +8,9 @@ phrase is longer. A phrase is an interval in both: words to its right are read f
 reversed transform, words to its left from the other one, each extension narrows one interval
 by the LF mapping and the other by the counts of smaller words, and its length is the count.
 
+Words are counted by hash range: a shard sends its words of a range, in order, as one block, and is told
+which of them are frequent by their places in it; no word is sent back.
+
 Phrases grow by one word a round, right and left in turn, and a shard extends only phrases
 that may be frequent in the corpus. Most extensions are rare, so the shards first sum counts
 by hash: sorted hashes and counts of a range of hashes travel as one small block, and a hash that
@@ -18,7 +21,8 @@ phrases that are left are summed by phrase, and each frequent one is written by
 which knows the counts of its beginnings and ends, as they are frequent and occur in it too.
 
 The shards' transforms are stored in buckets of the shard and never shuffled. Nothing is
-gathered by language or by word, and the best of a language are taken in two steps.
+gathered by language or by word, and the best of a language are taken in two steps. Stored rows are deleted
+once nothing reads them any more.
 
 Null texts are empty, a null language is `und`. Empty texts and texts of separators alone
 have no words. Rows that repeat count each; an empty table gives an empty table; other columns
@@ -28,25 +32,28 @@ so memory follows the longest text and the longest piece.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from callbook.llm.common import chunks, long_rows, settle, settle_by, texts
+from callbook.llm.common import chunks, long_rows, settle, settle_by, texts, unsettle
 
 #: Words of a shard, but for a longer piece.
-SHARD_WORDS = 3 << 19
+SHARD_WORDS = 3 << 20
+#: Kinds of packed ids and the bytes that follow their first one.
+FOLLOWING = ((1, 1), (2, 2), (3, 4))
 #: Words in a phrase, at most.
 DEPTH = 5
 #: Parts that the phrases of a language are ranked in first.
 PARTS = 64
-#: Rows of an Arrow batch.
-ROWS = 1 << 16
 #: Words of all shards for each range of hashes.
 RANGE_WORDS = 1 << 21
 
@@ -60,12 +67,12 @@ PLAIN = bytes.maketrans(bytes(range(65, 91)) + ENDS, bytes(range(97, 123)) + b"\
 class Numbers(dict):
     """Numbers of one language's words within a shard; 0 is the end of a piece."""
 
-    def __init__(self, lang: str, names: list[tuple[str, bytes]]):
+    def __init__(self, lang: str, names: list[bytes]):
         super().__init__({END: 0})
-        self.lang, self.names = lang, names
+        self.lang, self.names = lang.encode() + END, names
 
     def __missing__(self, word: bytes) -> int:
-        self.names.append((self.lang, word))
+        self.names.append(self.lang + word)
         number = self[word] = len(self.names)
         return number
 
@@ -98,36 +105,74 @@ def dense(ids: np.ndarray) -> np.ndarray:
 
 
 def packed(ids: np.ndarray) -> bytes:
-    """Ids as compressed unsigned 32-bit integers; they are the bulk of what is stored and shuffled."""
-    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<u4").tobytes())
+    """Ids as compressed unsigned 32-bit integers; they are the bulk of what is stored and shuffled.
+
+    A byte an id has its leading bits and how many bytes follow; those come after all of the former.
+    """
+    ids = np.ascontiguousarray(ids).astype(np.uint32)
+    kind = (ids >= 1 << 6).astype(np.uint8) + (ids >= 1 << 14) + (ids >= 1 << 22)
+    first = np.where(kind == 3, 192, 64 * kind + (ids >> (8 * kind))).astype(np.uint8)
+    rest = [ids[kind == k].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].T.tobytes() for k, size in FOLLOWING]
+    first, rest = (zstandard.ZstdCompressor(level=1).compress(x) for x in (first.tobytes(), b"".join(rest)))
+    return len(first).to_bytes(4, "little") + first + rest
 
 
 def unpacked(cell: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(cell.as_py()), "<u4").astype(np.int64)
+    data, reader = cell.as_py(), zstandard.ZstdDecompressor()
+    end = 4 + int.from_bytes(data[:4], "little")
+    first = np.frombuffer(reader.decompress(data[4:end]), np.uint8)
+    rest, start, kind, out = np.frombuffer(reader.decompress(data[end:]), np.uint8), 0, first >> 6, first.astype(np.int64) & 63
+    for k, size in FOLLOWING:
+        at = np.flatnonzero(kind == k)
+        for i, low in enumerate(rest[start:start + size * len(at)].reshape(size, -1)):
+            out[at] = (out[at] << 8 * (i == 0) * size) | (low.astype(np.int64) << 8 * i)
+        start += size * len(at)
+    return out
+
+
+def packed_names(names: pa.Array) -> bytes:
+    """Byte strings, compressed: how many, their lengths, then all bytes. In order they share their beginnings."""
+    ends = np.frombuffer(names.buffers()[1], "<i4")[names.offset:names.offset + len(names) + 1] if len(names) else np.zeros(1, "<i4")
+    data = names.buffers()[2].to_pybytes()[ends[0]:ends[-1]] if ends[-1] > ends[0] else b""
+    return zstandard.ZstdCompressor(level=3).compress(
+        np.array([len(names)], "<i4").tobytes() + np.diff(ends).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() + data)
 
 
-SHARDS = "shard long, lang string, word string, local int, n long, ids binary"
+def unpacked_names(cell: pa.Scalar) -> pa.Array:
+    data = zstandard.ZstdDecompressor().decompress(cell.as_py())
+    n = int(np.frombuffer(data, "<i4", 1)[0])
+    lengths = np.ascontiguousarray(np.frombuffer(data, np.uint8, 4 * n, 4).reshape(4, n).T).view("<i4").reshape(-1)
+    ends = np.concatenate(([0], np.cumsum(lengths))).astype("<i4")
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data[4 + 4 * n:])])
+
+
+SHARDS = "shard long, n long, langs array<string>, sizes array<long>, ids binary, names binary, counts binary"
+_SHARDS = pa.schema([("shard", pa.int64()), ("n", pa.int64()), ("langs", pa.list_(pa.string())), ("sizes", pa.list_(pa.int64())),
+                     ("ids", pa.binary()), ("names", pa.binary()), ("counts", pa.binary())])
 
 
 def shards(docs: DataFrame, lang: str, text: str, size: int) -> DataFrame:
-    """For each shard a row with its packed ids and a row for each of its words."""
+    """A row for each shard: its number of words, also by language, its packed ids, and its words in order (behind their
+    language) with their counts. The most frequent word has id 1; equal counts go by the order of the words."""
     long_rows(docs.sparkSession)
 
-    def rows(shard, names, ids):
+    def row(shard, names, ids):
         ids = dense(np.concatenate(ids))
         counts = np.bincount(ids, minlength=len(names) + 1)[1:]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([shard]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()),
-             pa.array([int(counts.sum())]), pa.array([packed(ids)])],
-            ["shard", "lang", "word", "local", "n", "ids"])
-        for a in range(0, len(names), ROWS):
-            some = names[a:a + ROWS]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([shard] * len(some)), pa.array([x for x, _ in some], pa.string()),
-                 pa.array([w for _, w in some], pa.binary()).cast(pa.string()),
-                 pa.array(np.arange(a + 1, a + 1 + len(some)), pa.int32()),
-                 pa.array(counts[a:a + ROWS], pa.int64()), pa.nulls(len(some), pa.binary())],
-                ["shard", "lang", "word", "local", "n", "ids"])
+        here = np.flatnonzero(counts)
+        words = pa.array([names[i] for i in here.tolist()], pa.binary())
+        by = pc.sort_indices(words).to_numpy()
+        words, here = words.take(pa.array(by)), here[by]
+        counts, number = counts[here], np.zeros(len(names) + 1, np.int64)
+        number[here[ranked(counts)] + 1] = np.arange(1, len(here) + 1)
+        sizes = {}
+        for name, count in zip(words.to_pylist(), counts.tolist(), strict=True):
+            language = name[:name.index(END)]
+            sizes[language] = sizes.get(language, 0) + count
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(
+                ([shard], [int(counts.sum())], [[x.decode() for x in sizes]], [list(sizes.values())], [packed(number[ids])],
+                 [packed_names(words)], [packed(counts)]), _SHARDS, strict=True)], schema=_SHARDS)
 
     def run(batches):
         from pyspark import TaskContext
@@ -137,20 +182,20 @@ def shards(docs: DataFrame, lang: str, text: str, size: int) -> DataFrame:
             for language, given in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
                 words = words_of(given)
                 if total and total + len(words) > size:
-                    yield from rows(shard, names, held)
+                    yield row(shard, names, held)
                     shard, names, numbers, held, total = shard + 1, [], {}, [], 0
                 number = numbers.get(language)
                 if number is None:
                     number = numbers[language] = Numbers(language, names)
                 ids = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
                 parts = parted(ids, size)
-                for part in parts[:-1]:     # a long text: its words keep their numbers in each of its shards
-                    yield from rows(shard, names, [*held, [0], part])
+                for part in parts[:-1]:     # a long text: its words keep their numbers until the last of its shards is full
+                    yield row(shard, names, [*held, [0], part])
                     shard, held = shard + 1, []
                 held += [[0], parts[-1]]
                 total += len(parts[-1])
         if names:
-            yield from rows(shard, names, held)
+            yield row(shard, names, held)
         del names, numbers, held
 
         pa.default_memory_pool().release_unused()       # workers live on for other tasks
@@ -159,13 +204,63 @@ def shards(docs: DataFrame, lang: str, text: str, size: int) -> DataFrame:
     return narrow.mapInArrow(run, SHARDS)
 
 
-def vocabulary(words: DataFrame, least: int) -> DataFrame:
-    """The words that are frequent in their language: shard, local, id (of the word), total, lang, word."""
-    same = W.partitionBy("lang", "word")
-    frequent_ones = words.withColumn("total", F.sum("n").over(same)).where(F.col("total") >= least) \
-        .withColumn("row", F.monotonically_increasing_id())
-    # The word's id is that of one of its rows; it is written once, so that it stays the same.
-    return settle(frequent_ones.select("shard", "local", F.min("row").over(same).alias("id"), "total", "lang", "word"))
+def ranked(counts: np.ndarray) -> np.ndarray:
+    """The places of words by falling count: where the words with ids 1, 2, ... stand in the list."""
+    return np.argsort(-counts, kind="stable")
+
+
+def dealt(names: pa.Array, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of words by the range of their hash, and where each range begins and ends."""
+    hashes = np.fromiter(map(zlib.crc32, names.to_pylist()), np.uint64, len(names))
+    which = (hashes * np.uint64(ranges)) >> np.uint64(32)
+    by = np.argsort(which, kind="stable")
+    return by, np.searchsorted(which[by], np.arange(ranges + 1, dtype=np.uint64))
+
+
+def vocabulary(parts: DataFrame, least: int, ranges: int) -> DataFrame:
+    """For each shard and range of hashes its words that are frequent in their language: of (the shard), range, data (their
+    places among the shard's words of the range and their ids, both rising by what is given, and their counts in all shards).
+
+    An id is the range and the word's place among the frequent words of the range.
+    """
+    def deal(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                names, counts = unpacked_names(batch["names"][i]), unpacked(batch["counts"][i])
+                by, edges = dealt(names, ranges)
+                names, counts = names.take(pa.array(by)), counts[by]
+                cells = [(r, packed_names(names.slice(a, b - a)), packed(counts[a:b]))
+                         for r, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if b > a]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch["shard"][i].as_py()] * len(cells), pa.int64()),
+                     *[pa.array(c, t) for c, t in zip(zip(*cells, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)]],
+                    ["shard", "range", "names", "counts"])
+
+    schema = pa.schema([("of", pa.int64()), ("range", pa.int32()), ("data", pa.binary())])
+
+    def add(rows: pa.Table) -> pa.Table:
+        each = [unpacked_names(cell) for cell in rows["names"]]
+        names = pa.concat_arrays(each).dictionary_encode()
+        place = names.indices.to_numpy()
+        total = np.bincount(place, np.concatenate([unpacked(cell) for cell in rows["counts"]])).astype(np.int64)
+        enough = np.flatnonzero(total >= least)
+        ids = np.full(len(total), -1)
+        ids[enough[pc.sort_indices(names.dictionary.take(pa.array(enough))).to_numpy()]] = np.arange(len(enough))
+        out, at = [], 0
+        for shard, some in zip(rows["shard"].to_pylist(), each, strict=True):
+            words = place[at:at + len(some)]
+            at += len(some)
+            kept = np.flatnonzero(ids[words] >= 0)
+            if len(kept):
+                now, words = total[words[kept]], ids[words[kept]]
+                out.append((shard, rows["range"][0].as_py(), packed(np.concatenate(
+                    (np.diff(kept, prepend=0), np.diff(words, prepend=0), now & 0xFFFFFFFF, now >> 32)))))
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)],
+                                    schema=schema) if out else schema.empty_table()
+
+    sent = parts.select("shard", "names", "counts").where("n > 0").mapInArrow(deal, "shard long, range int, names binary, counts binary")
+    return sent.groupBy("range").applyInArrow(add, "of long, range int, data binary")
 
 
 def order(ids: np.ndarray, depth: int) -> np.ndarray:
@@ -215,10 +310,6 @@ def holder(low: np.ndarray, size: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where((low[at] <= wanted) & (wanted < low[at] + size[at]), at, -1)
 
 
-def _array(cell: pa.Scalar, kind: str) -> np.ndarray:
-    return np.frombuffer(cell.as_py(), kind)
-
-
 def _binary(rows: np.ndarray) -> pa.Array:
     """Each row of a matrix of 8-byte ids as one cell."""
     data = np.ascontiguousarray(rows, ">i8")
@@ -226,37 +317,38 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-INDEX = ("shard long, left binary, right binary, counts binary, word_ids binary, totals binary, "
-         "langs array<string>, words array<string>")
+INDEX = "shard long, left binary, right binary, counts binary, word_ids binary, totals binary, names binary"
 
 
-def index(ids: DataFrame, words: DataFrame, depth: int) -> DataFrame:
+def index(parts: DataFrame, words: DataFrame, depth: int, ranges: int) -> DataFrame:
     """The two transforms of every shard. words: those of :func:`vocabulary`."""
+    schema = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in
+                       ("left", "right", "counts", "word_ids", "totals", "names")]])
+
     def build(text: pa.Table, known: pa.Table) -> pa.Table:
-        schema = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in
-                           ("left", "right", "counts", "word_ids", "totals")],
-                            ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string()))])
         if not text.num_rows or not known.num_rows:
             return schema.empty_table()
-        known = known.sort_by("id")
-        given = unpacked(text["ids"][0])
-        local = known["local"].to_numpy()
-        number = np.zeros(max(int(given.max(initial=0)), int(local.max())) + 1, np.int64)
-        number[local] = np.arange(1, len(local) + 1)
-        now = dense(number[given])
+        names, place = unpacked_names(text["names"][0]), ranked(unpacked(text["counts"][0]))
+        ids, totals = np.full(len(names), -1), np.zeros(len(names), np.int64)
+        by, edges = dealt(names, ranges)
+        for which, data in zip(known["range"].to_pylist(), known["data"], strict=True):
+            at, word, low, high = unpacked(data).reshape(4, -1)
+            at = by[edges[which] + np.cumsum(at)]
+            ids[at], totals[at] = (which << 32) + np.cumsum(word), low + (high << 32)
+        kept = ids[place] >= 0
+        number = np.concatenate(([0], np.where(kept, np.cumsum(kept), 0)))
+        place = place[kept]
+        now = dense(number[unpacked(text["ids"][0])])
         alone = (now[1:-1] != 0) & (now[:-2] == 0) & (now[2:] == 0)     # a word by itself is no phrase
         now[1:-1][alone] = 0
         now = dense(now)
         return pa.Table.from_arrays(
-            [pa.array([text["of"][0].as_py()]), *[pa.array([x], pa.binary()) for x in (
-                packed(transform(now, depth)), packed(transform(now[::-1], depth)))],
-             *[pa.array([x.tobytes()], pa.binary()) for x in (
-                np.bincount(now, minlength=len(local) + 1).astype("<i8"),
-                known["id"].to_numpy().astype("<i8"), known["total"].to_numpy().astype("<i8"))],
-             pa.array([known["lang"].to_pylist()], schema.field("langs").type),
-             pa.array([known["word"].to_pylist()], schema.field("words").type)], schema=schema)
+            [pa.array([text["shard"][0].as_py()]), *[pa.array([x], pa.binary()) for x in (
+                packed(transform(now, depth)), packed(transform(now[::-1], depth)),
+                *[packed_long(x) for x in (np.bincount(now, minlength=len(place) + 1), ids[place], totals[place])],
+                packed_names(names.take(pa.array(place))))]], schema=schema)
 
-    return ids.groupBy("of").cogroup(words.groupBy("shard")).applyInArrow(build, INDEX)
+    return parts.select("shard", "ids", "names", "counts").groupBy("shard").cogroup(words.groupBy("of")).applyInArrow(build, INDEX)
 
 
 def _words_alone(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -351,8 +443,9 @@ class Split:
 
     @classmethod
     def of(cls, words: int) -> Split:
-        """More than thirty hashes for each word of the corpus, so that few rare phrases share that of a frequent one."""
-        return cls(min(56, words.bit_length() + 5), max(1, -(-words // RANGE_WORDS)))
+        """At least two hashes for each word of the corpus. Of a hundred words at most one ends a frequent phrase of some
+        length, so less than one rare phrase in a hundred shares the hash of one; more bits would be sent for every phrase."""
+        return cls(min(56, words.bit_length() + 1), max(1, -(-words // RANGE_WORDS)))
 
 
 def _ranges(shard: int, phrases: Phrases, word_ids: np.ndarray, split: Split, words: int | None = None) -> list[tuple]:
@@ -383,8 +476,8 @@ def pairs(indexes: DataFrame, split: Split) -> DataFrame:
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                found = Phrases.single(_array(batch["counts"][i], "<i8")).longer(unpacked(batch["right"][i]), True)
-                yield from _sent(_ranges(batch["shard"][i].as_py(), found, _array(batch["word_ids"][i], "<i8"), split)
+                found = Phrases.single(unpacked_long(batch["counts"][i]).astype(np.int64)).longer(unpacked(batch["right"][i]), True)
+                yield from _sent(_ranges(batch["shard"][i].as_py(), found, unpacked_long(batch["word_ids"][i]), split)
                                  ).to_batches()
 
     return indexes.select("shard", "right", "counts", "word_ids").mapInArrow(run, SENT)
@@ -414,9 +507,9 @@ def grown(indexes: DataFrame, known: DataFrame | None, alive: DataFrame, words:
     def grow(place: pa.Table, given: pa.Table) -> pa.Table:
         if not place.num_rows or not given.num_rows:
             return _SENT.empty_table()
-        shard, word_ids = place["shard"][0].as_py(), _array(place["word_ids"][0], "<i8")
+        shard, word_ids = place["shard"][0].as_py(), unpacked_long(place["word_ids"][0])
         sides = {True: unpacked(place["right"][0]), False: unpacked(place["left"][0])}
-        counts = _array(place["counts"][0], "<i8")
+        counts = unpacked_long(place["counts"][0]).astype(np.int64)
         shorter, hashes = Phrases.single(counts), []
         for which, data in zip(given["range"].to_pylist(), given["data"], strict=True):
             if which is None:
@@ -474,17 +567,17 @@ def spelt(indexes: DataFrame, phrases: DataFrame) -> DataFrame:
     def spell(place: pa.Table, given: pa.Table) -> pa.Table:
         if not place.num_rows or not given.num_rows:
             return schema.empty_table()
-        word_ids, totals = (_array(place[c][0], "<i8") for c in ("word_ids", "totals"))
-        langs, names = place["langs"][0].as_py(), place["names"][0].as_py()
-        numbers = [np.searchsorted(word_ids, np.frombuffer(cell, ">i8")) for cell in given["phrase"].to_pylist()]
+        word_ids, totals = (unpacked_long(place[c][0]).astype(np.int64) for c in ("word_ids", "totals"))
+        names, by = unpacked_names(place["names"][0]), np.argsort(word_ids)
+        numbers = [by[np.searchsorted(word_ids, np.frombuffer(cell, ">i8"), sorter=by)] for cell in given["phrase"].to_pylist()]
+        found = [[x.as_py().split(END) for x in names.take(pa.array(n))] for n in numbers]
         return pa.Table.from_arrays(
-            [pa.array([langs[n[0]] for n in numbers], pa.string()),
-             pa.array([[names[i] for i in n.tolist()] for n in numbers], schema.field("words").type),
+            [pa.array([words[0][0].decode() for words in found], pa.string()),
+             pa.array([[word.decode() for _, word in words] for words in found], schema.field("words").type),
              pa.array(given["a"].to_numpy()), pa.array(totals[[n[0] for n in numbers]]),
              pa.array(totals[[n[-1] for n in numbers]])], schema=schema)
 
-    place = indexes.select("shard", "word_ids", "totals", "langs", F.col("words").alias("names"))
-    return place.groupBy("shard").cogroup(phrases.groupBy("of")).applyInArrow(spell, SPELT)
+    return indexes.select("shard", "word_ids", "totals", "names").groupBy("shard").cogroup(phrases.groupBy("of")).applyInArrow(spell, SPELT)
 
 
 def cut(phrases: DataFrame) -> DataFrame:
@@ -514,22 +607,24 @@ def mine(docs: DataFrame, least: int = 100, top: int = 2000, depth: int = DEPTH,
 
     A phrase inside a longer one with the same count is left out.
     """
-    parts = settle(shards(docs, lang, text, size))
-    words = parts.where("word is not null").select("shard", "lang", "word", "local", "n")
-    ids = settle_by(parts.where("ids is not null").select(F.col("shard").alias("of"), "ids"), "of")
-    indexes = settle_by(index(ids, vocabulary(words, least), depth), "shard")
-    split = Split.of(words.agg(F.sum("n")).first()[0] or 0)
-    sent, found = settle(pairs(indexes, split)), None
+    parts = settle_by(shards(docs, lang, text, size), "shard")
+    split = Split.of(parts.agg(F.sum("n")).first()[0] or 0)
+    languages = settle(parts.select(F.explode(F.map_from_arrays("langs", "sizes")).alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n")))
+    indexes = settle_by(index(parts, vocabulary(parts, least, split.ranges), depth, split.ranges), "shard")
+    unsettle(parts)
+    sent, found = None, []
     for n in range(2, depth + 1):
-        sent = settle(grown(indexes, sent if n > 2 else None, reached(sent, least), n, depth, split))
-        counted = sent.where("words IS NOT NULL")
-        found = counted if found is None else found.unionByName(counted)
-    phrases = settle(spelt(indexes, frequent(found, least)))
+        last, sent = sent, settle(grown(indexes, sent, reached(pairs(indexes, split) if sent is None else sent, least), n, depth, split))
+        found.append(settle(frequent(sent.where("words IS NOT NULL"), least)))
+        if last is not None:
+            unsettle(last)
+    phrases = settle(spelt(indexes, reduce(DataFrame.unionByName, found)))
+    for done in (indexes, sent, *found):
+        unsettle(done)
     cuts = settle(cut(phrases))
     edge = F.col("size") > 2
     inner = cuts.where(edge & (F.col("k") == F.col("size") - 1) & (F.col("l") == F.col("a"))).select("lang", F.col("left").alias("phrase")) \
         .unionByName(cuts.where(edge & (F.col("k") == 1) & (F.col("r") == F.col("a"))).select("lang", F.col("right").alias("phrase")))
-    languages = words.groupBy("lang").agg(F.sum("n").alias("n"))
     score = F.expr("""(CAST(a AS decimal(19,0)) * CAST(n AS decimal(19,0)) * 1000BD)
         div (CAST(l AS decimal(19,0)) * CAST(r AS decimal(19,0)))""")
     scored = cuts.join(inner, ["lang", "phrase"], "left_anti").join(languages, "lang") \

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from callbook.llm import collocations, licenses, packing, queries, repeats
+from callbook.session import ensure_checkpoint_dir
 
 CLASHING = "doc_id long, text string, lang string, words int, runs string, shard int, found int, hits string, a long"
 
@@ -239,6 +240,58 @@ def test_hashes_that_collide_change_nothing(spark, monkeypatch):
     assert sorted(tuple(r) for r in got.collect()) == brute_collocations(rows, 8, 2000)
 
 
+def stored_bytes(folder):
+    return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+
+
+def test_collocations_delete_what_they_stored(spark, monkeypatch):
+    sizes, rows = [], chatter()
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    start = stored_bytes(folder)
+    for name in ("settle", "settle_by"):
+        def counted(df, *key, old=getattr(collocations, name)):
+            out = old(df, *key)
+            sizes.append(stored_bytes(folder) - start)
+            return out
+        monkeypatch.setattr(collocations, name, counted)
+    got = collocations.mine(frame(spark, rows), least=9, top=120, size=300)
+    left = stored_bytes(folder) - start
+    assert sorted(tuple(r) for r in got.collect()) == brute_collocations(rows, 9, 120)
+    assert left < max(sizes) / 2        # the cuts and the languages
+
+
+def test_vocabulary_counts_words_over_shards(spark):
+    rows = chatter()
+    parts = collocations.shards(frame(spark, rows), "lang", "text", 300).localCheckpoint()
+    sent = collocations.vocabulary(parts, 9, 3).collect()
+    assert not any(isinstance(x, str) for r in sent for x in r)      # shards know their words
+    counts = Counter((lang or "und", w) for _, text, lang in rows for w in re.findall(
+        "[^\x20\x09.,;:!?\x0A-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")))
+    ids = {}
+    for part in parts.collect():
+        names = collocations.unpacked_names(pa.scalar(part.names))
+        by, edges = collocations.dealt(names, 3)
+        for row in (r for r in sent if r.of == part.shard):
+            at, word, low, high = collocations.unpacked(pa.scalar(row.data)).reshape(4, -1)
+            for i, place, total in zip(word.cumsum().tolist(), by[edges[row.range] + at.cumsum()].tolist(), (low + (high << 32)).tolist(), strict=True):
+                name = tuple(x.decode() for x in names[place].as_py().split(collocations.END))
+                assert counts[name] == total >= 9 and ids.setdefault((row.range, i), name) == name
+    assert sorted(ids.values()) == sorted(w for w, c in counts.items() if c >= 9)
+
+
+def test_packed_ids_are_small():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    rising = np.unique(rng.integers(0, 1 << 30, 100_000)).astype(np.uint64)
+    data = collocations.packed_hashes(rising)
+    assert len(data) < 1.95 * len(rising) and (collocations.unpacked_hashes(pa.scalar(data)) == rising).all()
+    for values in ([], [0], [1, 255, 256, 65536, 2**32 - 1], [*range(70), *rng.integers(0, 1 << 32, 999)], 5 + np.arange(300_000)):
+        assert collocations.unpacked(pa.scalar(collocations.packed(np.array(values, np.int64)))).tolist() == list(values)
+    names = pa.array([b"", b"en\xffa", b"en\xffab", b"x" * 300], pa.binary())
+    for some in (names, names[1:3], names[:0]):
+        assert collocations.unpacked_names(pa.scalar(collocations.packed_names(some))).equals(some)
+
+
 def test_two_way_extension():
     import numpy as np
     rng = random.Random(9)
