@@ -134,7 +134,7 @@ def packed_names(names: pa.Array) -> bytes:
     """Byte strings, compressed: how many, their lengths, then all bytes. In order they share their beginnings."""
     ends = np.frombuffer(names.buffers()[1], "<i4")[names.offset:names.offset + len(names) + 1] if len(names) else np.zeros(1, "<i4")
     data = names.buffers()[2].to_pybytes()[ends[0]:ends[-1]] if ends[-1] > ends[0] else b""
-    return zstandard.ZstdCompressor(level=3).compress(
+    return zstandard.ZstdCompressor(level=9).compress(
         np.array([len(names)], "<i4").tobytes() + np.diff(ends).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes() + data)
 
 
@@ -346,7 +346,7 @@ def index(parts: DataFrame, words: DataFrame, depth: int, ranges: int) -> DataFr
             [pa.array([text["shard"][0].as_py()]), *[pa.array([x], pa.binary()) for x in (
                 packed(transform(now, depth)), packed(transform(now[::-1], depth)),
                 *[packed_long(x) for x in (np.bincount(now, minlength=len(place) + 1), ids[place], totals[place])],
-                packed_names(names.take(pa.array(place))))]], schema=schema)
+                packed_names(names.take(pa.array(place[np.argsort(ids[place])]))))]], schema=schema)
 
     return parts.select("shard", "ids", "names", "counts").groupBy("shard").cogroup(words.groupBy("of")).applyInArrow(build, INDEX)
 
@@ -443,9 +443,9 @@ class Split:
 
     @classmethod
     def of(cls, words: int) -> Split:
-        """At least two hashes for each word of the corpus. Of a hundred words at most one ends a frequent phrase of some
-        length, so less than one rare phrase in a hundred shares the hash of one; more bits would be sent for every phrase."""
-        return cls(min(56, words.bit_length() + 1), max(1, -(-words // RANGE_WORDS)))
+        """One to two hashes for each word of the corpus. Frequent phrases of a length are at most a hundredth as many as the
+        words, so about one rare phrase in a hundred shares the hash of one; more bits would be sent for every phrase."""
+        return cls(min(56, words.bit_length()), max(1, -(-words // RANGE_WORDS)))
 
 
 def _ranges(shard: int, phrases: Phrases, word_ids: np.ndarray, split: Split, words: int | None = None) -> list[tuple]:
@@ -569,8 +569,8 @@ def spelt(indexes: DataFrame, phrases: DataFrame) -> DataFrame:
             return schema.empty_table()
         word_ids, totals = (unpacked_long(place[c][0]).astype(np.int64) for c in ("word_ids", "totals"))
         names, by = unpacked_names(place["names"][0]), np.argsort(word_ids)
-        numbers = [by[np.searchsorted(word_ids, np.frombuffer(cell, ">i8"), sorter=by)] for cell in given["phrase"].to_pylist()]
-        found = [[x.as_py().split(END) for x in names.take(pa.array(n))] for n in numbers]
+        places = [np.searchsorted(word_ids, np.frombuffer(cell, ">i8"), sorter=by) for cell in given["phrase"].to_pylist()]
+        found, numbers = [[x.as_py().split(END) for x in names.take(pa.array(n))] for n in places], [by[n] for n in places]
         return pa.Table.from_arrays(
             [pa.array([words[0][0].decode() for words in found], pa.string()),
              pa.array([[word.decode() for _, word in words] for words in found], schema.field("words").type),
