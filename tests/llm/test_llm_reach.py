@@ -8,6 +8,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -186,6 +187,39 @@ def test_recall_is_returned(spark):
     assert hnsw.link(table.limit(0)).count() == 0
 
 
+def test_steps_of_a_graph_hold_few_vectors_at_once():
+    x = clusters(2500, 40, dims=256)
+    tracemalloc.start()
+    try:
+        graph = hnsw.Graph(x)
+        assert tracemalloc.get_traced_memory()[1] < 6 * hnsw.STEP_BYTES
+    finally:
+        tracemalloc.stop()
+    levels, (lowest, upper) = graph.levels, graph.nodes(0, len(x))
+    again = hnsw.Graph.of(x, levels, graph.entry, np.frombuffer(b"".join(lowest), np.int32).reshape(len(x), -1), upper)
+    assert max(map(len, upper)) > 0
+    for a, b in zip(graph.search(graph.x[:99], 40), again.search(graph.x[:99], 40), strict=True):
+        assert (a == b).all()
+
+
+def test_shards_and_tasks_are_bounded_by_vectors_and_bytes(spark, monkeypatch):
+    assert hnsw.layout(0, 0, 8) == hnsw.layout(1000, 64_000, 8) == (hnsw.SHARDS, 2)
+    assert hnsw.layout(2 << 20, 64 * (2 << 20), 6)[0] * hnsw.SHARD_ROWS >= 2 << 20
+    assert hnsw.layout(1 << 17, 4096 << 17, 6)[0] * hnsw.SHARD_BYTES >= 12 * 4096 << 17     # long vectors, few in a shard
+    x = clusters(300, 9, dims=24)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, [1.0, 0.0]), (1001, [0.0, 1.0]), (1002, [-1.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, hnsw.link(table).collect()))
+    assert sum(r[1] for r in want) == (x @ x.T >= 0.9).sum() - len(x) and {r[3] for r in want} == {1.0}
+    monkeypatch.setattr(hnsw, "SHARD_ROWS", 30)
+    monkeypatch.setattr(hnsw, "TASK_QUERIES", 50)
+    monkeypatch.setattr(hnsw, "QUERY_ROWS", 16)
+    monkeypatch.setattr(hnsw, "GIVEN_ROWS", 8)
+    shards, slices = hnsw.layout(len(rows), 24 * len(rows), 4)
+    assert (shards, slices) == (11, 7)
+    assert [r[:3] for r in sorted(map(tuple, hnsw.link(table).collect()))] == [r[:3] for r in want]
+
+
 def test_results_do_not_depend_on_the_size_of_a_conversation(spark):
     """More than 16 million characters, by a template that writes the beginning anew."""
     turns = [(("user", "assistant")[i % 2], str(i) * 5_700_000) for i in range(3)]
