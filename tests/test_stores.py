@@ -197,3 +197,33 @@ def test_last_row_of_equal_times_is_the_same_every_time(spark):
     for given in (twin, twin[::-1], twin[2:] + twin[:2]):
         df = spark.createDataFrame(given, "key string, seq int, v string, n int").repartition(3)
         assert sorted(rows(M.last_per_key(df, ["key"], "seq"))) == want
+
+
+def test_only_pages_later_than_the_stored_ones_are_labelled(spark, tmp_path, monkeypatch):
+    root, labelled, article_rows = str(tmp_path), [], I.article_rows
+
+    def noted(heads, coverage):
+        labelled.append(sorted(r["path"] for r in heads.select("path").collect()))
+        return article_rows(heads, coverage)
+
+    monkeypatch.setattr(I, "article_rows", noted)
+    first = landed(spark, (PATHS[0], html("One", "OPQ"), at(10)), (PATHS[1], html("Two", "OPQ"), at(10)))
+    late = landed(spark, (PATHS[0], html("Old", "KLM,OPQ"), at(9)), (PATHS[1], html("Two", "OPQ"), at(10)),
+                  (PATHS[2], html("Three", ""), at(9)), (PATHS[2], html("Three", "RST"), at(8)))
+    assert I.store_pages(spark, root, first, SITE, "landed_ts", keep_newer=True) == I.Stored(2, 2)
+    before = all_of(spark, root)
+    assert I.store_pages(spark, root, late, SITE, "landed_ts", keep_newer=True) == I.Stored(1, 0)
+    assert labelled == [sorted(PATHS[:2]), [PATHS[2]]]
+    done = all_of(spark, root)
+    assert done["coverage"] == before["coverage"] and set(before["articles"]) < set(done["articles"])
+    # What an older page names is a ticker all the same.
+    assert [r[0] for r in done["tickers"]] == ["KLM", "OPQ"]
+
+
+def test_a_batch_without_a_later_page_rewrites_no_month(spark, tmp_path):
+    root = str(tmp_path)
+    pages = landed(spark, (PATHS[0], html("One", "KLM"), at(10)), (PATHS[3], html("Four", "KLM"), at(10)))
+    I.store_pages(spark, root, pages, SITE, "landed_ts", keep_newer=True)
+    files = [T.read_table(spark, root, n).inputFiles() for n in ("articles", "coverage")]
+    assert I.store_pages(spark, root, pages, SITE, "landed_ts", keep_newer=True) == I.Stored()
+    assert [T.read_table(spark, root, n).inputFiles() for n in ("articles", "coverage")] == files
