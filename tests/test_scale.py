@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import random
 import re
 from collections import Counter
@@ -173,3 +174,27 @@ def test_settled_tables_of_a_scope_are_deleted(spark):
             settle(spark.range(2))
             _ = 1 / 0
     assert set(folder.glob("settled-*")) == before and outer.count() == 3
+
+
+def test_a_run_lists_a_folder_of_charts_once(spark, tmp_path, monkeypatch):
+    land, root, lists = tmp_path / "charts", str(tmp_path / "root"), []
+    land.mkdir()
+    body = ('{"chart": {"result": [{"meta": {"gmtoffset": 0}, "timestamp": [1700000000], '
+            '"indicators": {"quote": [{"close": [%s], "volume": [7]}]}}]}}')
+    (land / "AA.json").write_text(body % "1.5")
+    (land / "BÄ.json").write_text(body % "2.5")
+    (land / "EMPTY.json").write_text("")
+    load, text = type(spark.read).load, type(spark.read).text
+    monkeypatch.setattr(type(spark.read), "load", lambda self, path=None, *a, **b: (lists.append(path), load(self, path, *a, **b))[1])
+    monkeypatch.setattr(type(spark.read), "text", lambda self, paths, *a, **b: (lists.append(paths), text(self, paths, *a, **b))[1])
+
+    def stored():
+        return sorted((r["symbol"], r["close"], r["volume"]) for r in T.read_table(spark, root, "prices").collect())
+
+    assert rows(store_chart_files(spark, root, str(land))) == [(3, 2)]
+    assert stored() == [("AA", 1.5, 7), ("BÄ", 2.5, 7)] and lists.count(str(land)) == 1
+    # Packed files are unpacked by the reader of texts, which lists the folder itself.
+    (land / "CC.json.gz").write_bytes(gzip.compress((body % "3.5").encode()))
+    symbol = F.regexp_extract("file", r"/([^/]+?)\.json(?:\.gz)?$", 1)
+    assert rows(store_chart_files(spark, root, str(land), "*.json*", symbol)) == [(1, 1)]
+    assert stored()[-1] == ("CC", 3.5, 7) and lists.count(str(land)) == 3
