@@ -183,7 +183,7 @@ def test_a_run_lists_a_folder_of_charts_once(spark, tmp_path, monkeypatch):
             '"indicators": {"quote": [{"close": [%s], "volume": [7]}]}}]}}')
     (land / "AA.json").write_text(body % "1.5")
     (land / "BÄ.json").write_text(body % "2.5")
-    (land / "EMPTY.json").write_text("")
+    (land / "NONE.json").write_text("{}")
     load, text = type(spark.read).load, type(spark.read).text
     monkeypatch.setattr(type(spark.read), "load", lambda self, path=None, *a, **b: (lists.append(path), load(self, path, *a, **b))[1])
     monkeypatch.setattr(type(spark.read), "text", lambda self, paths, *a, **b: (lists.append(paths), text(self, paths, *a, **b))[1])
